@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.operators import compose as C
 from lexivec.operators import counting
 from lexivec.sources import tables as T
 
@@ -67,9 +68,70 @@ def type_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.type_quota(cooc_raw(spark, sf_dir), QUERY_QUOTAS)
 
 
+# ---- composition ---------------------------------------------------------------
+
+def _emb(spark, sf_dir):
+    return T.read_table(spark, sf_dir, "embeddings")
+
+
+def long_vectors(df: DataFrame, key: str = "phrase") -> DataFrame:
+    """``(key, vec)`` -> ``(key, dim, value)`` rounded for comparison."""
+    return df.select(key, F.posexplode("vec").alias("dim", "value")) \
+        .select(key, F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
+
+
+def _compose_query(composer):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        emb = _emb(spark, sf_dir)
+        out = C.compose_dense(T.phrases(emb), T.lexicon(emb), [composer])
+        return long_vectors(out)
+    run.__name__ = f"compose_{composer.name.lower()}"
+    run.__doc__ = f"{composer.name} composition of the phrase list over the embedding lexicon."
+    return run
+
+
+def compose_sparse_mult(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 on sparse PPMI rows: observed adjacent word pairs whose words both
+    have a row; a phrase whose product is all zeros is kept as a NULL cell."""
+    counts = cooc_filtered(spark, sf_dir)
+    weights = counting.ppmi(counts)
+    entries = counts.select("entry").distinct()
+    sent = T.sentences(T.read_table(spark, sf_dir, "documents")).where(F.size("toks") >= 2)
+    bigrams = (sent.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("toks") - 2),
+                                                 lambda i: F.concat_ws("_", F.get("toks", i), F.get("toks", i + 1))))
+                           .alias("phrase"))
+               .where(F.size(F.split("phrase", "_")) == 2).distinct())
+    ok = C.contains(bigrams, entries, C.MULT)
+    cells = C.compose_long(ok, weights, [C.MULT])
+    return ok.join(cells.select("phrase", "feature", "weight"), "phrase", "left") \
+        .select("phrase", "feature", _r("weight").alias("value"))
+
+
+GUEVARA_RULE = C.Composer("Guevara", "elementwise", "add", ("AN", "NN"))
+
+
+def compose_all_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E15 with Add: unigram rows keep their ids, composable phrases follow in
+    input order."""
+    emb = _emb(spark, sf_dir)
+    lex = T.lexicon(emb)
+    uni = lex.select("entry", F.col("vec_id").alias("row_id"))
+    return C.compose_all_index(uni, T.phrases(emb), lex, C.ADD)
+
+
+def compose_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 for every simple composer and the Guevara rule."""
+    emb = _emb(spark, sf_dir)
+    return C.coverage(T.phrases(emb), T.lexicon(emb), C.ALL_SIMPLE + (GUEVARA_RULE,))
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
     "vocab_mincount": vocab_mincount,
     "type_quota": type_quota,
+    **{f"compose_{c.name.lower()}": _compose_query(c) for c in C.ALL_SIMPLE},
+    "compose_sparse_mult": compose_sparse_mult,
+    "compose_all_index": compose_all_index,
+    "compose_coverage": compose_coverage,
 }

@@ -85,3 +85,114 @@ r AS (
          row_number() OVER (PARTITION BY f.type ORDER BY f.total DESC, f.entry ASC) AS rank
   FROM freq f JOIN quota q ON f.type = q.type WHERE q.quota > 0)
 SELECT entry, type, total, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= quota"""
+
+# ---- composition ------------------------------------------------------------------
+
+TOKEN_RE = "'^([^/_]+)/([A-Z]+)$'"
+
+
+def ftype(f: str) -> str:
+    toks = f"string_split({f}, '_')"
+    tags = f"array_to_string(list_transform({toks}, lambda t: regexp_extract(t, {TOKEN_RE}, 2)), ',')"
+    bad = f"len(list_filter({toks}, lambda t: NOT regexp_matches(t, {TOKEN_RE}))) > 0"
+    return (f"CASE WHEN {bad} OR len({toks}) > 3 THEN 'EMPTY' WHEN len({toks}) = 1 THEN '1-GRAM' "
+            f"WHEN len({toks}) = 2 AND {tags} = 'J,N' THEN 'AN' "
+            f"WHEN len({toks}) = 2 AND {tags} = 'N,N' THEN 'NN' "
+            f"WHEN len({toks}) = 2 AND {tags} = 'V,N' THEN 'VO' "
+            f"WHEN len({toks}) = 2 THEN '2-GRAM' WHEN {tags} = 'N,V,N' THEN 'SVO' ELSE '3-GRAM' END")
+
+
+COMPOSABLE = "('2-GRAM', '3-GRAM', 'AN', 'NN', 'VO', 'SVO')"
+
+LEX = """
+etag AS (SELECT vec_id, embedding,
+                CASE WHEN label < 7 THEN 'N' WHEN label < 9 THEN 'J' ELSE 'V' END AS tag
+         FROM embeddings),
+lex AS (SELECT 'w' || CAST(vec_id AS VARCHAR) || '/' || tag AS entry, vec_id,
+               list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM etag),
+ph AS (
+  SELECT 'w' || CAST(vec_id AS VARCHAR) || '/' || tag || '_w' || CAST((vec_id * 7 + 1) % 500 AS VARCHAR) || '/N'
+           AS phrase, vec_id * 2 AS ord FROM etag
+  UNION ALL
+  SELECT 'w' || CAST((vec_id * 3 + 2) % 500 AS VARCHAR) || '/N_w' || CAST(vec_id AS VARCHAR) || '/' || tag
+           || '_w' || CAST((vec_id * 11 + 5) % 500 AS VARCHAR) || '/N', vec_id * 2 + 1 FROM etag),
+ptype AS (SELECT phrase, ord, """ + ftype("phrase") + """ AS type FROM ph),
+ptok AS (SELECT phrase, unnest(string_split(phrase, '_')) AS token,
+                generate_subscripts(string_split(phrase, '_'), 1) - 1 AS pos FROM ph),
+allknown AS (SELECT p.phrase FROM ptok p LEFT JOIN lex l ON p.token = l.entry
+             GROUP BY p.phrase HAVING count(l.entry) = count(*))"""
+
+
+def _elementwise(agg: str, types: str = COMPOSABLE) -> str:
+    return "WITH " + LEX + f""",
+ok AS (SELECT phrase FROM ptype WHERE type IN {types} AND phrase IN (SELECT phrase FROM allknown)),
+cells AS (SELECT p.phrase, unnest(l.vec) AS val, generate_subscripts(l.vec, 1) - 1 AS dim
+          FROM ptok p JOIN lex l ON p.token = l.entry WHERE p.phrase IN (SELECT phrase FROM ok))
+SELECT phrase, CAST(dim AS BIGINT) AS dim, round({agg}, 6) AS value FROM cells GROUP BY phrase, dim"""
+
+
+def _pick(index: str, types: str = COMPOSABLE) -> str:
+    return "WITH " + LEX + f""",
+pick AS (SELECT phrase, list_extract(string_split(phrase, '_'), {index}) AS token
+         FROM ptype WHERE type IN {types})
+SELECT p.phrase, CAST(generate_subscripts(l.vec, 1) - 1 AS BIGINT) AS dim, round(unnest(l.vec), 6) AS value
+FROM pick p JOIN lex l ON p.token = l.entry"""
+
+
+SQL["compose_add"] = _elementwise("sum(val)")
+SQL["compose_avg"] = _elementwise("sum(val) / 2.0")
+SQL["compose_mult"] = _elementwise("product(val)")
+SQL["compose_min"] = _elementwise("min(val)")
+SQL["compose_max"] = _elementwise("max(val)")
+SQL["compose_left"] = _pick("1")
+SQL["compose_right"] = _pick("-1")
+SQL["compose_verb"] = _pick("2", "('SVO')")
+
+SQL["compose_all_index"] = "WITH " + LEX + f""",
+ok AS (SELECT phrase, min(ord) AS ord FROM ptype
+       WHERE type IN {COMPOSABLE} AND phrase IN (SELECT phrase FROM allknown) GROUP BY phrase),
+n AS (SELECT count(*) AS n FROM lex)
+SELECT entry, CAST(vec_id AS BIGINT) AS row_id, 'unigram' AS kind FROM lex
+UNION ALL
+SELECT phrase AS entry, CAST((SELECT n FROM n) + row_number() OVER (ORDER BY ord, phrase) - 1 AS BIGINT) AS row_id,
+       'phrase' AS kind
+FROM ok"""
+
+
+def _pick_known(index: str, types: str) -> str:
+    return (f"(SELECT count(DISTINCT phrase) FROM ptype WHERE type IN {types} "
+            f"AND list_extract(string_split(phrase, '_'), {index}) IN (SELECT entry FROM lex))")
+
+
+def _all_known(types: str) -> str:
+    return (f"(SELECT count(DISTINCT phrase) FROM ptype WHERE type IN {types} "
+            f"AND phrase IN (SELECT phrase FROM allknown))")
+
+
+SQL["compose_coverage"] = "WITH " + LEX + f""",
+c AS (
+  SELECT 'Add' AS composer, {_all_known(COMPOSABLE)} AS n UNION ALL
+  SELECT 'Avg', {_all_known(COMPOSABLE)} UNION ALL
+  SELECT 'Mult', {_all_known(COMPOSABLE)} UNION ALL
+  SELECT 'Min', {_all_known(COMPOSABLE)} UNION ALL
+  SELECT 'Max', {_all_known(COMPOSABLE)} UNION ALL
+  SELECT 'Left', {_pick_known('1', COMPOSABLE)} UNION ALL
+  SELECT 'Right', {_pick_known('-1', COMPOSABLE)} UNION ALL
+  SELECT 'Verb', {_pick_known('2', "('SVO')")} UNION ALL
+  SELECT 'Guevara', {_all_known("('AN', 'NN')")})
+SELECT composer, CAST(n AS BIGINT) AS n_composable,
+       CAST((SELECT count(DISTINCT phrase) FROM ph) AS BIGINT) AS n_phrases,
+       CAST((SELECT count(DISTINCT entry) FROM lex) AS BIGINT) AS n_unigrams
+FROM c"""
+
+SQL["compose_sparse_mult"] = "WITH " + FILT + f""",
+w AS (SELECT entry, feature, weight FROM ppmi WHERE weight > 0),
+ents AS (SELECT DISTINCT entry FROM filt),
+big AS (SELECT DISTINCT a.tok || '_' || b.tok AS phrase, a.tok AS t1, b.tok AS t2
+        FROM stok a JOIN stok b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos = a.pos + 1),
+ok AS (SELECT phrase, t1, t2 FROM big
+       WHERE t1 IN (SELECT entry FROM ents) AND t2 IN (SELECT entry FROM ents)
+         AND {ftype('phrase')} IN {COMPOSABLE}),
+cells AS (SELECT o.phrase, x.feature, x.weight * y.weight AS value
+          FROM ok o JOIN w x ON x.entry = o.t1 JOIN w y ON y.entry = o.t2 AND y.feature = x.feature)
+SELECT o.phrase, c.feature, round(c.value, 6) AS value FROM ok o LEFT JOIN cells c ON o.phrase = c.phrase"""
