@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import compose as C
 from lexivec.operators import counting
+from lexivec.operators import neighbours as NB
+from lexivec.operators import tensors as TS
 from lexivec.sources import tables as T
 
 ROUND = 6
@@ -125,6 +127,72 @@ def compose_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.coverage(T.phrases(emb), T.lexicon(emb), C.ALL_SIMPLE + (GUEVARA_RULE,))
 
 
+# ---- tensors ---------------------------------------------------------------------
+
+TENSOR_DIMS = 8
+
+
+def _tensor_inputs(spark, sf_dir):
+    lex = T.lexicon(_emb(spark, sf_dir)).select("entry", F.slice("vec", 1, TENSOR_DIMS).alias("vec"))
+    svo = T.svo_triples(T.read_table(spark, sf_dir, "lineitem"))
+    return lex, svo
+
+
+def verb_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 + C13 + D4 on the lineitem triples, first 8 dimensions."""
+    lex, svo = _tensor_inputs(spark, sf_dir)
+    t = TS.train_verb_tensors(svo, lex, dim=TENSOR_DIMS)
+    return t.select("verb", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
+                    _r("weight").alias("weight"))
+
+
+def _categorical_query(name):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lex, svo = _tensor_inputs(spark, sf_dir)
+        dense = TS.tensor_to_dense(TS.train_verb_tensors(svo, lex, dim=TENSOR_DIMS), TENSOR_DIMS)
+        out = TS.compose_categorical(svo, lex, dense, TENSOR_DIMS, [name])
+        return long_vectors(out)
+    run.__doc__ = f"{name} composition of the lineitem SVOs with the trained verb matrices."
+    return run
+
+
+# ---- neighbours and baselines -------------------------------------------------------
+
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 nearest neighbours (Euclidean, self excluded) of every lexicon entry."""
+    lex = T.lexicon(_emb(spark, sf_dir))
+    return NB.knn_exact(lex, k=10).select("entry", "rank", "neighbour", _r("distance").alias("distance"))
+
+
+def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours by LSH (checked against G6 for recall in tests)."""
+    lex = T.lexicon(_emb(spark, sf_dir))
+    return NB.knn_lsh(lex, k=10).select("entry", "rank", "neighbour", _r("distance").alias("distance"))
+
+
+def labelled_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 stand-in: distinct tagged words of the labelled English documents."""
+    docs = T.read_table(spark, sf_dir, "documents").join(
+        T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return (T.english_tokens(docs).select(T.tag_by_length("token").alias("entry")).distinct())
+
+
+def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I10 over the labelled vocabulary, 10 dimensions."""
+    return long_vectors(NB.random_vectors(labelled_vocabulary(spark, sf_dir), dim=10), key="entry")
+
+
+def constant_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I11 for every lexicon entry."""
+    return NB.constant_neighbours(T.lexicon(_emb(spark, sf_dir)).select("entry"))
+
+
+def random_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3 random distinct lexicon entries per entry, seed 0."""
+    lex = T.lexicon(_emb(spark, sf_dir)).select("entry")
+    return NB.random_neighbours(lex, lex, k=3, seed=0)
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
@@ -134,4 +202,13 @@ QUERIES = {
     "compose_sparse_mult": compose_sparse_mult,
     "compose_all_index": compose_all_index,
     "compose_coverage": compose_coverage,
+    "verb_tensors": verb_tensors,
+    "copy_object": _categorical_query("CopyObj"),
+    "frobenius_add": _categorical_query("FAdd"),
+    "frobenius_mult": _categorical_query("FMult"),
+    "knn_exact": knn_exact,
+    "knn_lsh": knn_lsh,
+    "random_vectors": random_vectors,
+    "constant_neighbours": constant_neighbours,
+    "random_neighbours": random_neighbours,
 }

@@ -196,3 +196,70 @@ ok AS (SELECT phrase, t1, t2 FROM big
 cells AS (SELECT o.phrase, x.feature, x.weight * y.weight AS value
           FROM ok o JOIN w x ON x.entry = o.t1 JOIN w y ON y.entry = o.t2 AND y.feature = x.feature)
 SELECT o.phrase, c.feature, round(c.value, 6) AS value FROM ok o LEFT JOIN cells c ON o.phrase = c.phrase"""
+
+# ---- tensors ------------------------------------------------------------------------
+
+TENSOR = "WITH " + LEX + """,
+svo AS (SELECT DISTINCT 'w' || CAST(l_partkey % 500 AS VARCHAR) || '/N' AS subj,
+                        'v' || CAST(l_linenumber AS VARCHAR) || '/V' AS verb,
+                        'w' || CAST(l_suppkey % 500 AS VARCHAR) || '/N' AS obj FROM lineitem),
+nv AS (SELECT entry, list_slice(vec, 1, 8) AS vec FROM lex),
+ksvo AS (SELECT subj, verb, obj FROM svo
+         WHERE subj IN (SELECT entry FROM nv) AND obj IN (SELECT entry FROM nv)),
+verbs AS (SELECT verb FROM ksvo GROUP BY verb HAVING count(*) >= 3),
+sx AS (SELECT entry, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM nv),
+tensor AS (SELECT k.verb, a.i, b.i AS j, sum(a.x * b.x) AS w
+           FROM ksvo k JOIN sx a ON a.entry = k.subj JOIN sx b ON b.entry = k.obj
+           WHERE k.verb IN (SELECT verb FROM verbs) GROUP BY k.verb, a.i, b.i),
+kv AS (SELECT * FROM ksvo WHERE verb IN (SELECT verb FROM verbs)),
+lhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.i, sum(t.w * b.x) AS m
+          FROM kv JOIN tensor t ON t.verb = kv.verb JOIN sx b ON b.entry = kv.obj AND b.i = t.j
+          GROUP BY kv.subj, kv.verb, kv.obj, t.i),
+rhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.j AS i, sum(t.w * a.x) AS m
+          FROM kv JOIN tensor t ON t.verb = kv.verb JOIN sx a ON a.entry = kv.subj AND a.i = t.i
+          GROUP BY kv.subj, kv.verb, kv.obj, t.j),
+halves AS (SELECT l.subj || '_' || l.verb || '_' || l.obj AS phrase, l.i AS dim,
+                  s.x * l.m AS lv, o.x * r.m AS rv
+           FROM lhalf l JOIN rhalf r ON l.subj = r.subj AND l.verb = r.verb AND l.obj = r.obj AND l.i = r.i
+           JOIN sx s ON s.entry = l.subj AND s.i = l.i JOIN sx o ON o.entry = l.obj AND o.i = l.i)"""
+
+SQL["verb_tensors"] = TENSOR + """
+SELECT verb, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(w, 6) AS weight FROM tensor"""
+SQL["copy_object"] = TENSOR + """
+SELECT phrase, CAST(dim AS BIGINT) AS dim, round(lv, 6) AS value FROM halves"""
+SQL["frobenius_add"] = TENSOR + """
+SELECT phrase, CAST(dim AS BIGINT) AS dim, round(lv + rv, 6) AS value FROM halves"""
+SQL["frobenius_mult"] = TENSOR + """
+SELECT phrase, CAST(dim AS BIGINT) AS dim, round(lv * rv, 6) AS value FROM halves"""
+
+# ---- neighbours and baselines ----------------------------------------------------------
+
+SQL["knn_exact"] = "WITH " + LEX + """,
+d AS (SELECT a.entry, b.entry AS neighbour, list_distance(a.vec, b.vec) AS dist
+      FROM lex a JOIN lex b ON a.entry <> b.entry),
+r AS (SELECT entry, neighbour, dist,
+             row_number() OVER (PARTITION BY entry ORDER BY dist, neighbour) AS rank FROM d)
+SELECT entry, CAST(rank AS BIGINT) AS rank, neighbour, round(dist, 6) AS distance FROM r WHERE rank <= 10"""
+
+SQL["random_vectors"] = f"""
+WITH voc AS (
+  SELECT DISTINCT {tag('t')} AS entry FROM (
+    SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t
+    FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels))),
+dims AS (SELECT unnest(range(10)) AS dim)
+SELECT entry, CAST(dim AS BIGINT) AS dim,
+       round(CAST(('0x' || substr(md5(entry || '#' || CAST(dim AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0, 6)
+         AS value
+FROM voc, dims"""
+
+SQL["constant_neighbours"] = "WITH " + LEX + """
+SELECT entry, CAST(1 AS BIGINT) AS rank, 'b/N' AS neighbour, 1.0::DOUBLE AS score FROM lex"""
+
+SQL["random_neighbours"] = "WITH " + LEX + """,
+voc AS (SELECT entry, row_number() OVER (ORDER BY entry) - 1 AS idx FROM (SELECT DISTINCT entry FROM lex)),
+n AS (SELECT count(*) AS n FROM voc),
+picks AS (SELECT entry, t,
+                 (CAST(('0x' || substr(md5(entry || '#0'), 1, 8)) AS BIGINT) + t) % (SELECT n FROM n) AS idx
+          FROM lex, (SELECT unnest(range(3)) AS t))
+SELECT p.entry, CAST(p.t + 1 AS BIGINT) AS rank, v.entry AS neighbour, 1.0::DOUBLE AS score
+FROM picks p JOIN voc v ON p.idx = v.idx"""
