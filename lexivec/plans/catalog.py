@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexivec.operators import compose as C
 from lexivec.operators import counting
 from lexivec.operators import neighbours as NB
+from lexivec.operators import selection as SEL
 from lexivec.operators import tensors as TS
 from lexivec.sources import tables as T
 
@@ -193,6 +194,58 @@ def random_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NB.random_neighbours(lex, lex, k=3, seed=0)
 
 
+# ---- feature selection ----------------------------------------------------------------
+
+def labelled_docfeat(spark: SparkSession, sf_dir: str):
+    """``docfeat(doc_id, feature, weight)`` (tagged word counts) and
+    ``labels(doc_id, y)`` of the labelled documents, all languages."""
+    docs = T.read_table(spark, sf_dir, "documents")
+    lab = T.labelled_docs(docs, T.read_table(spark, sf_dir, "labels"))
+    toks = docs.join(lab.select("doc_id"), "doc_id", "left_semi") \
+        .select("doc_id", F.explode(T.tokens_of("text")).alias("t"))
+    docfeat = toks.groupBy("doc_id", T.tag_by_length("t").alias("feature")) \
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return docfeat, lab
+
+
+def chi2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 against the quality label."""
+    docfeat, lab = labelled_docfeat(spark, sf_dir)
+    return SEL.chi2_scores(docfeat, lab).select("feature", _r("score").alias("score"))
+
+
+def select_k_best(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFrame:
+    """The 200 best features by chi²."""
+    docfeat, lab = labelled_docfeat(spark, sf_dir)
+    scores = SEL.chi2_scores(docfeat, lab)
+    return scores.join(SEL.k_best(scores, k), "feature", "left_semi") \
+        .select("feature", _r("score").alias("score"))
+
+
+def log_odds_band(spark: SparkSession, sf_dir: str, t: float = 1.0) -> DataFrame:
+    """Features whose log odds fall outside ±1."""
+    docfeat, lab = labelled_docfeat(spark, sf_dir)
+    return SEL.log_odds(docfeat, lab).where(F.abs("log_odds") > t) \
+        .select("feature", _r("log_odds").alias("log_odds"))
+
+
+def vector_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document features that have a row in the PPMI space."""
+    docfeat, _ = labelled_docfeat(spark, sf_dir)
+    entries = cooc_filtered(spark, sf_dir).select("entry").distinct()
+    return SEL.presence_mask(docfeat.select("feature").distinct(), entries)
+
+
+def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-best (2000) AND vector presence AND log-odds band (0.3),
+    survivors re-indexed."""
+    docfeat, lab = labelled_docfeat(spark, sf_dir)
+    entries = cooc_filtered(spark, sf_dir).select("entry").distinct()
+    out = SEL.select_features(docfeat, lab, k=2000, must_be_in_thesaurus=True,
+                              vector_entries=entries, min_log_odds=0.3)
+    return out.select("feature", "col_id", _r("score").alias("score"))
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
@@ -211,4 +264,9 @@ QUERIES = {
     "random_vectors": random_vectors,
     "constant_neighbours": constant_neighbours,
     "random_neighbours": random_neighbours,
+    "chi2_scores": chi2_scores,
+    "select_k_best": select_k_best,
+    "log_odds_band": log_odds_band,
+    "vector_presence": vector_presence,
+    "feature_selection": feature_selection,
 }

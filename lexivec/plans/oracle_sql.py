@@ -263,3 +263,48 @@ picks AS (SELECT entry, t,
           FROM lex, (SELECT unnest(range(3)) AS t))
 SELECT p.entry, CAST(p.t + 1 AS BIGINT) AS rank, v.entry AS neighbour, 1.0::DOUBLE AS score
 FROM picks p JOIN voc v ON p.idx = v.idx"""
+
+# ---- feature selection --------------------------------------------------------------------
+
+DOCFEAT = f"""
+lab AS (SELECT l.doc_id, CAST(l.quality AS INTEGER) AS y FROM labels l
+        WHERE l.doc_id IN (SELECT doc_id FROM documents)),
+docfeat AS (
+  SELECT doc_id, feature, CAST(count(*) AS DOUBLE) AS weight FROM (
+    SELECT doc_id, {tag('t')} AS feature FROM (
+      SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM lab)))
+  GROUP BY doc_id, feature),
+prior AS (SELECT y, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY y),
+obs AS (SELECT f.feature, l.y, sum(f.weight) AS o FROM docfeat f JOIN lab l ON f.doc_id = l.doc_id
+        GROUP BY f.feature, l.y),
+tot AS (SELECT feature, sum(o) AS total FROM obs GROUP BY feature),
+grid AS (SELECT t.feature, t.total, p.y, p.p, coalesce(o.o, 0) AS o
+         FROM tot t CROSS JOIN prior p LEFT JOIN obs o ON o.feature = t.feature AND o.y = p.y),
+chi AS (SELECT feature, sum((o - p * total) * (o - p * total) / (p * total)) AS score FROM grid GROUP BY feature),
+dfc AS (SELECT f.feature, count(*) FILTER (WHERE l.y = 1) AS df1, count(*) FILTER (WHERE l.y <> 1) AS df0
+        FROM (SELECT DISTINCT doc_id, feature FROM docfeat WHERE weight > 0) f JOIN lab l ON f.doc_id = l.doc_id
+        GROUP BY f.feature),
+ncls AS (SELECT count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y <> 1) AS n0 FROM lab),
+lo AS (SELECT feature, ln((df1 + 0.5) / (n1 - df1 + 0.5)) - ln((df0 + 0.5) / (n0 - df0 + 0.5)) AS log_odds
+       FROM dfc, ncls)"""
+
+SQL["chi2_scores"] = "WITH " + DOCFEAT + """
+SELECT feature, round(score, 6) AS score FROM chi"""
+
+SQL["select_k_best"] = "WITH " + DOCFEAT + """
+SELECT feature, round(score, 6) AS score FROM chi ORDER BY score DESC, feature ASC LIMIT 200"""
+
+SQL["log_odds_band"] = "WITH " + DOCFEAT + """
+SELECT feature, round(log_odds, 6) AS log_odds FROM lo WHERE abs(log_odds) > 1.0"""
+
+SQL["vector_presence"] = "WITH " + FILT + "," + DOCFEAT + """
+SELECT DISTINCT feature FROM docfeat WHERE feature IN (SELECT entry FROM filt)"""
+
+SQL["feature_selection"] = "WITH " + FILT + "," + DOCFEAT + """,
+best AS (SELECT feature, score FROM chi ORDER BY score DESC, feature ASC LIMIT 2000),
+keep AS (SELECT feature, score FROM best
+         WHERE feature IN (SELECT entry FROM filt)
+           AND feature IN (SELECT feature FROM lo WHERE abs(log_odds) > 0.3))
+SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS BIGINT) AS col_id, round(score, 6) AS score
+FROM keep"""
