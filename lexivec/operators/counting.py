@@ -111,3 +111,17 @@ def vocabulary(sentences_df: DataFrame, min_count: int = 50, toks_col: str = "to
     return (sentences_df.select(F.explode(toks_col).alias("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") >= min_count))
+
+
+def ngram_window_pairs(sent: DataFrame, n: int = 2, window: int = 2, prefix: str = "T:",
+                       toks_col: str = "toks") -> DataFrame:
+    """F2 for observed n-grams: entry = ``n`` adjacent tokens joined by ``_``,
+    contexts = tokens within ``window`` of either end, outside the n-gram."""
+    toks = F.col(toks_col)
+    size = F.size(toks)
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), size - n), lambda i: F.transform(
+        F.filter(F.sequence(i - window, i + n - 1 + window),
+                 lambda j: ((j < i) | (j > i + n - 1)) & (j >= 0) & (j < size)),
+        lambda j: F.struct(F.array_join(F.slice(toks, i + 1, n), "_").alias("entry"),
+                           F.concat(F.lit(prefix), F.get(toks, j)).alias("feature")))))
+    return sent.where(size >= n).select(F.explode(pairs).alias("p")).select("p.entry", "p.feature")

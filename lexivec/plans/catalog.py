@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexivec.functions import features as FT
+from lexivec.operators import cleaning as CL
 from lexivec.operators import compose as C
 from lexivec.operators import counting
 from lexivec.operators import neighbours as NB
@@ -246,6 +248,110 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", "col_id", _r("score").alias("score"))
 
 
+# ---- parsing, cleaning, repeats, sampling, unions, CoNLL ---------------------------------
+
+def parse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B5, C1, C4 on the distinct 1- to 4-grams of the labelled English documents."""
+    docs = T.read_table(spark, sf_dir, "documents").join(
+        T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    sent = T.sentences(docs)
+    size = F.size("toks")
+    grams = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda n: n <= size),
+                                  lambda n: F.transform(F.sequence(F.lit(0), size - n),
+                                                        lambda i: F.array_join(F.slice("toks", i + 1, n), "_"))))
+    feats = sent.select(F.explode(grams).alias("feature")).distinct()
+    return feats.select(
+        "feature", FT.feature_type("feature").alias("type"),
+        F.size(FT.split_tokens("feature")).cast("long").alias("n_tokens"),
+        FT.strip_pos(FT.token_at("feature", 0)).alias("head"),
+        FT.pos_of(FT.token_at("feature", -1)).alias("last_pos"),
+        FT.default_row_filter("feature").alias("is_row"),
+        FT.type_in("feature", FT.NP_TYPES).alias("is_np"))
+
+
+def combine_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 + H3: two repeats (even / odd vec_id) of ``w<vec_id div 2>/N``, mean."""
+    emb = _emb(spark, sf_dir)
+    reps = emb.select((F.col("vec_id") % 2).alias("repeat"),
+                      F.concat(F.lit("w"), F.expr("vec_id div 2").cast("string"), F.lit("/N")).alias("entry"),
+                      F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return long_vectors(CL.combine_repeats(reps, 2, "mean"), key="entry")
+
+
+SURFACE_PATTERN = r"^[!-~]+$"
+
+
+def _surfaces(spark, sf_dir):
+    docs = T.read_table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    raw = lines.select("doc_id", "line_no", F.posexplode(F.split("line", "[ \t]+")).alias("pos", "surface"))
+    raw = raw.where(F.col("surface").rlike(SURFACE_PATTERN) & ~FT.has_punct_or_digit("surface"))
+    return raw.groupBy("surface").agg(F.min(F.struct("doc_id", "line_no", "pos")).alias("row_id"))
+
+
+def _canonical(spark, sf_dir):
+    surf = _surfaces(spark, sf_dir)
+    return CL.canonical_surfaces(surf, CL.suffix_dictionary(surf, "surface"))
+
+
+def surface_form_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 -> B10 -> G2 on the raw words of the English documents."""
+    return _canonical(spark, sf_dir).select("lemma", "surface")
+
+
+def pos_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5 -> B11: every kept lemma as /N, /J and /V, numbered block by block."""
+    return CL.pos_expand(_canonical(spark, sf_dir)).select("entry", "row_id")
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15 with ``source`` as the file: 30 percent of the files for repeats 0, 1, 2."""
+    from lexivec.sources.corpus import sample_files as pick
+    docs = T.read_table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id")
+    out = None
+    for r in (0, 1, 2):
+        chosen = pick(docs, 30, r).withColumn("repeat", F.lit(r).cast("long"))
+        out = chosen if out is None else out.unionByName(chosen)
+    n_docs = docs.groupBy("file").agg(F.count(F.lit(1)).alias("n_docs"))
+    return out.join(n_docs, "file").select("repeat", "file", "pos", "n_docs")
+
+
+def observed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4 + H2: unigram and observed bigram context rows in one store, C11 over
+    the union; one row per entry."""
+    sent = T.sentences(T.read_table(spark, sf_dir, "documents"))
+    uni = counting.count_events(counting.window_pairs(sent, 2))
+    big = counting.count_events(counting.ngram_window_pairs(sent, 2, 2))
+    filt = counting.frequency_filter(uni.unionByName(big))
+    is_phrase = F.col("entry").contains("_")
+    store = CL.observed_union(filt.where(~is_phrase), filt.where(is_phrase))
+    return store.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("n").alias("total")) \
+        .select("entry", F.when(F.col("entry").contains("_"), "phrase").otherwise("unigram").alias("kind"),
+                "n_features", "total")
+
+
+# Fixed values of the CoNLL rendering of conversations.
+FINE_TAGS = ("NN", "VBZ", "JJ", "DT", "RB")
+
+
+def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + B6: every conversation turn rendered as a CoNLL block (word, lemma,
+    a Penn tag chosen by word length; words whose length is a multiple of 7 lose
+    their tag column and are malformed), then parsed back."""
+    from lexivec.sources.corpus import parse_conll_blocks
+    conv = T.read_table(spark, sf_dir, "conversations")
+    toks = T.tokens_of("text")
+    tags = F.array(*[F.lit(t) for t in FINE_TAGS])
+    lines = F.transform(toks, lambda t, i: F.when(
+        F.length(t) % 7 == 0, F.concat_ws("\t", (i + 1).cast("string"), t, t)).otherwise(
+        F.concat_ws("\t", (i + 1).cast("string"), t,
+                    F.when(F.length(t) % 2 == 0, F.upper(t)).otherwise(t),
+                    F.get(tags, F.length(t) % 5), F.lit("O"), F.lit("0"), F.lit("dep"))))
+    blocks = conv.select("conv_id", "turn", F.array_join(lines, "\n").alias("block"))
+    return parse_conll_blocks(blocks).select("conv_id", "turn", "sentence", "n_malformed")
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
@@ -269,4 +375,11 @@ QUERIES = {
     "log_odds_band": log_odds_band,
     "vector_presence": vector_presence,
     "feature_selection": feature_selection,
+    "parse_features": parse_features,
+    "combine_repeats": combine_repeats,
+    "surface_form_pick": surface_form_pick,
+    "pos_expand": pos_expand,
+    "sample_files": sample_files,
+    "observed_union": observed_union,
+    "conll_reformat": conll_reformat,
 }

@@ -308,3 +308,108 @@ keep AS (SELECT feature, score FROM best
            AND feature IN (SELECT feature FROM lo WHERE abs(log_odds) > 0.3))
 SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS BIGINT) AS col_id, round(score, 6) AS score
 FROM keep"""
+
+# ---- parsing, cleaning, repeats, sampling, unions, CoNLL --------------------------------------
+
+
+def sent_cte(where: str) -> str:
+    return f"""
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE {where}),
+sent AS (
+  SELECT doc_id, line_no,
+         list_transform(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: x <> ''),
+                        lambda t: {tag('t')}) AS toks
+  FROM lines)"""
+
+
+SQL["parse_features"] = "WITH " + sent_cte("lang = 'en' AND doc_id IN (SELECT doc_id FROM labels)") + f""",
+grams AS (
+  SELECT DISTINCT feature FROM (
+    SELECT unnest(list_transform(range(len(toks) - n + 1), lambda i: array_to_string(toks[i + 1:i + n], '_')))
+             AS feature
+    FROM sent, (SELECT unnest(range(1, 5)) AS n) WHERE len(toks) >= n)),
+typed AS (SELECT feature, {ftype('feature')} AS type, string_split(feature, '_') AS toks FROM grams)
+SELECT feature, type, CAST(len(toks) AS BIGINT) AS n_tokens, split_part(toks[1], '/', 1) AS head,
+       regexp_extract(toks[-1], {TOKEN_RE}, 2) AS last_pos,
+       (type = '1-GRAM' AND regexp_extract(feature, {TOKEN_RE}, 2) IN ('N', 'J', 'V')) AS is_row,
+       type IN ('AN', 'NN') AS is_np
+FROM typed"""
+
+SQL["combine_repeats"] = """
+WITH reps AS (
+  SELECT vec_id % 2 AS repeat, 'w' || CAST(vec_id // 2 AS VARCHAR) || '/N' AS entry,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings),
+cells AS (SELECT entry, repeat, unnest(vec) AS val, generate_subscripts(vec, 1) - 1 AS dim FROM reps)
+SELECT entry, CAST(dim AS BIGINT) AS dim, round(avg(val), 6) AS value
+FROM cells GROUP BY entry, dim HAVING count(DISTINCT repeat) = 2"""
+
+SURF = """
+elines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE lang = 'en'),
+raw AS (
+  SELECT doc_id, line_no, unnest(regexp_split_to_array(line, '[ \\t]+')) AS surface,
+         generate_subscripts(regexp_split_to_array(line, '[ \\t]+'), 1) - 1 AS pos FROM elines),
+occ AS (SELECT surface, doc_id, line_no, pos,
+               row_number() OVER (PARTITION BY surface ORDER BY doc_id, line_no, pos) AS k
+        FROM raw WHERE regexp_matches(surface, '^[A-Za-z]+$')),
+surf AS (SELECT surface, doc_id, line_no, pos FROM occ WHERE k = 1),
+low AS (SELECT DISTINCT lower(surface) AS word FROM surf),
+dict AS (SELECT word, substr(word, 1, length(word) - 1) AS lemma FROM low
+         WHERE word LIKE '%s' AND length(word) > 1 AND substr(word, 1, length(word) - 1) IN (SELECT word FROM low)),
+lem AS (SELECT s.surface, s.doc_id, s.line_no, s.pos, coalesce(d.lemma, lower(s.surface)) AS lemma
+        FROM surf s LEFT JOIN dict d ON lower(s.surface) = d.word),
+best AS (SELECT lemma, surface, doc_id, line_no, pos,
+                row_number() OVER (PARTITION BY lemma
+                                   ORDER BY length(surface), surface <> lower(surface), doc_id, line_no, pos) AS rk
+         FROM lem)"""
+
+SQL["surface_form_pick"] = "WITH " + SURF + """
+SELECT lemma, surface FROM best WHERE rk = 1"""
+
+SQL["pos_expand"] = "WITH " + SURF + """,
+num AS (SELECT lemma, row_number() OVER (ORDER BY doc_id, line_no, pos, lemma) - 1 AS i FROM best WHERE rk = 1),
+n AS (SELECT count(*) AS n FROM num)
+SELECT lemma || '/' || tag AS entry, CAST(b * (SELECT n FROM n) + i AS BIGINT) AS row_id
+FROM num, (VALUES (0, 'N'), (1, 'J'), (2, 'V')) t(b, tag)"""
+
+SQL["sample_files"] = """
+WITH files AS (SELECT DISTINCT source AS file FROM documents),
+k AS (SELECT ceil(30 * count(*) / 100.0) AS k FROM files),
+ranked AS (
+  SELECT 0 AS repeat, file, row_number() OVER (ORDER BY file) AS pos FROM files
+  UNION ALL
+  SELECT r, file, row_number() OVER (PARTITION BY r ORDER BY md5(CAST(r AS VARCHAR) || file), file)
+  FROM files, (VALUES (1), (2)) t(r)),
+nd AS (SELECT source AS file, count(*) AS n_docs FROM documents GROUP BY source)
+SELECT CAST(r.repeat AS BIGINT) AS repeat, r.file, CAST(r.pos AS BIGINT) AS pos, nd.n_docs
+FROM ranked r JOIN nd ON r.file = nd.file WHERE r.pos <= (SELECT k FROM k)"""
+
+SQL["observed_union"] = "WITH " + SENT + """,
+bg AS (SELECT a.doc_id, a.line_no, a.pos, a.tok || '_' || b.tok AS entry
+       FROM stok a JOIN stok b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos = a.pos + 1),
+bpairs AS (SELECT g.entry, 'T:' || c.tok AS feature
+           FROM bg g JOIN stok c ON c.doc_id = g.doc_id AND c.line_no = g.line_no
+            AND c.pos BETWEEN g.pos - 2 AND g.pos + 3 AND c.pos <> g.pos AND c.pos <> g.pos + 1),
+allc AS (SELECT entry, feature, count(*) AS n FROM (SELECT * FROM pairs UNION ALL SELECT * FROM bpairs)
+         GROUP BY entry, feature),
+ukept AS (SELECT feature FROM allc GROUP BY feature HAVING sum(n) >= 40),
+ufilt AS (SELECT * FROM allc WHERE n >= 15 AND feature IN (SELECT feature FROM ukept))
+SELECT entry, CASE WHEN contains(entry, '_') THEN 'phrase' ELSE 'unigram' END AS kind,
+       count(*) AS n_features, CAST(sum(n) AS BIGINT) AS total
+FROM ufilt GROUP BY entry"""
+
+SQL["conll_reformat"] = """
+WITH c AS (SELECT conv_id, turn,
+                  list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS toks
+           FROM conversations)
+SELECT conv_id, turn,
+       array_to_string(list_transform(list_filter(toks, lambda t: length(t) % 7 <> 0),
+         lambda t: t || '/' || CASE length(t) % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'V' WHEN 2 THEN 'J'
+                                                 WHEN 3 THEN 'DET' ELSE 'RB' END), ' ') AS sentence,
+       CAST(len(list_filter(toks, lambda t: length(t) % 7 = 0)) AS BIGINT) AS n_malformed
+FROM c"""
