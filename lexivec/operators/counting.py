@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions.features import feature_type, pos_of
-from lexivec.operators.indexing import rank_within
+from lexivec.operators.indexing import materialize, rank_within
 
 # Sample configuration of the counting stage (README of the reference).
 MIN_FEATURE_FREQ = 40
@@ -23,17 +23,27 @@ TYPE_QUOTAS = (("N", 200000), ("V", 200000), ("J", 100000), ("RB", 0), ("AN", 0)
 
 
 def window_pairs(sent: DataFrame, window: int = 2, prefix: str = "T:",
-                 toks_col: str = "toks") -> DataFrame:
+                 toks_col: str = "toks", token_fn=None) -> DataFrame:
     """``(entry, feature)`` for every token and each neighbour within
-    ``±window`` in the same sentence.  Built per row with higher-order functions
-    (one array of at most 2·window·n pairs per sentence), then exploded."""
+    ``±window`` in the same sentence.
+
+    For each offset d the pairs are ``arrays_zip(slice(toks, 1, n-d),
+    slice(toks, 1+d, n-d))``; each zipped pair yields both directions.  Only
+    codegen'd array functions are used (no lambdas), the work stays inside the
+    scan stage and the output is exactly 2·Σ_d (n-d) rows per sentence.
+    ``token_fn`` (e.g. a tagger) is applied to both sides after the explode.
+    """
     toks = F.col(toks_col)
     n = F.size(toks)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.filter(F.sequence(i - window, i + window), lambda j: (j != i) & (j >= 0) & (j < n)),
-        lambda j: F.struct(F.get(toks, i).alias("entry"),
-                           F.concat(F.lit(prefix), F.get(toks, j)).alias("feature")))))
-    return sent.where(n > 1).select(F.explode(pairs).alias("p")).select("p.entry", "p.feature")
+    zipped = [F.arrays_zip(F.slice(toks, 1, F.greatest(n - d, F.lit(0))).alias("a"),
+                           F.slice(toks, d + 1, F.greatest(n - d, F.lit(0))).alias("b"))
+              for d in range(1, window + 1)]
+    z = sent.where(n > 1).select(F.explode(F.concat(*zipped)).alias("z"))
+    fn = token_fn or (lambda c: c)
+    a, b = fn(F.col("z.a")), fn(F.col("z.b"))
+    both = F.array(F.struct(a.alias("entry"), F.concat(F.lit(prefix), b).alias("feature")),
+                   F.struct(b.alias("entry"), F.concat(F.lit(prefix), a).alias("feature")))
+    return z.select(F.explode(both).alias("p")).select("p.entry", "p.feature")
 
 
 def instance_pairs(instances: DataFrame) -> DataFrame:
@@ -57,8 +67,14 @@ def frequency_filter(counts: DataFrame, min_feature_freq: int = MIN_FEATURE_FREQ
             .select("entry", "feature", "n"))
 
 
-def with_marginals(counts: DataFrame) -> DataFrame:
-    """Add ``entry_total``, ``feature_total`` and the grand ``total``."""
+def with_marginals(counts: DataFrame, materialize_input: bool = True) -> DataFrame:
+    """Add ``entry_total``, ``feature_total`` and the grand ``total``.
+
+    The counts feed four consumers (two marginals, the total, the cells); they
+    are checkpointed once (S6) instead of re-deriving them from the corpus for
+    each.  Pass ``materialize_input=False`` when the caller already did."""
+    if materialize_input:
+        counts = materialize(counts)
     et = counts.groupBy("entry").agg(F.sum("n").alias("entry_total"))
     ft = counts.groupBy("feature").agg(F.sum("n").alias("feature_total"))
     total = counts.select(F.sum("n")).scalar()
@@ -66,9 +82,9 @@ def with_marginals(counts: DataFrame) -> DataFrame:
             .withColumn("total", total))
 
 
-def ppmi(counts: DataFrame, keep_zeros: bool = False) -> DataFrame:
+def ppmi(counts: DataFrame, keep_zeros: bool = False, materialize_input: bool = True) -> DataFrame:
     """F3 (EXT-7): ``max(0, ln(n·N / (n_entry·n_feature)))``; zero cells dropped."""
-    m = with_marginals(counts)
+    m = with_marginals(counts, materialize_input)
     pmi = F.log(F.col("n").cast("double") * F.col("total")
                 / (F.col("entry_total").cast("double") * F.col("feature_total")))
     out = m.select("entry", "feature", F.greatest(pmi, F.lit(0.0)).alias("weight"))

@@ -98,8 +98,8 @@ def knn_exact(vectors: DataFrame, k: int = DEFAULT_K, queries: DataFrame | None
             .select("entry", F.col("rank").cast("long").alias("rank"), "neighbour", "distance"))
 
 
-def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, bucket_length: float = 0.5,
-            num_tables: int = 8, threshold: float = 2.0, seed: int = 7) -> DataFrame:
+def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, bucket_length: float = 0.05,
+            num_tables: int = 8, threshold: float = 1.3, seed: int = 7) -> DataFrame:
     """Approximate neighbours via Euclidean LSH (``BucketedRandomProjectionLSH``);
     only pairs sharing a bucket are scored, then ranked as in G6."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

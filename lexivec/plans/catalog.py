@@ -15,8 +15,11 @@ from lexivec.operators import cleaning as CL
 from lexivec.operators import compose as C
 from lexivec.operators import counting
 from lexivec.operators import neighbours as NB
+from lexivec.operators import reduction as RD
+from lexivec.operators import regression as RG
 from lexivec.operators import selection as SEL
 from lexivec.operators import tensors as TS
+from lexivec.operators.indexing import materialize
 from lexivec.sources import tables as T
 
 ROUND = 6
@@ -29,24 +32,25 @@ def _r(c):
 # ---- counting ----------------------------------------------------------------
 
 def cooc_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = T.sentences(T.read_table(spark, sf_dir, "documents"))
-    return counting.count_events(counting.window_pairs(sent, window=2))
+    sent = T.sentences(T.read_corpus(spark, sf_dir), tagged=False)
+    return counting.count_events(counting.window_pairs(sent, window=2, token_fn=T.tag_by_length))
 
 
 def cooc_filtered(spark, sf_dir, min_ff=counting.MIN_FEATURE_FREQ, min_ef=counting.MIN_EVENT_FREQ):
-    return counting.frequency_filter(cooc_raw(spark, sf_dir), min_ff, min_ef)
+    """Counted and filtered events, materialised once (stage output, S6)."""
+    return materialize(counting.frequency_filter(cooc_raw(spark, sf_dir), min_ff, min_ef))
 
 
 def cooc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 -> F1 -> C11, marginals recomputed after filtering."""
-    m = counting.with_marginals(cooc_filtered(spark, sf_dir))
+    m = counting.with_marginals(cooc_filtered(spark, sf_dir), materialize_input=False)
     return m.select("entry", "feature", "n", "entry_total", "feature_total")
 
 
 def ppmi_top_contexts(spark: SparkSession, sf_dir: str, k: int = 10,
                       min_ff=counting.MIN_FEATURE_FREQ, min_ef=counting.MIN_EVENT_FREQ) -> DataFrame:
     """F3 then top-k contexts per word (the flagship query)."""
-    w = counting.ppmi(cooc_filtered(spark, sf_dir, min_ff, min_ef))
+    w = counting.ppmi(cooc_filtered(spark, sf_dir, min_ff, min_ef), materialize_input=False)
     top = counting.top_features(w, k)
     return top.select("entry", "feature", "rank", _r("weight").alias("ppmi"))
 
@@ -55,7 +59,7 @@ def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence corpus of all documents: whitespace tokens, malformed ones
     dropped (C5), lowercased and tagged, sentences with more than 8 tokens (C6)."""
     from lexivec.sources.corpus import sentences_from_text
-    docs = T.read_table(spark, sf_dir, "documents")
+    docs = T.read_corpus(spark, sf_dir)
     return sentences_from_text(docs.select("doc_id", F.col("source").alias("file"), "text"))
 
 
@@ -99,14 +103,15 @@ def compose_sparse_mult(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3 on sparse PPMI rows: observed adjacent word pairs whose words both
     have a row; a phrase whose product is all zeros is kept as a NULL cell."""
     counts = cooc_filtered(spark, sf_dir)
-    weights = counting.ppmi(counts)
+    weights = counting.ppmi(counts, materialize_input=False)
     entries = counts.select("entry").distinct()
-    sent = T.sentences(T.read_table(spark, sf_dir, "documents")).where(F.size("toks") >= 2)
-    bigrams = (sent.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("toks") - 2),
-                                                 lambda i: F.concat_ws("_", F.get("toks", i), F.get("toks", i + 1))))
-                           .alias("phrase"))
-               .where(F.size(F.split("phrase", "_")) == 2).distinct())
-    ok = C.contains(bigrams, entries, C.MULT)
+    sent = T.sentences(T.read_corpus(spark, sf_dir), tagged=False).where(F.size("toks") >= 2)
+    n = F.size("toks")
+    pairs = F.arrays_zip(F.slice("toks", 1, n - 1).alias("a"), F.slice("toks", 2, n - 1).alias("b"))
+    bigrams = (sent.select(F.explode(pairs).alias("z"))
+               .select(F.concat_ws("_", T.tag_by_length("z.a"), T.tag_by_length("z.b")).alias("phrase"))
+               .distinct())
+    ok = materialize(C.contains(bigrams, entries, C.MULT))
     cells = C.compose_long(ok, weights, [C.MULT])
     return ok.join(cells.select("phrase", "feature", "weight"), "phrase", "left") \
         .select("phrase", "feature", _r("weight").alias("value"))
@@ -175,7 +180,7 @@ def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 stand-in: distinct tagged words of the labelled English documents."""
-    docs = T.read_table(spark, sf_dir, "documents").join(
+    docs = T.read_corpus(spark, sf_dir).join(
         T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     return (T.english_tokens(docs).select(T.tag_by_length("token").alias("entry")).distinct())
 
@@ -201,13 +206,13 @@ def random_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_docfeat(spark: SparkSession, sf_dir: str):
     """``docfeat(doc_id, feature, weight)`` (tagged word counts) and
     ``labels(doc_id, y)`` of the labelled documents, all languages."""
-    docs = T.read_table(spark, sf_dir, "documents")
+    docs = T.read_corpus(spark, sf_dir)
     lab = T.labelled_docs(docs, T.read_table(spark, sf_dir, "labels"))
     toks = docs.join(lab.select("doc_id"), "doc_id", "left_semi") \
         .select("doc_id", F.explode(T.tokens_of("text")).alias("t"))
     docfeat = toks.groupBy("doc_id", T.tag_by_length("t").alias("feature")) \
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return docfeat, lab
+    return materialize(docfeat), materialize(lab)
 
 
 def chi2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +257,7 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1-B5, C1, C4 on the distinct 1- to 4-grams of the labelled English documents."""
-    docs = T.read_table(spark, sf_dir, "documents").join(
+    docs = T.read_corpus(spark, sf_dir).join(
         T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     sent = T.sentences(docs)
     size = F.size("toks")
@@ -282,7 +287,7 @@ SURFACE_PATTERN = r"^[!-~]+$"
 
 
 def _surfaces(spark, sf_dir):
-    docs = T.read_table(spark, sf_dir, "documents").where(F.col("lang") == "en")
+    docs = T.read_corpus(spark, sf_dir).where(F.col("lang") == "en")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     raw = lines.select("doc_id", "line_no", F.posexplode(F.split("line", "[ \t]+")).alias("pos", "surface"))
     raw = raw.where(F.col("surface").rlike(SURFACE_PATTERN) & ~FT.has_punct_or_digit("surface"))
@@ -307,7 +312,7 @@ def pos_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C15 with ``source`` as the file: 30 percent of the files for repeats 0, 1, 2."""
     from lexivec.sources.corpus import sample_files as pick
-    docs = T.read_table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id")
+    docs = T.read_corpus(spark, sf_dir).select(F.col("source").alias("file"), "doc_id")
     out = None
     for r in (0, 1, 2):
         chosen = pick(docs, 30, r).withColumn("repeat", F.lit(r).cast("long"))
@@ -319,10 +324,10 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4 + H2: unigram and observed bigram context rows in one store, C11 over
     the union; one row per entry."""
-    sent = T.sentences(T.read_table(spark, sf_dir, "documents"))
+    sent = T.sentences(T.read_corpus(spark, sf_dir))
     uni = counting.count_events(counting.window_pairs(sent, 2))
     big = counting.count_events(counting.ngram_window_pairs(sent, 2, 2))
-    filt = counting.frequency_filter(uni.unionByName(big))
+    filt = materialize(counting.frequency_filter(uni.unionByName(big)))
     is_phrase = F.col("entry").contains("_")
     store = CL.observed_union(filt.where(~is_phrase), filt.where(is_phrase))
     return store.groupBy("entry").agg(
@@ -340,7 +345,7 @@ def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
     a Penn tag chosen by word length; words whose length is a multiple of 7 lose
     their tag column and are malformed), then parsed back."""
     from lexivec.sources.corpus import parse_conll_blocks
-    conv = T.read_table(spark, sf_dir, "conversations")
+    conv = T.read_corpus(spark, sf_dir, "conversations")
     toks = T.tokens_of("text")
     tags = F.array(*[F.lit(t) for t in FINE_TAGS])
     lines = F.transform(toks, lambda t, i: F.when(
@@ -352,6 +357,70 @@ def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_conll_blocks(blocks).select("conv_id", "turn", "sentence", "n_malformed")
 
 
+# ---- reduction and regression composers -----------------------------------------------
+
+SVD_DIMS = 10
+
+
+def svd_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 quotas -> I5: the PPMI rows of the kept entries reduced to 10 dimensions."""
+    counts = cooc_filtered(spark, sf_dir)
+    kept = counting.type_quota(counts, QUERY_QUOTAS).select("entry")
+    weights = counting.ppmi(counts.join(kept, "entry", "left_semi"))
+    vecs, _, _ = RD.truncated_svd(weights, SVD_DIMS)
+    return long_vectors(vecs, key="entry")
+
+
+OBSERVED_MIN_FEATURE = 40
+OBSERVED_MIN_EVENT = 3
+
+
+def observed_space(spark: SparkSession, sf_dir: str, max_n: int = 3, k: int = SVD_DIMS) -> DataFrame:
+    """Unigram and observed 2-/3-gram context counts of the English documents,
+    filtered (C11) over the union, PPMI-weighted and reduced together (P1's
+    ``svd`` stage with observed phrases): ``vectors(entry, vec)``."""
+    sent = T.sentences(T.read_corpus(spark, sf_dir))
+    pairs = counting.window_pairs(sent, 2)
+    for n in range(2, max_n + 1):
+        pairs = pairs.unionByName(counting.ngram_window_pairs(sent, n, 2))
+    counts = counting.frequency_filter(counting.count_events(pairs), OBSERVED_MIN_FEATURE, OBSERVED_MIN_EVENT)
+    vecs, _, _ = RD.truncated_svd(counting.ppmi(counts), k)
+    return materialize(vecs)
+
+
+def _np_phrases(spark, sf_dir, n: int = 2):
+    """Phrases of interest: the distinct n-grams of the labelled English documents."""
+    docs = T.read_corpus(spark, sf_dir).join(
+        T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    sent = T.sentences(docs).where(F.size("toks") >= n)
+    size = F.size("toks")
+    grams = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice("toks", i + 1, n), "_"))
+    return sent.select(F.explode(grams).alias("phrase")).distinct()
+
+
+def baroni_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I6 -> E9: per-modifier matrices from observed AN/NN vectors, applied to
+    the AN/NN bigrams of the labelled documents."""
+    space = observed_space(spark, sf_dir, max_n=2)
+    model = RG.train_baroni(space, SVD_DIMS)
+    return long_vectors(RG.compose_baroni(_np_phrases(spark, sf_dir), space, model, SVD_DIMS))
+
+
+def guevara_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I7 -> E10: the global full-additive model, applied likewise."""
+    space = observed_space(spark, sf_dir, max_n=2)
+    model = RG.train_guevara(space, SVD_DIMS)
+    return long_vectors(RG.compose_guevara(_np_phrases(spark, sf_dir), space, model, SVD_DIMS))
+
+
+def multistep_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8 -> E11: VO functions from observed SVO vectors, verb functions from
+    those, applied to the SVO trigrams of the labelled documents."""
+    space = observed_space(spark, sf_dir, max_n=3)
+    _, v_model = RG.train_multistep(space, SVD_DIMS)
+    return long_vectors(RG.compose_multistep(_np_phrases(spark, sf_dir, 3), space, v_model, SVD_DIMS))
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
@@ -382,4 +451,8 @@ QUERIES = {
     "sample_files": sample_files,
     "observed_union": observed_union,
     "conll_reformat": conll_reformat,
+    "svd_reduce": svd_reduce,
+    "baroni_fit_compose": baroni_fit_compose,
+    "guevara_fit_compose": guevara_fit_compose,
+    "multistep_fit_compose": multistep_fit_compose,
 }

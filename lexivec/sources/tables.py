@@ -36,10 +36,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan whose files hold fewer row groups than the cluster has
+    cores (a parquet row group is the unit of scan parallelism, so one large row
+    group is read by one task).  A corpus stored as many files or row groups —
+    the normal case at scale — is left alone: no extra shuffle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    try:
+        import pyarrow.parquet as pq
+        groups = sum(pq.ParquetFile(f.replace("file://", "")).metadata.num_row_groups for f in files)
+    except Exception:
+        return df
+    return df.repartition(cores * 2) if groups < cores else df
+
+
+def read_corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table, spread over the cores when its layout would serialise the scan."""
+    return spread(read_table(spark, sf_dir, name))
+
+
 def tokens_of(text) -> Column:
     """Lowercase, split on non-letters, drop empty strings."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(t), TOKEN_SPLIT), "")
 
 
 def tag_by_length(token) -> Column:
