@@ -14,6 +14,7 @@ from lexivec.functions import features as FT
 from lexivec.operators import cleaning as CL
 from lexivec.operators import compose as C
 from lexivec.operators import counting
+from lexivec.operators import embeddings as EM
 from lexivec.operators import neighbours as NB
 from lexivec.operators import reduction as RD
 from lexivec.operators import regression as RG
@@ -421,6 +422,29 @@ def multistep_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_vectors(RG.compose_multistep(_np_phrases(spark, sf_dir, 3), space, v_model, SVD_DIMS))
 
 
+# ---- embedding training ------------------------------------------------------------
+
+def word2vec_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1 + I3 on the sentence corpus (C5, C6): min count 50, 100 dimensions, seed 0."""
+    vecs = EM.train_word2vec(corpus_sentences(spark, sf_dir), dim=100, min_count=50, seed=0)
+    return long_vectors(vecs, key="entry")
+
+
+GLOVE_MIN_COUNT = 5
+
+
+def glove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 -> C7: distance-weighted co-occurrence (window 5) of words seen at
+    least 5 times, 10-dimensional GloVe by alternating least squares, junk filter."""
+    sent = T.sentences(T.read_corpus(spark, sf_dir))
+    vocab = counting.vocabulary(sent, GLOVE_MIN_COUNT).select(F.col("token").alias("entry"))
+    cooc = (EM.distance_weighted_cooc(sent, window=5)
+            .join(vocab, "entry", "left_semi")
+            .join(vocab.withColumnRenamed("entry", "ctx"), "ctx", "left_semi"))
+    vecs, _ = EM.train_glove(cooc, dim=10, sweeps=3)
+    return long_vectors(vecs.where(FT.embedding_junk_filter("entry")), key="entry")
+
+
 QUERIES = {
     "cooc_counts": cooc_counts,
     "ppmi_top_contexts": ppmi_top_contexts,
@@ -455,4 +479,6 @@ QUERIES = {
     "baroni_fit_compose": baroni_fit_compose,
     "guevara_fit_compose": guevara_fit_compose,
     "multistep_fit_compose": multistep_fit_compose,
+    "word2vec_vectors": word2vec_vectors,
+    "glove_vectors": glove_vectors,
 }
