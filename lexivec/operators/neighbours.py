@@ -85,10 +85,11 @@ def knn_exact(vectors: DataFrame, k: int = DEFAULT_K, queries: DataFrame | None
     n_q = queries.count() if queries is not vectors else n_c
     tc = max(1, math.ceil(n_c / tile_rows))
     tq = max(1, math.ceil(n_q / tile_rows))
-    cand = (vectors.select("entry", V.as_double("vec").alias("vec"))
+    # fresh aliases: queries may share lineage with vectors (a self cogroup)
+    cand = (vectors.select(F.col("entry").alias("entry"), V.as_double("vec").alias("vec"))
             .withColumn("ct", F.pmod(F.xxhash64("entry"), F.lit(tc)))
             .withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(tq - 1)))))
-    qry = (queries.select("entry", V.as_double("vec").alias("vec"))
+    qry = (queries.select(F.col("entry").alias("entry"), V.as_double("vec").alias("vec"))
            .withColumn("qt", F.pmod(F.xxhash64(F.lit("q"), "entry"), F.lit(tq)))
            .withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(tc - 1)))))
     local = (qry.groupBy("qt", "ct").cogroup(cand.groupBy("qt", "ct"))
