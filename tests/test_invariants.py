@@ -231,3 +231,11 @@ def test_line_aligned(spark, tmp_text):
 def test_sampling_guard():
     with pytest.raises(ValueError):
         corpus.check_sampling(95, 2)
+
+
+def test_multiply_rows_equals_long_form(spark, tmp_text):
+    src = read_vectors_tsv(spark, tmp_text("m.txt", "a/N\tx\t1\ty\t2\tz\t0\nb/V\tx\t3\tz\t5\nc/J\tx\t2\ty\t1\n"))
+    ph = spark.createDataFrame([("a/N_b/V",), ("a/N_b/V_c/J",), ("b/V_b/V",), ("a/N_c/J",)], "phrase string")
+    a = sorted(map(tuple, C.multiply_rows(ph, src.weights).collect()))
+    b = sorted(map(tuple, C.compose_long(ph, src.weights, [C.MULT]).collect()))
+    assert a == b and ("Mult", "b/V_b/V", "z", 25.0) in a
