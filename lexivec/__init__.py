@@ -12,6 +12,6 @@ plans/      end-to-end pipelines with stage materialisation
 streaming/  incremental co-occurrence counting over a file stream
 """
 
-from lexivec.session import get_session, ensure_checkpoint_dir
+from lexivec.session import ensure_checkpoint_dir, ensure_package, get_session
 
-__all__ = ["get_session", "ensure_checkpoint_dir"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "ensure_package"]
