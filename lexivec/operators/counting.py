@@ -132,12 +132,19 @@ def vocabulary(sentences_df: DataFrame, min_count: int = 50, toks_col: str = "to
 def ngram_window_pairs(sent: DataFrame, n: int = 2, window: int = 2, prefix: str = "T:",
                        toks_col: str = "toks") -> DataFrame:
     """F2 for observed n-grams: entry = ``n`` adjacent tokens joined by ``_``,
-    contexts = tokens within ``window`` of either end, outside the n-gram."""
+    contexts = tokens within ``window`` of either end, outside the n-gram.
+
+    For each context offset o (relative to the n-gram start) the n token
+    columns and the context column are aligned ``slice``s of the sentence,
+    zipped and exploded — codegen'd array functions only, no lambdas."""
     toks = F.col(toks_col)
     size = F.size(toks)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), size - n), lambda i: F.transform(
-        F.filter(F.sequence(i - window, i + n - 1 + window),
-                 lambda j: ((j < i) | (j > i + n - 1)) & (j >= 0) & (j < size)),
-        lambda j: F.struct(F.array_join(F.slice(toks, i + 1, n), "_").alias("entry"),
-                           F.concat(F.lit(prefix), F.get(toks, j)).alias("feature")))))
-    return sent.where(size >= n).select(F.explode(pairs).alias("p")).select("p.entry", "p.feature")
+    zipped = []
+    for o in list(range(-window, 0)) + list(range(n, n + window)):
+        lo = max(0, -o)                                  # first valid n-gram start (0-based)
+        length = F.greatest(F.least(size - n, size - 1 - o) - lo + 1, F.lit(0))
+        parts = [F.slice(toks, lo + k + 1, length).alias(f"t{k}") for k in range(n)]
+        zipped.append(F.arrays_zip(*parts, F.slice(toks, lo + o + 1, length).alias("c")))
+    z = sent.where(size >= n).select(F.explode(F.concat(*zipped)).alias("z"))
+    entry = F.concat_ws("_", *[F.col(f"z.t{k}") for k in range(n)])
+    return z.select(entry.alias("entry"), F.concat(F.lit(prefix), F.col("z.c")).alias("feature"))
