@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.functions.features import default_row_filter, embedding_junk_filter, feature_type
+from lexivec.functions.features import default_row_filter, embedding_junk_filter
 from lexivec.operators import cleaning, compose as C, counting, embeddings as EM, neighbours as NB
 from lexivec.operators import reduction as RD, regression as RG, selection as SEL, tensors as TS
 from lexivec.sinks.writers import stage, write_sparse_tsv, write_tensors
@@ -158,7 +158,3 @@ def feature_selection_pipeline(docfeat: DataFrame, labels: DataFrame, vectors: D
         neigh = NB.knn_exact(vectors, k=n_neighbours, queries=vocab_vecs)
     return selected, docs, neigh
 
-
-def observed_phrase_types(vectors: DataFrame) -> DataFrame:
-    """H4 helper: the phrase type of every entry of a union store."""
-    return vectors.select("entry", feature_type("entry").alias("type"))
