@@ -8,6 +8,8 @@ distributed dense index.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +92,18 @@ def presence_mask(features: DataFrame, vector_entries: DataFrame | None,
 
 def select_features(docfeat: DataFrame, labels: DataFrame, k="all", must_be_in_thesaurus: bool = False,
                     vector_entries: DataFrame | None = None, min_log_odds: float = 0.0,
-                    mode: str = "keep_best") -> DataFrame:
-    """Score (chi² unless every feature is kept, then 1), AND of the
-    three independent masks, survivors re-indexed by sorted feature:
-    ``(feature, col_id, score)``."""
+                    mode: str = "keep_best", score_func=None) -> DataFrame:
+    """Score (``score_func(docfeat, labels) -> (feature, score)``, chi²
+    when None; all 1 when every feature is kept), AND of the three independent
+    masks, survivors re-indexed by sorted feature: ``(feature, col_id, score)``."""
+    score_func = score_func or chi2_scores
     feats = docfeat.select("feature").distinct()
     n_feats = feats.count()
     if k == "all" or int(k) >= n_feats:
         scores = feats.withColumn("score", F.lit(1.0))
         best = feats
     else:
-        scores = chi2_scores(docfeat, labels)
+        scores = score_func(docfeat, labels)
         best = k_best(scores, k, mode)
     keep = best
     if must_be_in_thesaurus:
@@ -112,5 +115,9 @@ def select_features(docfeat: DataFrame, labels: DataFrame, k="all", must_be_in_t
 
 
 def transform_docs(docfeat: DataFrame, selected: DataFrame) -> DataFrame:
-    """Project documents on the surviving features, with their new ids."""
+    """Project documents on the surviving features, with their new ids; an
+    empty vocabulary passes the documents through unchanged (logged)."""
+    if selected.limit(1).count() == 0:
+        logging.error("Empty vocabulary")
+        return docfeat
     return docfeat.join(selected.select("feature", "col_id"), "feature")

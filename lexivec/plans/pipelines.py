@@ -10,10 +10,10 @@ from __future__ import annotations
 import logging
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.functions.features import default_row_filter, embedding_junk_filter
+from lexivec.functions.features import default_row_filter, dimension_names, embedding_junk_filter
 from lexivec.operators import cleaning, compose as C, counting, embeddings as EM, neighbours as NB
 from lexivec.operators import reduction as RD, regression as RG, selection as SEL, tensors as TS
 from lexivec.sinks.writers import stage, write_sparse_tsv, write_tensors
@@ -25,12 +25,21 @@ COUNT_COMPOSERS = (C.ADD, C.MULT, C.LEFT, C.VERB, C.RIGHT)
 EMBEDDING_COMPOSERS = (C.ADD, C.MULT, C.LEFT, C.RIGHT, C.VERB)
 
 
+def dense_features(spark: SparkSession, dims: int, pattern: str) -> DataFrame:
+    """``(col_id, feature)`` names of dense columns (``f%02d``, ``f%d``,
+    ``RAE-feat%d``, ``rand%d``)."""
+    return spark.range(1).select(F.posexplode(dimension_names(dims, pattern)).alias("col_id", "feature"))
+
+
 def compose_and_write(unigrams: DataFrame, phrases: DataFrame, composers, out_dir: str,
-                      name: str, dense: bool = True, row_filter=default_row_filter) -> list[str]:
+                      name: str, dense: bool = True, row_filter=default_row_filter,
+                      dim_pattern: str = "f%d") -> list[str]:
     """Unigram vectors filtered at load (C1), every composer run over the
     phrase list, one output per composer (unigrams first, then composed
-    phrases).  A composer that composes nothing is logged and skipped."""
+    phrases) plus its column names.  A composer that composes nothing is
+    logged and skipped."""
     uni = unigrams.where(row_filter(F.col("entry")))
+    dims = len(uni.select("vec").first()["vec"]) if uni.limit(1).count() else 0
     done = []
     for comp in composers:
         out = C.compose_dense(phrases, uni, [comp]).select("phrase", "vec")
@@ -41,6 +50,8 @@ def compose_and_write(unigrams: DataFrame, phrases: DataFrame, composers, out_di
         path = os.path.join(out_dir, f"composed_{name}_{comp.name}")
         if dense:
             rows.write.mode("overwrite").parquet(path)
+            dense_features(rows.sparkSession, dims, dim_pattern).write.mode("overwrite") \
+                .parquet(path + ".features")
         else:
             cells = rows.select("entry", F.posexplode("vec").alias("col_id", "weight")) \
                 .select("entry", F.format_string("f%d", "col_id").alias("feature"), "weight")
@@ -81,10 +92,11 @@ def word2vec_pipeline(spark: SparkSession, corpus: DataFrame, phrases: DataFrame
     outputs = []
     for r in range(repeats):
         outputs += compose_and_write(reps.where(F.col("repeat") == r).select("entry", "vec"), phrases,
-                                     EMBEDDING_COMPOSERS, out_dir, f"w2v-rep{r}")
+                                     EMBEDDING_COMPOSERS, out_dir, f"w2v-rep{r}", dim_pattern="f%02d")
     if average and repeats > 1:
         avg = cleaning.combine_repeats(reps, repeats, "mean")
-        outputs += compose_and_write(avg, phrases, EMBEDDING_COMPOSERS, out_dir, f"w2v-avg{repeats}")
+        outputs += compose_and_write(avg, phrases, EMBEDDING_COMPOSERS, out_dir, f"w2v-avg{repeats}",
+                                     dim_pattern="f%02d")
     return outputs
 
 
@@ -94,8 +106,16 @@ def glove_pipeline(spark: SparkSession, sentences: DataFrame, phrases: DataFrame
     vocab = counting.vocabulary(sentences, min_count).select(F.col("token").alias("entry"))
     cooc = (EM.distance_weighted_cooc(sentences, window).join(vocab, "entry", "left_semi")
             .join(vocab.withColumnRenamed("entry", "ctx"), "ctx", "left_semi"))
-    vecs = stage(spark, os.path.join(out_dir, "glove"),
-                 lambda: EM.train_glove(cooc, dim, sweeps)[0].where(embedding_junk_filter("entry")), True)
+    seen = Observation("glove_junk_filter")
+
+    def train():
+        trained = EM.train_glove(cooc, dim, sweeps)[0].observe(seen, F.count(F.lit(1)).alias("before"),
+                                                               F.count_if(embedding_junk_filter("entry"))
+                                                               .alias("kept"))
+        return trained.where(embedding_junk_filter("entry"))
+
+    vecs = stage(spark, os.path.join(out_dir, "glove"), train, True)
+    log.info("C7 kept %s", seen.get)   # before/after counts of the junk filter
     return compose_and_write(vecs, phrases, EMBEDDING_COMPOSERS, out_dir, "glove")
 
 
@@ -141,6 +161,7 @@ def random_pipeline(phrases: DataFrame, out_dir: str, dim: int = 100) -> str:
     """A9 (unigrams included) -> I10."""
     path = os.path.join(out_dir, "random_vectors")
     NB.random_vectors(phrases.select(F.col("phrase").alias("entry")), dim).write.mode("overwrite").parquet(path)
+    dense_features(phrases.sparkSession, dim, "rand%d").write.mode("overwrite").parquet(path + ".features")
     return path
 
 

@@ -239,3 +239,20 @@ def test_multiply_rows_equals_long_form(spark, tmp_text):
     a = sorted(map(tuple, C.multiply_rows(ph, src.weights).collect()))
     b = sorted(map(tuple, C.compose_long(ph, src.weights, [C.MULT]).collect()))
     assert a == b and ("Mult", "b/V_b/V", "z", 25.0) in a
+
+
+def test_conll_wholetext_fallback(spark, tmp_path):
+    p = tmp_path / "crlf.conll"
+    p.write_bytes(b"1\tA\ta\tDT\tO\t2\tdet\r\n2\tdog\tdog\tNN\tO\t0\troot\r\n \r\n1\tRan\trun\tVBD\tO\t0\troot\r\n")
+    got = corpus.read_conll(spark, str(p), wholetext=True).orderBy("sentence").collect()
+    assert [r["sentence"] for r in got] == ["a/DET dog/N", "run/V"]
+
+
+def test_selection_score_func_and_empty_vocabulary(spark):
+    from lexivec.operators import selection as SEL
+    docfeat, lab = catalog.labelled_docfeat(spark, SF_SMALL)
+    flat = SEL.select_features(docfeat, lab, k=5, score_func=lambda d, l: d.select("feature").distinct()
+                               .withColumn("score", F.length("feature").cast("double")))
+    assert flat.count() == 5
+    empty = flat.where("false")
+    assert SEL.transform_docs(docfeat, empty).count() == docfeat.count()

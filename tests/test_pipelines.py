@@ -64,3 +64,24 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     want = catalog.cooc_raw(spark, SF_SMALL)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_word2vec_glove_and_third_party_pipelines(spark, tmp_path):
+    from lexivec.operators.neighbours import random_vectors
+    phrases = _phrases(spark)
+    corpus = catalog.corpus_sentences(spark, SF_SMALL)
+    p2 = P.word2vec_pipeline(spark, corpus, phrases, str(tmp_path / "p2"), percent=50, repeats=2,
+                             average=True, dim=6, min_count=5)
+    assert any("avg2" in p for p in p2)
+    names = spark.read.parquet(p2[0] + ".features").orderBy("col_id").collect()
+    assert [r["feature"] for r in names] == [f"f{i:02d}" for i in range(6)]
+    sent = T.sentences(T.read_corpus(spark, SF_SMALL))
+    p3 = P.glove_pipeline(spark, sent, phrases, str(tmp_path / "p3"), dim=3, sweeps=1, window=2)
+    assert p3
+    surfaces = catalog._surfaces(spark, SF_SMALL).select("surface", "row_id")
+    emb = random_vectors(surfaces.withColumnRenamed("surface", "entry"), 4) \
+        .withColumnRenamed("entry", "surface").join(surfaces, "surface")
+    p4 = P.third_party_pipeline(spark, emb, phrases, str(tmp_path / "p4"))
+    assert p4
+    clean = spark.read.parquet(str(tmp_path / "p4" / "clean_unigrams"))
+    assert clean.select("lemma").distinct().count() * 3 == clean.count()
