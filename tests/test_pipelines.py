@@ -85,3 +85,12 @@ def test_word2vec_glove_and_third_party_pipelines(spark, tmp_path):
     assert p4
     clean = spark.read.parquet(str(tmp_path / "p4" / "clean_unigrams"))
     assert clean.select("lemma").distinct().count() * 3 == clean.count()
+
+
+def test_regression_pipeline(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    space = catalog.observed_space(spark, sf, max_n=3)
+    outs = P.regression_pipeline(spark, space, catalog._np_phrases(spark, sf), str(tmp_path / "p6"), dim=10)
+    assert set(outs) == {"Baroni", "Guevara", "Multistep"}
+    assert outs["Guevara"].count() > 0 and outs["Baroni"].count() > 0
+    assert outs["Guevara"].where(F.size("vec") != 10).count() == 0
