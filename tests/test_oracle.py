@@ -48,9 +48,18 @@ def test_every_oracle_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "int": "INTEGER"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
-    got = rows_of(QUERIES[name](spark, SF_SMALL).toPandas())
+    sdf = QUERIES[name](spark, SF_SMALL)
+    rel = duck.sql(SQL[name])
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got = rows_of(sdf.toPandas())
     want = rows_of(duck.execute(SQL[name]).df())
     assert got[0] == want[0]
     assert len(got[1]) == len(want[1])
