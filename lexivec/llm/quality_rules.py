@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import SPACE, prepare
+from lexivec.llm.common import SPACE, prepare, staged
 
 #: Shrunk failure rate from which a host is distrusted.
 HOST_RATE = 0.5
@@ -26,52 +26,48 @@ LIMITS = {"symbols": (10, 30), "capitals": (30, 50), "lines": (30, 60), "repeats
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
 
-#: Name of the struct column that the operator adds.
+#: Name of the struct column that the operator adds, and its counts.
 VERDICT = "_quality"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that stand in a 3-word window found twice or more in the text."""
+def _windows(words: Column) -> Column:
+    """Hashes of the 3-word windows of a text."""
     n = F.size(words)
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return hashes
+    return F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def with_features(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """``docs`` with a struct ``_quality`` of counts and failed rules."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn(VERDICT, F.struct(
-        text.alias("t"),
-        F.filter(F.split(text, SPACE + "+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines")))
-    q = lambda name: F.col(f"{VERDICT}.{name}")
-    out = out.withColumn(VERDICT, F.struct(
-        F.size(q("words")).cast("long").alias("n_words"),
-        F.length(F.translate(q("t"), " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(q("t")) - _without(q("t"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(q("lines")) - F.size(F.array_distinct(q("lines")))).cast("long").alias("n_dup_lines"),
-        F.size(q("lines")).cast("long").alias("n_lines"),
-        (F.length(q("t")) - _without(q("t"), CAPITALS)).cast("long").alias("n_capitals"),
-        _repeat_words(q("words")).alias("h")))
+    """``docs`` with a struct ``_quality`` of counts and failed rules.  Intermediate
+    arrays are plain columns of their own, so that each is computed once."""
+    q = lambda name: F.col(f"{VERDICT}_{name}")
+    add = lambda df, **columns: df.withColumns({f"{VERDICT}_{k}": v for k, v in columns.items()})
+    out = add(docs, t=F.coalesce(F.col(text_col), F.lit("")))
+    out = add(out, words=F.filter(F.split(q("t"), SPACE + "+"), lambda w: w != ""),
+              lines=F.filter(F.split(q("t"), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    out = add(out, n_words=F.size(q("words")).cast("long"),
+              word_chars=F.length(F.translate(q("t"), " \t\n\x0b\x0c\r", "")).cast("long"),
+              n_symbols=(F.length(q("t")) - _without(q("t"), SYMBOLS)).cast("long"),
+              n_dup_lines=(F.size(q("lines")) - F.size(F.array_distinct(q("lines")))).cast("long"),
+              n_lines=F.size(q("lines")).cast("long"),
+              n_capitals=(F.length(q("t")) - _without(q("t"), CAPITALS)).cast("long"),
+              h=_windows(q("words")))
     # positions of windows that occur again: neighbours in the order of (hash, position)
-    repeated = F.size(F.array_distinct(q("h"))) < F.size(q("h"))
-    out = out.withColumn(VERDICT, F.col(VERDICT).withField("s", F.when(repeated, F.sort_array(
-        F.transform(q("h"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).dropFields("h"))
+    out = add(out, s=F.when(F.size(F.array_distinct(q("h"))) < F.size(q("h")), F.sort_array(
+        F.transform(q("h"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     m = F.size(q("s"))
     same = lambda a, b: F.get(q("s"), a)["h"] == F.get(q("s"), b)["h"]
-    starts = F.transform(
+    out = add(out, r=F.when(q("s").isNotNull(), F.transform(
         F.filter(F.sequence(F.lit(0), m - 1), lambda j: ((j > 0) & same(j, j - 1)) | ((j < m - 1) & same(j, j + 1))),
-        lambda j: F.get(q("s"), j)["i"])
-    out = out.withColumn(VERDICT, F.col(VERDICT).withField("r", F.when(q("s").isNotNull(), starts)).dropFields("s"))
+        lambda j: F.get(q("s"), j)["i"])))
     covered = F.array_union(F.array_union(q("r"), F.transform(q("r"), lambda i: i + 1)),
                             F.transform(q("r"), lambda i: i + 2))
-    out = out.withColumn(VERDICT, F.col(VERDICT).withField(
-        "n_repeat_words", F.coalesce(F.when(q("r").isNotNull(), F.size(covered)), F.lit(0)).cast("long")).dropFields("r"))
+    out = add(out, n_repeat_words=F.coalesce(F.when(q("r").isNotNull(), F.size(covered)), F.lit(0)).cast("long"))
 
     def fails(k: int) -> Column:
         over = lambda part, whole, rule: 100 * part > LIMITS[rule][k] * whole
@@ -79,10 +75,9 @@ def with_features(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
                 | over(q("n_dup_lines"), q("n_lines"), "lines") | over(q("n_repeat_words"), q("n_words"), "repeats"))
 
     base = (q("n_words") < LEAST_WORDS) | (100 * q("n_repeat_words") > BASE_REPEAT * q("n_words"))
-    return out.withColumn(VERDICT, F.struct(
-        *(q(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        base.alias("base_failed"), fails(0).alias("strict_failed"), fails(1).alias("lenient_failed"),
-        F.col(host_col).alias("host")))
+    return out.select(*docs.columns, F.struct(
+        *(q(c).alias(c) for c in COUNTS), base.alias("base_failed"), fails(0).alias("strict_failed"),
+        fails(1).alias("lenient_failed"), F.col(host_col).alias("host")).alias(VERDICT))
 
 
 def host_verdicts(features: DataFrame) -> DataFrame:
@@ -102,24 +97,25 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("distrusted", F.col("rate") >= HOST_RATE)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with a struct ``_quality``: the five counts, ``base_failed``,
-    ``host_rate`` and ``kept``.
+def judge(docs: DataFrame, columns: list[str] | None = None, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with a struct ``_quality``: the five
+    counts, ``base_failed``, ``host_rate`` and ``kept``.
 
     Null text has no words and fails the base rule; rows without a host are a host
     of their own.  Repeated rows are judged (and counted) one by one; equal texts
     get equal counts.  All other columns pass through.  An empty table gives no
     rows."""
     prepare(docs.sparkSession)
-    features = with_features(docs, text_col, host_col)
+    columns = docs.columns if columns is None else columns
+    features = staged(with_features(docs, text_col, host_col).select(*columns, VERDICT), "quality-features")
     hosts = host_verdicts(features).select(F.col("host").alias("_quality_host"), "rate", "distrusted")
     v = F.col(VERDICT)
     joined = features.join(hosts, v["host"].eqNullSafe(F.col("_quality_host")), "left") \
         .withColumn(VERDICT, F.struct(
-            *(v[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
+            *(v[c].alias(c) for c in (*COUNTS, "base_failed")),
             F.col("rate").alias("host_rate"),
             (~v["base_failed"] & ~F.when(F.col("distrusted"), v["strict_failed"]).otherwise(v["lenient_failed"])).alias("kept")))
-    return joined.select(*docs.columns, VERDICT)
+    return joined.select(*columns, VERDICT)
 
 
 #: The same rules in DuckDB SQL; ``verdicts`` has a row per document.

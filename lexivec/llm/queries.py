@@ -25,10 +25,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    verdict = quality_rules.VERDICT
-    return quality_rules.judge(table(spark, sf_dir, "documents")) \
-        .select("doc_id", *(F.col(f"{verdict}.{c}").alias(c) for c in names))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", *(F.col(f"{quality_rules.VERDICT}.{c}").alias(c)
+                                     for c in (*quality_rules.COUNTS, "base_failed", "kept")))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
