@@ -49,8 +49,8 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataF
         for b in batches:
             out, held = [], 0
             texts, doc_ids, rows = b["text"].tolist(), b["doc_id"].tolist(), b["row"].tolist()
-            for s in range(0, len(texts), 256):
-                for doc_id, row, ids in zip(doc_ids[s: s + 256], rows[s: s + 256], enc.encode(texts[s: s + 256])):
+            for s in range(0, len(texts), 4096):
+                for doc_id, row, ids in zip(doc_ids[s: s + 4096], rows[s: s + 4096], enc.encode(texts[s: s + 4096])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     n = len(ids)
                     for start in range(0, n, window):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,25 @@ from lexivec.llm.common import utf8
 
 #: Units in each of a worker's two memo generations; when the young one is full
 #: it becomes the old one, from which units still in use move up again.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 250_000
 #: Characters of text that one vectorised step works on.
-STEP_CHARS = 4_000_000
-#: An ASCII space next to other white space; one that stands alone.
-_TOUCH = re.compile(r" \s|\s ")
+STEP_CHARS = 12_000_000
+#: An ASCII space that stands alone.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A word of Latin letters that normalising leaves whole (no U+0130, U+0149, U+017F),
+#: then marks without an apostrophe: two pre-tokens at most.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1
+    characters stand for themselves, the others for 256, 257, ... in turn."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class UnitEncoder:
@@ -55,10 +69,44 @@ class UnitEncoder:
         self.whole = not (self.drops_space or one(f"{a} {b}") == one(a) + one(f" {b}"))
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        # pre-tokens may go to the library's model directly where that gives the same ids
+        self.model, self.direct = self.tok.model, False
+        if not self.whole:
+            probe = ["The", "Größe,", "été.&%$", "thntiestion", "Ñandú!!", "worthless#", "ÆON;", "straße", *([] if self.drops_space else ["end.\nNew", "a\nb,\nc"])]
+            self.direct = all(self._direct(u if self.drops_space else " " + u) == self._ids(u if self.drops_space else " " + u)
+                              for u in probe)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, x: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        ids = self.parts.get(x)
+        if ids is None:
+            ids = self.old_parts.get(x)
+            if ids is None:
+                y = x.encode().decode("latin-1").translate(_LETTERS)
+                found = [t.id for t in self.model.tokenize(y)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.parts[x] = ids
+        return ids
+
+    def _direct(self, unit: str) -> bytes | None:
+        """Ids of a plain unit, None if it isn't plain."""
+        space = "" if self.drops_space or unit[:1] != " " else " "
+        out = b""
+        # single line ends between words are pre-tokens of their own
+        for i, piece in enumerate((unit.lower() if self.drops_space else unit[len(space):]).split("\n")):
+            m = _PLAIN.fullmatch(piece)
+            if m is None:
+                return None
+            out += (self._part("\n") + self._part(m[1])) if i else self._part(space + m[1])
+            if m[2]:
+                out += self._part(m[2])
+        return out
+
     def _learn(self, units: list[str]) -> None:
         """Encode units that the memo lacks.  Unless white space is dropped, a
         unit begins with its space."""
@@ -67,6 +115,9 @@ class UnitEncoder:
             if u in self.old:
                 self.memo[u] = self.old[u]
                 continue
+            if self.direct and (ids := self._direct(u)) is not None:
+                self.memo[u] = ids
+                continue
             body = u if self.drops_space else u[1:]
             bad = self.sep_id is None or not body or self.sep_char in u or any(s in u for s in self.special)
             bad = bad or (not self.drops_space and (u[:1] != " " or body[:1].isspace() or body[-1:].isspace()))
@@ -99,11 +150,6 @@ class UnitEncoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
-    @staticmethod
-    def _simple(t: str) -> bool:
-        """Every ASCII space stands between two characters that aren't white space."""
-        return bool(t) and not t[0].isspace() and not t[-1].isspace() and _TOUCH.search(t) is None
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         todo, chars = [], 0
@@ -111,8 +157,8 @@ class UnitEncoder:
             t = "" if t is None else t
             if not t:
                 out[i] = np.zeros(0, "<u4")
-            elif self.whole or (not self.drops_space and not self._simple(t)):
-                out[i] = self._slow(t)
+            elif self.whole:
+                out[i] = np.frombuffer(self._ids(t), "<u4")
             else:
                 todo.append(i)
                 chars += len(t)
@@ -124,8 +170,7 @@ class UnitEncoder:
         return out
 
     def _slow(self, t: str) -> np.ndarray:
-        if self.whole:
-            return np.frombuffer(self._ids(t), "<u4")
+        """A text in which white space touches white space: cut at lone spaces only."""
         units = _CUT.split(t)
         units = [units[0], *(" " + u for u in units[1:])]
         new = [u for u in dict.fromkeys(units) if u not in self.memo]
@@ -137,6 +182,8 @@ class UnitEncoder:
     def _bound(self) -> None:
         if len(self.memo) > MEMO_UNITS:
             self.old, self.memo = self.memo, {}
+        if len(self.parts) > MEMO_UNITS:
+            self.old_parts, self.parts = self.parts, {}
 
     def _step(self, texts: list, todo: list[int], out: list) -> None:
         flat, counts = self._units([texts[i] for i in todo])
@@ -149,6 +196,15 @@ class UnitEncoder:
         self._learn([u for u in keys if u not in memo])
         vals = [memo[u] for u in keys]
         starts_of = np.concatenate([[0], np.cumsum(counts)])
+        if not self.drops_space:
+            # texts with a unit that is empty or has white space at an end go another way
+            touch = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+            if touch.any():
+                bad = np.logical_or.reduceat(touch[index], starts_of[:-1])
+                for k in np.flatnonzero(bad).tolist():
+                    out[todo[k]] = self._slow(texts[todo[k]])
+                rest = [i for k, i in enumerate(todo) if not bad[k]]
+                return self._step(texts, rest, out) if rest else None
         if not self.drops_space:
             # the first unit of a text has no space before it
             lead = [words[index[s]] for s in starts_of[:-1]]
@@ -157,12 +213,13 @@ class UnitEncoder:
             vals += [memo[u] for u in extra]
             index = index.astype(np.int64)
             index[starts_of[:-1]] = [extra[u] for u in lead]
-        size = np.fromiter((len(v) // 4 for v in vals), np.int64, len(vals))
+        size = np.fromiter(map(len, vals), np.int32, len(vals)) // 4
         pool = np.frombuffer(b"".join(vals), "<u4")
-        begin = np.cumsum(size) - size
+        begin = np.cumsum(size, dtype=np.int32) - size
         n = size[index]
-        ends = np.cumsum(n)
-        where = np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        ends = np.cumsum(n, dtype=np.int32)  # a step has far fewer ids than 2 ** 31
+        where = np.repeat(begin[index] - (ends - n), n)
+        where += np.arange(len(where), dtype=np.int32)
         ids = pool[where]
         cuts = np.concatenate([[0], ends])[starts_of]
         for k, i in enumerate(todo):
