@@ -109,8 +109,13 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
         .where(~in_space | (F.col("alone") + F.col("rank") <= places))
     lists = staged(ranked.select("token", "cls", "n"), "join-index")
 
-    facts = sent.groupBy("cls").agg(F.first(F.struct("row", "n", *(f"o{i}" for i in range(len(ORDERS))))).alias("f"))
-    texts = source.select("row", "text")
+    heads = lists.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared_lists = staged(lists.join(heads, "token"), "join-lists")
+    # one row, its prefixes and its text for each class that has a candidate at all
+    busy = shared_lists.select("cls").distinct()
+    facts = staged(sent.select("cls", F.struct("row", *(f"o{i}" for i in range(len(ORDERS)))).alias("f")).join(busy, "cls", "left_semi")
+                   .groupBy("cls").agg(F.first("f").alias("f")), "join-facts")
+    held = staged(source.select("row", "text").join(facts.select("cls", F.col("f.row").alias("row")), "row").select("cls", "text"), "join-texts")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs ``a, b`` of classes those that are linked."""
@@ -118,13 +123,9 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
         meet = F.lit(True)
         for i in range(len(ORDERS)):
             meet = meet & F.arrays_overlap(F.col(f"fa.o{i}"), F.col(f"fb.o{i}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(meet) \
-            .select("a", "b", F.col("fa.row").alias("ra"), F.col("fb.row").alias("rb"))
-        pairs = staged(pairs, f"{name}-candidates")
-        needed = pairs.select(F.col("ra").alias("row")).unionByName(pairs.select(F.col("rb").alias("row"))).distinct()
-        held = staged(texts.join(needed, "row"), f"{name}-texts")
-        full = pairs.join(held.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb") \
-            .join(held.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra") \
+        pairs = staged(pairs.join(side("a"), "a").join(side("b"), "b").where(meet).select("a", "b"), f"{name}-candidates")
+        full = pairs.join(held.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b") \
+            .join(held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a") \
             .sortWithinPartitions("a").select("a", "b", "ta", "tb")
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,15 +142,14 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
 
         return staged(full.mapInPandas(check, "a long, b long"), f"{name}-links")
 
-    heads = lists.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = lists.join(heads, "token").where((F.col("cls") != F.col("head.cls")) & _within(F.col("n"), F.col("head.n"), num, den)) \
+    stars = shared_lists.where((F.col("cls") != F.col("head.cls")) & _within(F.col("n"), F.col("head.n"), num, den)) \
         .select(F.col("head.cls").alias("a"), F.col("cls").alias("b")).distinct()
     stars = staged(stars, "join-stars")
     links = verify(stars, "join-first")
 
     # lists that still hold several components: all but the largest one meet the rest
     first = connected_components(links)
-    member = lists.join(first.select(F.col("node").alias("cls"), "component"), "cls", "left") \
+    member = shared_lists.select("token", "cls", "n").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left") \
         .withColumn("component", F.coalesce("component", "cls"))
     parts = member.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")) \
