@@ -24,9 +24,9 @@ from lexivec.llm.common import utf8
 
 #: Units in each of a worker's two memo generations; when the young one is full
 #: it becomes the old one, from which units still in use move up again.
-MEMO_UNITS = 250_000
+MEMO_UNITS = 180_000
 #: Characters of text that one vectorised step works on.
-STEP_CHARS = 12_000_000
+STEP_CHARS = 8_000_000
 #: An ASCII space that stands alone.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A word of Latin letters that normalising leaves whole (no U+0130, U+0149, U+017F),
