@@ -29,7 +29,7 @@ BUCKET_ROWS = 4096
 
 
 def fit(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take: at most ``count``, their words at
+    """How many copies of each size to take: at most ``count``, their words at
     most ``budget`` and near it (the best reachable remainder after the bulk)."""
     take = np.zeros(len(size), np.int64)
     total = int((size * count).sum())
@@ -107,8 +107,9 @@ def mix(docs: DataFrame, seed: int = 1, key: str = "doc_id", text_col: str = "te
         p = p.sort_values("size")
         whole, target = int(p["source_size"].iloc[0]), float(p["target"].iloc[0])
         full = min(int(target // whole), MOST_COPIES)
-        more = fit(p["size"].to_numpy(np.int64), p["n"].to_numpy(np.int64), int(target - full * whole)) if full < MOST_COPIES else 0
-        return p.assign(full=full, more=more)[["source", "size", "n", "full", "more", "source_size", "target"]]
+        n = p["n"].to_numpy(np.int64)
+        copies = fit(p["size"].to_numpy(np.int64), n * (MOST_COPIES - full), int(target - full * whole))
+        return p.assign(full=full + copies // n, more=copies % n)[["source", "size", "n", "full", "more", "source_size", "target"]]
 
     planned = staged(budgets.groupBy("source").applyInPandas(
         plan, "source string, size long, n long, full long, more long, source_size long, target double"), "mix-plan")
