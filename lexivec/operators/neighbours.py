@@ -23,18 +23,22 @@ from lexivec.operators.indexing import global_index
 
 DEFAULT_K = 10
 TILE_ROWS = 4096
-SELECTION_MARGIN = 8
 
 OUT_SCHEMA = "entry string, neighbour string, distance double"
 
 
-def _token_keys(entries: pd.Series, width: int = 3) -> np.ndarray:
-    """Token hash matrix (n × width, -1 padded) for the lexical-overlap test."""
-    out = np.full((len(entries), width), -1, dtype=np.int64)
-    for r, e in enumerate(entries):
-        for c, t in enumerate(str(e).split("_")[:width]):
-            out[r, c] = hash(t) & 0x7FFFFFFFFFFFFFFF
-    return out
+def _token_keys(q: pd.Series, c: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all tokens of each entry (rows padded with -1), numbered
+    alike on both sides, for the lexical-overlap test."""
+    number: dict[str, int] = {}
+    lists = [[[number.setdefault(t, len(number)) for t in str(e).split("_")] for e in side] for side in (q, c)]
+    out = []
+    for rows in lists:
+        keys = np.full((len(rows), max(map(len, rows))), -1, dtype=np.int64)
+        for r, ids in enumerate(rows):
+            keys[r, : len(ids)] = ids
+        out.append(keys)
+    return out[0], out[1]
 
 
 def _tile_knn(k: int, exclude_self: bool, allow_overlap: bool):
@@ -51,18 +55,19 @@ def _tile_knn(k: int, exclude_self: bool, allow_overlap: bool):
         if exclude_self:
             d2[qe[:, None] == ce[None, :]] = np.inf
         if not allow_overlap:
-            qt, ct = _token_keys(q["entry"]), _token_keys(c["entry"])
+            qt, ct = _token_keys(q["entry"], c["entry"])
             clash = np.zeros(d2.shape, dtype=bool)
             for a in range(qt.shape[1]):
                 for b in range(ct.shape[1]):
                     clash |= (qt[:, a, None] == ct[None, :, b]) & (qt[:, a, None] >= 0)
             d2[clash] = np.inf
-        m = min(k + SELECTION_MARGIN, Cm.shape[0])
-        cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < Cm.shape[0] else \
-            np.tile(np.arange(Cm.shape[0]), (Q.shape[0], 1))
+        m = min(k, Cm.shape[0])
+        # all candidates up to the k-th distance, ties and rounding included
+        reach = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        reach = reach + 1e-9 * (1.0 + qn + cn.max())
         rows_e, rows_n, rows_d = [], [], []
         for r in range(Q.shape[0]):
-            idx = cand[r][np.isfinite(d2[r, cand[r]])]
+            idx = np.flatnonzero((d2[r] <= reach[r]) & np.isfinite(d2[r]))
             if idx.size == 0:
                 continue
             # exact distances from differences for the few survivors

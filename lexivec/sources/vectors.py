@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions.features import feature_type, smart_lower
@@ -97,20 +97,24 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
 
 def read_line_aligned(spark: SparkSession, phrases_path: str, emitted_path: str, vectors_path: str,
                       width: int | None = None) -> DataFrame:
-    """A7 + D11 + C9: three files aligned by line number — phrases as given,
-    phrases as emitted, comma-separated vectors.  Rows whose emitted phrase holds
+    """A7 + D11 + C9: three files, or folders of as many files, aligned by file (in
+    the order of their names) and line number — phrases as given, phrases as
+    emitted, comma-separated vectors.  Rows whose emitted phrase holds
     ``*UNKNOWN*`` are dropped.  Files are read whole (one row each) and numbered
     by ``posexplode``; the line counts must agree."""
     def numbered(path, name):
-        doc = spark.read.text(path, wholetext=True)
+        doc = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        # one small row per file
+        files = doc.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("file_no"))
         lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-        return doc.select(F.posexplode(lines).alias("line_no", name))
+        return doc.join(files, "file").select("file_no", F.posexplode(lines).alias("line_no", name))
 
     a, b, c = numbered(phrases_path, "phrase"), numbered(emitted_path, "emitted"), numbered(vectors_path, "csv")
     counts = [x.count() for x in (a, b, c)]
     if len(set(counts)) != 1:
         raise AssertionError(f"line counts differ: {counts}")
-    j = a.join(b, "line_no").join(c, "line_no").where(~F.col("emitted").contains("*UNKNOWN*"))
+    at = ["file_no", "line_no"]
+    j = a.join(b, at).join(c, at).where(~F.col("emitted").contains("*UNKNOWN*"))
     vec = F.transform(F.split("csv", ","), lambda x: F.trim(x).cast("double"))
     out = j.select("line_no", "phrase", vec.alias("vec"))
     if width is not None:
