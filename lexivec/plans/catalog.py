@@ -1,6 +1,7 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
-Every query reads the driver tables (or views Spark derives from them) in full.
+Queries over the corpus views read the English documents' ASCII words (see
+``sources/tables.py``); all others read the driver tables in full.
 Doubles are rounded to 6 digits at the boundary so the oracle comparison is
 insensitive to summation order.
 """
