@@ -37,6 +37,8 @@ POOL, DEGREE, ALPHA = 64, 24, 1.2
 BEAM, SLACK = 24, 0.05
 #: Overlap: clusters within this angle (radians) of the nearest one.
 OVERLAP = 0.06
+#: Vectors searched for at once (a multiple of 8), pairs compared at once.
+QUERIES, STEP = 256, 1 << 16
 #: Queries of the audit, and the recall it asks for.
 AUDIT, RECALL = 256, 0.95
 
@@ -55,7 +57,12 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
             if len(mine):
                 m = mine.sum(0)
                 c[j] = m / max(np.linalg.norm(m), 1e-12)
-    return c
+    # of centroids within the overlap one stays: else all of a dense group is in each of its shards
+    close, kept = c @ c.T > math.cos(OVERLAP), []
+    for j in range(k):
+        if not close[j, kept].any():
+            kept.append(j)
+    return c[kept]
 
 
 def build(x: np.ndarray) -> list[np.ndarray]:
@@ -116,51 +123,77 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: int, be
         done[r] |= best[r] < 0
 
 
-def in_range(x: np.ndarray, graph: np.ndarray, beam: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of cosine >= threshold that search and range expansion find."""
+def similar(x: np.ndarray, queries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cosines of pairs ``i n + j`` of a query's position and a row: a matrix product
+    where a good part of all is asked for, else a bounded number at a time."""
     n = len(x)
+    if 16 * len(at) > len(queries) * n:
+        return (x[queries] @ x.T).reshape(-1)[at]
+    out = np.empty(len(at), x.dtype)
+    for s in range(0, len(at), STEP):
+        i, j = np.divmod(at[s: s + STEP], n)
+        out[s: s + STEP] = np.einsum("nd,nd->n", x[queries[i]], x[j])
+    return out
+
+
+def in_range(exact: np.ndarray, graph: np.ndarray, beam: int, threshold: float) -> np.ndarray:
+    """Verified pairs of cosine >= threshold that search and range expansion find, as
+    a symmetric matrix of packed bits: a dense shard never holds a list of its pairs.
+    ``graph``: neighbour table whose edges go both ways."""
+    x, (n, width) = exact.astype(np.float32), graph.shape
     mean = x.mean(0)
     start = int((x @ mean).argmax())
-    pairs = []
-    for s in range(0, n, 1024):
-        queries = np.arange(s, min(n, s + 1024))
+    bits = np.zeros((n, -(-n // 8)), np.uint8)
+    for s in range(0, n, QUERIES):
+        queries = np.arange(s, min(n, s + QUERIES))
         found = search(x, graph, queries, start, beam)
-        qi, node = np.repeat(np.arange(len(queries)), found.shape[1]), found.ravel()
-        qi, node = np.append(qi[node >= 0], np.arange(len(queries))), np.append(node[node >= 0], queries)
-        seen = np.unique(qi * n + node)
-        front = seen
-        while len(front):  # expand from all that is within or near the range
-            fq, fn = front // n, front % n
-            near = np.einsum("nd,nd->n", x[queries[fq]], x[fn]) >= threshold - SLACK
-            fq, step = fq[near], graph[fn[near]]
-            new = np.unique((fq[:, None] * n + step)[step >= 0])
-            front = new[~np.isin(new, seen, assume_unique=True)]
-            fq, fn = front // n, front % n
-            front = front[np.einsum("nd,nd->n", x[queries[fq]], x[fn]) >= threshold - SLACK]
-            seen = np.union1d(seen, front)
-        a, b = queries[seen // n], seen % n
-        ok = a != b
-        pairs.append(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], 1))
-    p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), int)
-    return p[:, 0], p[:, 1]
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of a shard's pairs."""
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist()):
-        x, y = root(i), root(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
+        seen, near = np.zeros((2, len(queries), n), bool)
+        q, c = np.nonzero(found >= 0)
+        seen[q, found[q, c]] = True
+        seen[np.arange(len(queries)), queries] = True
+        front = np.flatnonzero(seen)
+        while True:  # expand from all that is within or near the range
+            front = front[similar(x, queries, front) >= threshold - SLACK]
+            if not len(front):
+                break
+            near.reshape(-1)[front] = True
+            step = np.zeros((n + 1, len(queries)), bool)  # the last row: no neighbour
+            step[front % n, front // n] = True
+            step = np.packbits(step, axis=1)
+            fresh = np.zeros((n, step.shape[1]), np.uint8)
+            for at in range(0, n, max(1, STEP // width)):
+                part = slice(at, at + max(1, STEP // width))
+                fresh[part] = np.bitwise_or.reduce(step[graph[part]], axis=1)
+            front = np.flatnonzero(np.unpackbits(fresh, axis=1, count=len(queries)).T & ~seen)
+            seen.reshape(-1)[front] = True
+        pair = np.flatnonzero(near)
+        pair = pair[similar(exact, queries, pair) >= threshold]
+        near[:] = False
+        near.reshape(-1)[pair] = True
+        near[np.arange(len(queries)), queries] = False
+        bits[s: s + len(queries)] = np.packbits(near, axis=1)
+    both = np.empty_like(bits)
+    for s in range(0, n, QUERIES):  # what either side found
+        rows = np.unpackbits(bits[s: s + QUERIES], axis=1, count=n)
+        turned = np.unpackbits(bits[:, s // 8: -(-(s + len(rows)) // 8)], axis=1, count=len(rows)).T
+        both[s: s + len(rows)] = np.packbits(rows | turned, axis=1)
+    return both
+
+
+def _forest(bits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the components of a shard's links."""
+    n = len(bits)
+    fresh, out = np.ones(n, np.uint8), []
+    for i in range(n):
+        if not fresh[i]:
+            continue
+        fresh[i], todo = 0, [i]
+        while todo:
+            u = todo.pop()
+            new = np.flatnonzero(np.unpackbits(bits[u], count=n) & fresh)
+            fresh[new] = 0
+            out += [(u, v) for v in new.tolist()]
+            todo += new.tolist()
     return out
 
 
@@ -268,16 +301,22 @@ def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, ov
         graph = np.full((len(ids), max(1, max(map(len, lists)))), -1)
         for i, l in enumerate(lists):
             graph[i, : len(l)] = l
-        a, b = in_range(exact.astype(np.float32), graph, beam, threshold)
-        shard, held = int(p["shard"].iloc[0]), p["shards"].tolist()
-        cosine = np.einsum("nd,nd->n", exact[a], exact[b]) if len(a) else np.zeros(0)
-        a, b = a[cosine >= threshold], b[cosine >= threshold]
-        own = np.array([min(set(held[i]).intersection(held[j])) == shard for i, j in zip(a.tolist(), b.tolist())], bool)
+        bits = in_range(exact, graph, beam, threshold)
+        # a pair counts in the first shard that both are in: here, if they share no earlier one
+        shard = int(p["shard"].iloc[0])
+        earlier = [[k for k in held if k < shard] for held in p["shards"].tolist()]
+        place = {k: i for i, k in enumerate(sorted({k for held in earlier for k in held}))}
+        member = np.zeros((len(ids), len(place)), np.float32)
+        for i, held in enumerate(earlier):
+            member[i, [place[k] for k in held]] = 1
         copies, count = p["copies"].to_numpy(), np.zeros(len(ids), np.int64)
-        np.add.at(count, a[own], copies[b[own]])
-        np.add.at(count, b[own], copies[a[own]])
+        for s in range(0, len(ids), QUERIES):
+            linked = np.unpackbits(bits[s: s + QUERIES], axis=1, count=len(ids)).astype(bool)
+            if place:
+                linked &= member[s: s + QUERIES] @ member.T == 0
+            count[s: s + QUERIES] = linked @ copies
         at = np.flatnonzero(count)
-        span = _forest(len(ids), a, b)
+        span = _forest(bits)
         return pd.DataFrame({"node": np.concatenate([ids[at], ids[[i for i, _ in span]]]) if len(at) or span else np.zeros(0, np.int64),
                              "links": np.concatenate([count[at], np.zeros(len(span), np.int64)]),
                              "other": pd.array([None] * len(at) + [int(ids[j]) for _, j in span], "Int64")})
