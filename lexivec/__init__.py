@@ -9,7 +9,6 @@ functions/  column expressions: feature grammar, PoS handling, dense vector alge
 operators/  counting, PPMI, composition, tensors, regression, neighbours,
             feature selection, embedding training, cleaning
 plans/      end-to-end pipelines with stage materialisation
-streaming/  incremental co-occurrence counting over a file stream
 """
 
 from lexivec.session import ensure_checkpoint_dir, ensure_package, get_session

@@ -105,9 +105,10 @@ def knn_exact(vectors: DataFrame, k: int = DEFAULT_K, queries: DataFrame | None
 
 
 def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, bucket_length: float = 0.05,
-            num_tables: int = 8, threshold: float = 1.3, seed: int = 7) -> DataFrame:
+            num_tables: int = 8, seed: int = 7) -> DataFrame:
     """Approximate neighbours via Euclidean LSH (``BucketedRandomProjectionLSH``);
-    only pairs sharing a bucket are scored, then ranked as in G6."""
+    all pairs sharing a bucket of some table are scored, then ranked as in G6.  An entry
+    with fewer than k bucket mates has a shorter list."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -115,7 +116,7 @@ def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, bucket_length: float = 0.05,
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
                                         bucketLength=bucket_length, numHashTables=num_tables,
                                         seed=seed).fit(feats)
-    pairs = model.approxSimilarityJoin(feats, feats, threshold, distCol="distance")
+    pairs = model.approxSimilarityJoin(feats, feats, float("inf"), distCol="distance")
     pairs = pairs.select(F.col("datasetA.entry").alias("entry"), F.col("datasetB.entry").alias("neighbour"),
                          "distance").where(F.col("entry") != F.col("neighbour"))
     w = Window.partitionBy("entry").orderBy("distance", "neighbour")
@@ -137,18 +138,23 @@ def constant_neighbours(entries: DataFrame) -> DataFrame:
 
 def random_neighbours(entries: DataFrame, vocabulary: DataFrame, k: int = 1, seed: int = 0) -> DataFrame:
     """K distinct vocabulary items per entry, score 1.0 (may include the
-    entry itself, as in the reference).  The vocabulary gets dense ids; each
-    entry starts at an md5-derived offset and takes k consecutive ids modulo
-    the vocabulary size, so the k picks are distinct whenever k <= |vocab|."""
+    entry itself, as in the reference).  The vocabulary gets dense ids; each entry
+    draws a uniform sample without replacement (Floyd's method: draw i is below
+    n - k + i + 1 and, where taken already, is n - k + i), from md5 of entry, seed and i."""
     n = vocabulary.select("entry").distinct().count()
     if n == 0:
         raise ValueError("You need to provide a set of values to choose from first")
     k = min(k, n)
     vocab = global_index(vocabulary.select("entry").distinct(), ["entry"], col="idx")
-    start = F.conv(F.substring(F.md5(F.concat(F.col("entry"), F.lit("#"), F.lit(str(seed)))), 1, 8), 16, 10) \
-        .cast("bigint")
-    picks = entries.select("entry", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.pmod(start + t, F.lit(n)))).alias("t", "idx"))
+    def drawn(held, i):
+        top = F.lit(n - k) + i
+        key = F.concat(F.col("entry"), F.lit(f"#{seed}#"), i.cast("string"))
+        draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % (top + 1)
+        return F.concat(held, F.array(F.when(F.array_contains(held, draw), top).otherwise(draw)))
+
+    sample = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")),
+                         F.array().cast("array<bigint>"), drawn)
+    picks = entries.select("entry", F.posexplode(sample).alias("t", "idx"))
     return (picks.join(vocab.select(F.col("idx"), F.col("entry").alias("neighbour")), "idx")
             .select("entry", (F.col("t") + 1).cast("long").alias("rank"), "neighbour",
                     F.lit(1.0).alias("score")))

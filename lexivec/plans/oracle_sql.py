@@ -258,9 +258,13 @@ SELECT entry, CAST(1 AS BIGINT) AS rank, 'b/N' AS neighbour, 1.0::DOUBLE AS scor
 SQL["random_neighbours"] = "WITH " + LEX + """,
 voc AS (SELECT entry, row_number() OVER (ORDER BY entry) - 1 AS idx FROM (SELECT DISTINCT entry FROM lex)),
 n AS (SELECT count(*) AS n FROM voc),
-picks AS (SELECT entry, t,
-                 (CAST(('0x' || substr(md5(entry || '#0'), 1, 8)) AS BIGINT) + t) % (SELECT n FROM n) AS idx
-          FROM lex, (SELECT unnest(range(3)) AS t))
+h AS (SELECT DISTINCT entry, n, CAST(('0x' || substr(md5(entry || '#0#0'), 1, 8)) AS BIGINT) % (n - 2) AS r0,
+             CAST(('0x' || substr(md5(entry || '#0#1'), 1, 8)) AS BIGINT) % (n - 1) AS r1,
+             CAST(('0x' || substr(md5(entry || '#0#2'), 1, 8)) AS BIGINT) % n AS r2 FROM lex, n),
+h1 AS (SELECT *, CASE WHEN r1 = r0 THEN n - 2 ELSE r1 END AS p1 FROM h),
+h2 AS (SELECT *, CASE WHEN r2 IN (r0, p1) THEN n - 1 ELSE r2 END AS p2 FROM h1),
+picks AS (SELECT entry, 0 AS t, r0 AS idx FROM h2 UNION ALL SELECT entry, 1, p1 FROM h2
+          UNION ALL SELECT entry, 2, p2 FROM h2)
 SELECT p.entry, CAST(p.t + 1 AS BIGINT) AS rank, v.entry AS neighbour, 1.0::DOUBLE AS score
 FROM picks p JOIN voc v ON p.idx = v.idx"""
 

@@ -70,18 +70,15 @@ def ensure_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a private scratch folder for it."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Where it is unset, local mode gets
+    a private scratch folder; on a cluster that is an error, since executors don't
+    see the driver's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = fallback or tempfile.mkdtemp(prefix="lexivec-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint dir for materialised stage tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)

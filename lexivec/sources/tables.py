@@ -96,11 +96,6 @@ def lexicon(embeddings: DataFrame) -> DataFrame:
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
-def nouns(embeddings: DataFrame) -> DataFrame:
-    lex = lexicon(embeddings)
-    return lex.where(F.col("entry").endswith("/N"))
-
-
 def phrases(embeddings: DataFrame) -> DataFrame:
     """``(phrase, ord)`` — the phrase list, in input order ``ord``."""
     i = F.col("vec_id")

@@ -1,4 +1,4 @@
-"""End-to-end pipelines on the smallest driver tables, and the stream counter."""
+"""End-to-end pipelines on the smallest driver tables."""
 
 import os
 
@@ -8,7 +8,6 @@ from conftest import SF_SMALL
 from lexivec.operators import counting
 from lexivec.plans import catalog, pipelines as P
 from lexivec.sources import tables as T
-from lexivec.streaming.cooc_stream import start_cooc_counts
 
 
 def _phrases(spark):
@@ -51,21 +50,6 @@ def test_feature_selection_pipeline(spark):
     assert neigh.select("entry").distinct().count() == n
 
 
-def test_stream_counts_equal_batch(spark, tmp_path):
-    src = str(tmp_path / "docs")
-    docs = T.read_table(spark, SF_SMALL, "documents")
-    docs.where("doc_id % 2 = 0").write.parquet(src)
-    q = start_cooc_counts(spark, src, str(tmp_path / "ckpt"), sink_name="cooc_test", schema=docs.schema)
-    q.processAllAvailable()
-    docs.where("doc_id % 2 = 1").write.mode("append").parquet(src)
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("cooc_test")
-    want = catalog.cooc_raw(spark, SF_SMALL)
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
-
-
 def test_word2vec_glove_and_third_party_pipelines(spark, tmp_path):
     from lexivec.operators.neighbours import random_vectors
     phrases = _phrases(spark)
