@@ -1,13 +1,15 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
-Queries over the corpus views read the English documents' ASCII words (see
-``sources/tables.py``); all others read the driver tables in full.
+Every query reads its driver tables in full, documents of all languages
+included (see ``sources/tables.py`` for the derived views).
 Doubles are rounded to 6 digits at the boundary so the oracle comparison is
 insensitive to summation order.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +73,9 @@ def vocab_mincount(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("token", "n")
 
 
-QUERY_QUOTAS = (("N", 2000), ("V", 2000), ("J", 1000), ("RB", 0), ("AN", 0), ("NN", 0))
-
-
 def type_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 on the raw co-occurrence counts, quotas at 1/100 of the reference's."""
-    return counting.type_quota(cooc_raw(spark, sf_dir), QUERY_QUOTAS)
+    """G1 on the raw co-occurrence counts."""
+    return counting.type_quota(cooc_raw(spark, sf_dir))
 
 
 # ---- composition ---------------------------------------------------------------
@@ -139,17 +138,18 @@ def compose_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- tensors ---------------------------------------------------------------------
 
-TENSOR_DIMS = 8
+TENSOR_DIMS = 64
 
 
 def _tensor_inputs(spark, sf_dir):
-    lex = T.lexicon(_emb(spark, sf_dir)).select("entry", F.slice("vec", 1, TENSOR_DIMS).alias("vec"))
-    svo = T.svo_triples(T.read_table(spark, sf_dir, "lineitem"))
+    emb = _emb(spark, sf_dir)
+    lex = T.lexicon(emb).select("entry", "vec")
+    svo = T.svo_triples(T.read_table(spark, sf_dir, "lineitem"), emb.count())
     return lex, svo
 
 
 def verb_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 + C13 + D4 on the lineitem triples, first 8 dimensions."""
+    """F4 + C13 + D4 on the lineitem triples."""
     lex, svo = _tensor_inputs(spark, sf_dir)
     t = TS.train_verb_tensors(svo, lex, dim=TENSOR_DIMS)
     return t.select("verb", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
@@ -181,15 +181,18 @@ def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9 stand-in: distinct tagged words of the labelled English documents."""
+    """A9 stand-in: distinct tagged words of the labelled documents."""
     docs = T.read_corpus(spark, sf_dir).join(
         T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return (T.english_tokens(docs).select(T.tag_by_length("token").alias("entry")).distinct())
+    return (T.tokens(docs).select(T.tag_by_length("token").alias("entry")).distinct())
 
 
 def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I10 over the labelled vocabulary, 10 dimensions."""
-    return long_vectors(NB.random_vectors(labelled_vocabulary(spark, sf_dir), dim=10), key="entry")
+    """I10 over the labelled vocabulary, 100 dimensions; one row per word, its
+    values in millionths, joined by commas."""
+    vecs = NB.random_vectors(labelled_vocabulary(spark, sf_dir), dim=100)
+    digits = F.transform("vec", lambda x: F.floor(x * 1000000).cast("string"))
+    return vecs.select("entry", F.array_join(digits, ",").alias("vec"))
 
 
 def constant_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,10 +261,8 @@ def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- parsing, cleaning, repeats, sampling, unions, CoNLL ---------------------------------
 
 def parse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1-B5, C1, C4 on the distinct 1- to 4-grams of the labelled English documents."""
-    docs = T.read_corpus(spark, sf_dir).join(
-        T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    sent = T.sentences(docs)
+    """B1-B5, C1, C4 on the distinct 1- to 4-grams of the documents."""
+    sent = T.sentences(T.read_corpus(spark, sf_dir))
     size = F.size("toks")
     grams = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda n: n <= size),
                                   lambda n: F.transform(F.sequence(F.lit(0), size - n),
@@ -285,14 +286,11 @@ def combine_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_vectors(CL.combine_repeats(reps, 2, "mean"), key="entry")
 
 
-SURFACE_PATTERN = r"^[!-~]+$"
-
-
 def _surfaces(spark, sf_dir):
-    docs = T.read_corpus(spark, sf_dir).where(F.col("lang") == "en")
+    docs = T.read_corpus(spark, sf_dir)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     raw = lines.select("doc_id", "line_no", F.posexplode(F.split("line", "[ \t]+")).alias("pos", "surface"))
-    raw = raw.where(F.col("surface").rlike(SURFACE_PATTERN) & ~FT.has_punct_or_digit("surface"))
+    raw = raw.where((F.col("surface") != "") & ~FT.has_punct_or_digit("surface"))
     return raw.groupBy("surface").agg(F.min(F.struct("doc_id", "line_no", "pos")).alias("row_id"))
 
 
@@ -302,7 +300,7 @@ def _canonical(spark, sf_dir):
 
 
 def surface_form_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C8 -> B10 -> G2 on the raw words of the English documents."""
+    """C8 -> B10 -> G2 on the raw words of the documents."""
     return _canonical(spark, sf_dir).select("lemma", "surface")
 
 
@@ -353,7 +351,7 @@ def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(toks, lambda t, i: F.when(
         F.length(t) % 7 == 0, F.concat_ws("\t", (i + 1).cast("string"), t, t)).otherwise(
         F.concat_ws("\t", (i + 1).cast("string"), t,
-                    F.when(F.length(t) % 2 == 0, F.upper(t)).otherwise(t),
+                    F.when(F.length(t) % 2 == 0, F.translate(t, ascii_lowercase, ascii_uppercase)).otherwise(t),
                     F.get(tags, F.length(t) % 5), F.lit("O"), F.lit("0"), F.lit("dep"))))
     blocks = conv.select("conv_id", "turn", F.array_join(lines, "\n").alias("block"))
     return parse_conll_blocks(blocks).select("conv_id", "turn", "sentence", "n_malformed")
@@ -361,13 +359,16 @@ def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- reduction and regression composers -----------------------------------------------
 
-SVD_DIMS = 10
+SVD_DIMS = 100
+#: Rank of the spaces that the regression composers train on: the verb step solves for
+#: (d + 1)^2 d unknowns a verb, a million at d = 100.
+REGRESSION_DIMS = 10
 
 
 def svd_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 quotas -> I5: the PPMI rows of the kept entries reduced to 10 dimensions."""
+    """G1 quotas -> I5: the PPMI rows of the kept entries reduced to 100 dimensions."""
     counts = cooc_filtered(spark, sf_dir)
-    kept = counting.type_quota(counts, QUERY_QUOTAS).select("entry")
+    kept = counting.type_quota(counts).select("entry")
     weights = counting.ppmi(counts.join(kept, "entry", "left_semi"))
     vecs, _, _ = RD.truncated_svd(weights, SVD_DIMS)
     return long_vectors(vecs, key="entry")
@@ -377,8 +378,8 @@ OBSERVED_MIN_FEATURE = 40
 OBSERVED_MIN_EVENT = 3
 
 
-def observed_space(spark: SparkSession, sf_dir: str, max_n: int = 3, k: int = SVD_DIMS) -> DataFrame:
-    """Unigram and observed 2-/3-gram context counts of the English documents,
+def observed_space(spark: SparkSession, sf_dir: str, max_n: int = 3, k: int = REGRESSION_DIMS) -> DataFrame:
+    """Unigram and observed 2-/3-gram context counts of the documents,
     filtered (C11) over the union, PPMI-weighted and reduced together (P1's
     ``svd`` stage with observed phrases): ``vectors(entry, vec)``."""
     sent = T.sentences(T.read_corpus(spark, sf_dir))
@@ -391,7 +392,7 @@ def observed_space(spark: SparkSession, sf_dir: str, max_n: int = 3, k: int = SV
 
 
 def _np_phrases(spark, sf_dir, n: int = 2):
-    """Phrases of interest: the distinct n-grams of the labelled English documents."""
+    """Phrases of interest: the distinct n-grams of the labelled documents."""
     docs = T.read_corpus(spark, sf_dir).join(
         T.read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     sent = T.sentences(docs).where(F.size("toks") >= n)
@@ -404,23 +405,23 @@ def baroni_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I6 -> E9: per-modifier matrices from observed AN/NN vectors, applied to
     the AN/NN bigrams of the labelled documents."""
     space = observed_space(spark, sf_dir, max_n=2)
-    model = RG.train_baroni(space, SVD_DIMS)
-    return long_vectors(RG.compose_baroni(_np_phrases(spark, sf_dir), space, model, SVD_DIMS))
+    model = RG.train_baroni(space, REGRESSION_DIMS)
+    return long_vectors(RG.compose_baroni(_np_phrases(spark, sf_dir), space, model, REGRESSION_DIMS))
 
 
 def guevara_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I7 -> E10: the global full-additive model, applied likewise."""
     space = observed_space(spark, sf_dir, max_n=2)
-    model = RG.train_guevara(space, SVD_DIMS)
-    return long_vectors(RG.compose_guevara(_np_phrases(spark, sf_dir), space, model, SVD_DIMS))
+    model = RG.train_guevara(space, REGRESSION_DIMS)
+    return long_vectors(RG.compose_guevara(_np_phrases(spark, sf_dir), space, model, REGRESSION_DIMS))
 
 
 def multistep_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I8 -> E11: VO functions from observed SVO vectors, verb functions from
     those, applied to the SVO trigrams of the labelled documents."""
     space = observed_space(spark, sf_dir, max_n=3)
-    _, v_model = RG.train_multistep(space, SVD_DIMS)
-    return long_vectors(RG.compose_multistep(_np_phrases(spark, sf_dir, 3), space, v_model, SVD_DIMS))
+    _, v_model = RG.train_multistep(space, REGRESSION_DIMS)
+    return long_vectors(RG.compose_multistep(_np_phrases(spark, sf_dir, 3), space, v_model, REGRESSION_DIMS))
 
 
 # ---- embedding training ------------------------------------------------------------

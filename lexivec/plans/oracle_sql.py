@@ -5,6 +5,8 @@ runs on the small check scale)."""
 
 from __future__ import annotations
 
+NONLETTER = "[^\\p{L}]+"
+
 TAG = "CASE length({t}) % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'V' ELSE 'J' END"
 
 
@@ -16,10 +18,10 @@ SENT = f"""
 lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-  FROM documents WHERE lang = 'en'),
+  FROM documents),
 sent AS (
   SELECT doc_id, line_no,
-         list_transform(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: x <> ''),
+         list_transform(list_filter(regexp_split_to_array(lower(line), '{NONLETTER}'), lambda x: x <> ''),
                         lambda t: {tag('t')}) AS toks
   FROM lines),
 stok AS (
@@ -54,7 +56,7 @@ corpus AS (
   SELECT file, doc_id, line_no, toks FROM (
     SELECT file, doc_id, line_no,
            list_transform(list_filter(regexp_split_to_array(line, '[ \\t]+'),
-                                      lambda x: regexp_matches(x, '^[A-Za-z]+$')),
+                                      lambda x: regexp_matches(x, '^[^/_]+$')),
                           lambda t: {tag('lower(t)')}) AS toks
     FROM clines) WHERE len(toks) > 8)"""
 
@@ -79,7 +81,7 @@ freq AS (
          CASE WHEN regexp_matches(entry, '^[^/_]+/[A-Z]+$')
               THEN regexp_extract(entry, '^([^/_]+)/([A-Z]+)$', 2) ELSE 'EMPTY' END AS type
   FROM counts GROUP BY entry),
-quota AS (SELECT * FROM (VALUES ('N', 2000), ('V', 2000), ('J', 1000), ('RB', 0), ('AN', 0), ('NN', 0)) q(type, quota)),
+quota AS (SELECT * FROM (VALUES ('N', 200000), ('V', 200000), ('J', 100000), ('RB', 0), ('AN', 0), ('NN', 0)) q(type, quota)),
 r AS (
   SELECT f.entry, f.type, f.total, q.quota,
          row_number() OVER (PARTITION BY f.type ORDER BY f.total DESC, f.entry ASC) AS rank
@@ -111,11 +113,11 @@ etag AS (SELECT vec_id, embedding,
 lex AS (SELECT 'w' || CAST(vec_id AS VARCHAR) || '/' || tag AS entry, vec_id,
                list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM etag),
 ph AS (
-  SELECT 'w' || CAST(vec_id AS VARCHAR) || '/' || tag || '_w' || CAST((vec_id * 7 + 1) % 500 AS VARCHAR) || '/N'
+  SELECT 'w' || CAST(vec_id AS VARCHAR) || '/' || tag || '_w' || CAST((vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N'
            AS phrase, vec_id * 2 AS ord FROM etag
   UNION ALL
-  SELECT 'w' || CAST((vec_id * 3 + 2) % 500 AS VARCHAR) || '/N_w' || CAST(vec_id AS VARCHAR) || '/' || tag
-           || '_w' || CAST((vec_id * 11 + 5) % 500 AS VARCHAR) || '/N', vec_id * 2 + 1 FROM etag),
+  SELECT 'w' || CAST((vec_id * 3 + 2) % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N_w' || CAST(vec_id AS VARCHAR) || '/' || tag
+           || '_w' || CAST((vec_id * 11 + 5) % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N', vec_id * 2 + 1 FROM etag),
 ptype AS (SELECT phrase, ord, """ + ftype("phrase") + """ AS type FROM ph),
 ptok AS (SELECT phrase, unnest(string_split(phrase, '_')) AS token,
                 generate_subscripts(string_split(phrase, '_'), 1) - 1 AS pos FROM ph),
@@ -200,10 +202,10 @@ SELECT o.phrase, c.feature, round(c.value, 6) AS value FROM ok o LEFT JOIN cells
 # ---- tensors ------------------------------------------------------------------------
 
 TENSOR = "WITH " + LEX + """,
-svo AS (SELECT DISTINCT 'w' || CAST(l_partkey % 500 AS VARCHAR) || '/N' AS subj,
+svo AS (SELECT DISTINCT 'w' || CAST(l_partkey % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N' AS subj,
                         'v' || CAST(l_linenumber AS VARCHAR) || '/V' AS verb,
-                        'w' || CAST(l_suppkey % 500 AS VARCHAR) || '/N' AS obj FROM lineitem),
-nv AS (SELECT entry, list_slice(vec, 1, 8) AS vec FROM lex),
+                        'w' || CAST(l_suppkey % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N' AS obj FROM lineitem),
+nv AS (SELECT entry, vec FROM lex),
 ksvo AS (SELECT subj, verb, obj FROM svo
          WHERE subj IN (SELECT entry FROM nv) AND obj IN (SELECT entry FROM nv)),
 verbs AS (SELECT verb FROM ksvo GROUP BY verb HAVING count(*) >= 3),
@@ -212,12 +214,12 @@ tensor AS (SELECT k.verb, a.i, b.i AS j, sum(a.x * b.x) AS w
            FROM ksvo k JOIN sx a ON a.entry = k.subj JOIN sx b ON b.entry = k.obj
            WHERE k.verb IN (SELECT verb FROM verbs) GROUP BY k.verb, a.i, b.i),
 kv AS (SELECT * FROM ksvo WHERE verb IN (SELECT verb FROM verbs)),
-lhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.i, sum(t.w * b.x) AS m
-          FROM kv JOIN tensor t ON t.verb = kv.verb JOIN sx b ON b.entry = kv.obj AND b.i = t.j
-          GROUP BY kv.subj, kv.verb, kv.obj, t.i),
-rhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.j AS i, sum(t.w * a.x) AS m
-          FROM kv JOIN tensor t ON t.verb = kv.verb JOIN sx a ON a.entry = kv.subj AND a.i = t.i
-          GROUP BY kv.subj, kv.verb, kv.obj, t.j),
+mrow AS (SELECT verb, i, list(w ORDER BY j) AS m FROM tensor GROUP BY verb, i),
+mcol AS (SELECT verb, j AS i, list(w ORDER BY i) AS m FROM tensor GROUP BY verb, j),
+lhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.i, list_dot_product(t.m, b.vec) AS m
+          FROM kv JOIN mrow t ON t.verb = kv.verb JOIN nv b ON b.entry = kv.obj),
+rhalf AS (SELECT kv.subj, kv.verb, kv.obj, t.i, list_dot_product(t.m, a.vec) AS m
+          FROM kv JOIN mcol t ON t.verb = kv.verb JOIN nv a ON a.entry = kv.subj),
 halves AS (SELECT l.subj || '_' || l.verb || '_' || l.obj AS phrase, l.i AS dim,
                   s.x * l.m AS lv, o.x * r.m AS rv
            FROM lhalf l JOIN rhalf r ON l.subj = r.subj AND l.verb = r.verb AND l.obj = r.obj AND l.i = r.i
@@ -244,13 +246,12 @@ SELECT entry, CAST(rank AS BIGINT) AS rank, neighbour, round(dist, 6) AS distanc
 SQL["random_vectors"] = f"""
 WITH voc AS (
   SELECT DISTINCT {tag('t')} AS entry FROM (
-    SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t
-    FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels))),
-dims AS (SELECT unnest(range(10)) AS dim)
-SELECT entry, CAST(dim AS BIGINT) AS dim,
-       round(CAST(('0x' || substr(md5(entry || '#' || CAST(dim AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0, 6)
-         AS value
-FROM voc, dims"""
+    SELECT unnest(list_filter(regexp_split_to_array(lower(text), '{NONLETTER}'), lambda x: x <> '')) AS t
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)))
+SELECT entry, array_to_string(list_transform(range(100), lambda d: CAST(floor(
+         CAST(('0x' || substr(md5(entry || '#' || CAST(d AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 * 1000000)
+         AS BIGINT)), ',') AS vec
+FROM voc"""
 
 SQL["constant_neighbours"] = "WITH " + LEX + """
 SELECT entry, CAST(1 AS BIGINT) AS rank, 'b/N' AS neighbour, 1.0::DOUBLE AS score FROM lex"""
@@ -276,7 +277,7 @@ lab AS (SELECT l.doc_id, CAST(l.quality AS INTEGER) AS y FROM labels l
 docfeat AS (
   SELECT doc_id, feature, CAST(count(*) AS DOUBLE) AS weight FROM (
     SELECT doc_id, {tag('t')} AS feature FROM (
-      SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t
+      SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{NONLETTER}'), lambda x: x <> '')) AS t
       FROM documents WHERE doc_id IN (SELECT doc_id FROM lab)))
   GROUP BY doc_id, feature),
 prior AS (SELECT y, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY y),
@@ -315,21 +316,7 @@ FROM keep"""
 
 # ---- parsing, cleaning, repeats, sampling, unions, CoNLL --------------------------------------
 
-
-def sent_cte(where: str) -> str:
-    return f"""
-lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-  FROM documents WHERE {where}),
-sent AS (
-  SELECT doc_id, line_no,
-         list_transform(list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda x: x <> ''),
-                        lambda t: {tag('t')}) AS toks
-  FROM lines)"""
-
-
-SQL["parse_features"] = "WITH " + sent_cte("lang = 'en' AND doc_id IN (SELECT doc_id FROM labels)") + f""",
+SQL["parse_features"] = "WITH " + SENT + f""",
 grams AS (
   SELECT DISTINCT feature FROM (
     SELECT unnest(list_transform(range(len(toks) - n + 1), lambda i: array_to_string(toks[i + 1:i + n], '_')))
@@ -354,13 +341,13 @@ SURF = """
 elines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-  FROM documents WHERE lang = 'en'),
+  FROM documents),
 raw AS (
   SELECT doc_id, line_no, unnest(regexp_split_to_array(line, '[ \\t]+')) AS surface,
          generate_subscripts(regexp_split_to_array(line, '[ \\t]+'), 1) - 1 AS pos FROM elines),
 occ AS (SELECT surface, doc_id, line_no, pos,
                row_number() OVER (PARTITION BY surface ORDER BY doc_id, line_no, pos) AS k
-        FROM raw WHERE regexp_matches(surface, '^[A-Za-z]+$')),
+        FROM raw WHERE surface <> '' AND NOT regexp_matches(surface, '[!-/:-@\\[-`{-~0-9]')),
 surf AS (SELECT surface, doc_id, line_no, pos FROM occ WHERE k = 1),
 low AS (SELECT DISTINCT lower(surface) AS word FROM surf),
 dict AS (SELECT word, substr(word, 1, length(word) - 1) AS lemma FROM low
@@ -407,9 +394,9 @@ SELECT entry, CASE WHEN contains(entry, '_') THEN 'phrase' ELSE 'unigram' END AS
        count(*) AS n_features, CAST(sum(n) AS BIGINT) AS total
 FROM ufilt GROUP BY entry"""
 
-SQL["conll_reformat"] = """
+SQL["conll_reformat"] = f"""
 WITH c AS (SELECT conv_id, turn,
-                  list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS toks
+                  list_filter(regexp_split_to_array(lower(text), '{NONLETTER}'), lambda x: x <> '') AS toks
            FROM conversations)
 SELECT conv_id, turn,
        array_to_string(list_transform(list_filter(toks, lambda t: length(t) % 7 <> 0),

@@ -3,17 +3,17 @@
 The same views are written in DuckDB SQL for the oracle check
 (``lexivec/plans/oracle_sql.py``); keep both in step.
 
-* ``tok``      English documents, lowercased, split on ``[^a-z]+``, empties dropped
+* ``tok``      documents of all languages, lowercased, split on non-letters, empties dropped
 * ``sent``     the same tokens, split on newline first (contexts never cross lines)
 * tagging      ``token/TAG`` with TAG = N, V, J for ``length % 3`` = 0, 1, 2 — a
                deterministic stand-in for a tagger, not an operator
 * ``lexicon``  ``embeddings`` as unigram vectors ``w<vec_id>/<TAG>`` (TAG N for
                label < 7, J for 7-8, V for 9), doubles
 * ``phrases``  two phrases per embedding row ``i`` (its own token is always known,
-               its partners only when they are nouns):
-               ``w<i>/<tag_i>_w<(7i+1)%500>/N`` and
-               ``w<(3i+2)%500>/N_w<i>/<tag_i>_w<(11i+5)%500>/N``
-* ``svo``      distinct ``(w<l_partkey%500>/N, v<l_linenumber>/V, w<l_suppkey%500>/N)``
+               its partners only when they are nouns), with n the number of embeddings:
+               ``w<i>/<tag_i>_w<(7i+1)%n>/N`` and
+               ``w<(3i+2)%n>/N_w<i>/<tag_i>_w<(11i+5)%n>/N``
+* ``svo``      distinct ``(w<l_partkey%n>/N, v<l_linenumber>/V, w<l_suppkey%n>/N)``
                from ``lineitem``
 """
 
@@ -28,35 +28,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # Fixed values of the derived views.
-TOKEN_SPLIT = "[^a-z]+"
-PARTNER_MODULUS = 500
+TOKEN_SPLIT = r"[^\p{L}]+"
+#: Session setting: tasks that a corpus scan is dealt to; unset, it is read as stored.
+SPREAD_SETTING = "spark.lexivec.corpusPartitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan whose files hold fewer row groups than the cluster has
-    cores (a parquet row group is the unit of scan parallelism, so one large row
-    group is read by one task).  A corpus stored as many files or row groups —
-    the normal case at scale — is left alone: no extra shuffle."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    try:
-        import pyarrow.parquet as pq
-        groups = sum(pq.ParquetFile(f.replace("file://", "")).metadata.num_row_groups for f in files)
-    except Exception:
-        return df
-    return df.repartition(cores * 2) if groups < cores else df
-
-
 def read_corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A text table, spread over the cores when its layout would serialise the scan."""
-    return spread(read_table(spark, sf_dir, name))
+    """A text table.  A table stored as a single row group is read by one task; where
+    the session sets ``SPREAD_SETTING`` its rows are dealt to that many tasks."""
+    df = read_table(spark, sf_dir, name)
+    parts = spark.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def tokens_of(text) -> Column:
@@ -71,16 +57,14 @@ def tag_by_length(token) -> Column:
     return F.concat(t, F.lit("/"), F.when(m == 0, "N").when(m == 1, "V").otherwise("J"))
 
 
-def english_tokens(documents: DataFrame) -> DataFrame:
+def tokens(documents: DataFrame) -> DataFrame:
     """``tok(doc_id, pos, token)``."""
-    return (documents.where(F.col("lang") == "en")
-            .select("doc_id", F.posexplode(tokens_of("text")).alias("pos", "token")))
+    return documents.select("doc_id", F.posexplode(tokens_of("text")).alias("pos", "token"))
 
 
-def sentences(documents: DataFrame, english_only: bool = True, tagged: bool = True) -> DataFrame:
+def sentences(documents: DataFrame, tagged: bool = True) -> DataFrame:
     """``sent(doc_id, line_no, toks ARRAY<STRING>)``: one row per non-empty line."""
-    docs = documents.where(F.col("lang") == "en") if english_only else documents
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     toks = tokens_of("line")
     if tagged:
         toks = F.transform(toks, lambda t: tag_by_length(t))
@@ -98,6 +82,7 @@ def lexicon(embeddings: DataFrame) -> DataFrame:
 
 def phrases(embeddings: DataFrame) -> DataFrame:
     """``(phrase, ord)`` — the phrase list, in input order ``ord``."""
+    n = embeddings.count()
     i = F.col("vec_id")
     tag = F.when(F.col("label") < 7, "N").when(F.col("label") < 9, "J").otherwise("V")
 
@@ -105,19 +90,19 @@ def phrases(embeddings: DataFrame) -> DataFrame:
         return F.concat(F.lit("w"), idx.cast("string"), F.lit("/"), t)
 
     own = w(i, tag)
-    p2 = F.concat_ws("_", own, w((i * 7 + 1) % PARTNER_MODULUS, F.lit("N")))
-    p3 = F.concat_ws("_", w((i * 3 + 2) % PARTNER_MODULUS, F.lit("N")), own,
-                     w((i * 11 + 5) % PARTNER_MODULUS, F.lit("N")))
+    p2 = F.concat_ws("_", own, w((i * 7 + 1) % n, F.lit("N")))
+    p3 = F.concat_ws("_", w((i * 3 + 2) % n, F.lit("N")), own,
+                     w((i * 11 + 5) % n, F.lit("N")))
     return embeddings.select(F.explode(F.array(
         F.struct(p2.alias("phrase"), (i * 2).alias("ord")),
         F.struct(p3.alias("phrase"), (i * 2 + 1).alias("ord")))).alias("p")).select("p.*")
 
 
-def svo_triples(lineitem: DataFrame) -> DataFrame:
-    """``svo(subj, verb, obj, phrase)``, distinct."""
-    subj = F.concat(F.lit("w"), (F.col("l_partkey") % PARTNER_MODULUS).cast("string"), F.lit("/N"))
+def svo_triples(lineitem: DataFrame, n_vectors: int) -> DataFrame:
+    """``svo(subj, verb, obj, phrase)``, distinct, over ``n_vectors`` nouns."""
+    subj = F.concat(F.lit("w"), (F.col("l_partkey") % n_vectors).cast("string"), F.lit("/N"))
     verb = F.concat(F.lit("v"), F.col("l_linenumber").cast("string"), F.lit("/V"))
-    obj = F.concat(F.lit("w"), (F.col("l_suppkey") % PARTNER_MODULUS).cast("string"), F.lit("/N"))
+    obj = F.concat(F.lit("w"), (F.col("l_suppkey") % n_vectors).cast("string"), F.lit("/N"))
     t = lineitem.select(subj.alias("subj"), verb.alias("verb"), obj.alias("obj")).dropDuplicates()
     return t.withColumn("phrase", F.concat_ws("_", "subj", "verb", "obj"))
 

@@ -30,7 +30,7 @@ def test_count_pipeline_resumes_from_stages(spark, tmp_path):
 def test_categorical_and_random_pipelines(spark, tmp_path):
     emb = T.read_table(spark, SF_SMALL, "embeddings")
     lex = T.lexicon(emb).select("entry", F.slice("vec", 1, 4).alias("vec"))
-    svo = T.svo_triples(T.read_table(spark, SF_SMALL, "lineitem"))
+    svo = T.svo_triples(T.read_table(spark, SF_SMALL, "lineitem"), 500)
     out = P.categorical_pipeline(spark, svo, lex, str(tmp_path / "p5"), 4)
     assert {r["composer"] for r in out.select("composer").distinct().collect()} == {"CopyObj", "FAdd", "FMult"}
     path = P.random_pipeline(T.phrases(emb), str(tmp_path / "p7"), dim=6)
