@@ -8,10 +8,13 @@ they fill the window greedily: first those that fit whole, then the best remaini
 one is cut to the room that is left and its rest stays unused.  So only the last
 window of a shard can have padding.
 
-Shards: a tail's bucket is the smallest hash of its distinct ids (similar tails
-tend to meet), modulo a fixed number of buckets; small buckets are put together and
-large ones dealt out by row, so a shard has about ``shard_rows`` rows whatever the
-data, and one text that a third of all rows share is spread over many shards.
+Shards: a tail has ``HASHES`` weighted minimum hashes of its distinct ids; an id is
+drawn in proportion to its IDF over all tails, so an id that most tails hold is
+practically never drawn, and two tails agree in a hash with about the share of IDF that
+they have in common.  Tails are sorted by these hashes (range partitions) and shards are
+runs of about ``shard_rows`` rows: tails that agree in the first hash are together, those
+of an id with more rows than a shard by the second hash, and so on.  The row ends the
+order, so a text that a third of all rows share runs through many shards.
 """
 
 from __future__ import annotations
@@ -21,19 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm import tokens
-from lexivec.llm.common import mix, prepare, staged
+from lexivec.llm.common import mix, partitions, prepare, staged
 
 WINDOW = 2048
-#: Lexical buckets; the driver reads one count for each.
-BUCKETS = 4096
-#: Rows that a shard has about.
-SHARD_ROWS = 512
-#: A seed queries the index with this many of its terms, those of highest weight.
-QUERY_TERMS = 64
+#: Rows that a shard has about, and the hashes that tails are sorted by.
+SHARD_ROWS, HASHES = 512, 4
+#: Kinds of staged rows: full window, tail, and the document counts of a task's ids.
+FULL, TAIL, SEEN = 0, 1, 2
 K1, B = 1.2, 0.75
 
 
@@ -42,10 +44,12 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataFrame:
-    """Full windows (``bucket`` null) and tails of all documents, with ids."""
+    """Full windows and tails of all documents, with ids; and per task a row with the
+    number of tails that hold each id (``ids``: pairs of id and number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = tokens.encoder(tokenizer_path)
+        seen = np.zeros(0, np.int64)
         for b in batches:
             out, held = [], 0
             texts, doc_ids, rows = b["text"].tolist(), b["doc_id"].tolist(), b["row"].tolist()
@@ -55,24 +59,62 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataF
                     n = len(ids)
                     for start in range(0, n, window):
                         part = ids[start: start + window]
-                        bucket = None if len(part) == window else \
-                            int(mix(np.unique(part).astype(np.uint64), 7).min() % np.uint64(BUCKETS))
-                        out.append((doc_id, row, start, len(part), _crc(part), n, part.tobytes(), bucket))
+                        kind = FULL if len(part) == window else TAIL
+                        if kind == TAIL:
+                            distinct = np.unique(part)
+                            if distinct[-1] >= len(seen):
+                                seen = np.append(seen, np.zeros(int(distinct[-1]) + 1 - len(seen), np.int64))
+                            seen[distinct] += 1
+                        out.append((doc_id, row, start, len(part), _crc(part), n, part.tobytes(), kind))
                         held += len(part)
                 if held > 4_000_000:
                     yield _pieces(out)
                     out, held = [], 0
             yield _pieces(out)
+        at = np.flatnonzero(seen)
+        yield _pieces([(None, 0, 0, 0, 0, 0, np.stack([at, seen[at]], 1).astype("<i8").tobytes(), SEEN)])
 
     numbered = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").alias("text"),
                            F.monotonically_increasing_id().alias("row"))
     return numbered.mapInPandas(run, "doc_id string, row long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                     "ids binary, bucket int")
+                                     "ids binary, kind int")
 
 
 def _pieces(rows: list) -> pd.DataFrame:
-    p = pd.DataFrame(rows, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "ids", "bucket"])
-    return p.astype({"bucket": "Int32"})
+    return pd.DataFrame(rows, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "ids", "kind"])
+
+
+def document_counts(pieces: DataFrame) -> np.ndarray:
+    """Number of tails that hold each id; as many numbers as the vocabulary has come to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b["ids"]:
+                yield pd.DataFrame(np.frombuffer(x, "<i8").reshape(-1, 2), columns=["id", "n"])
+
+    found = pieces.where(F.col("kind") == SEEN).select("ids").mapInPandas(run, "id long, n long") \
+        .groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
+    df[found["id"].to_numpy(int)] = found["n"].to_numpy(int)
+    return df
+
+
+def draws(df: np.ndarray, n: int) -> np.ndarray:
+    """For each hash the place of every id in a random order weighted by IDF: of a set of
+    ids the first one is drawn with its share of the set's IDF (exponential races)."""
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    out = np.empty((HASHES, len(df)), np.int32)
+    for k in range(HASHES):
+        u = ((mix(np.arange(len(df), dtype=np.uint64), k + 1) >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+        out[k, np.argsort(-np.log(u) / idf, kind="stable")] = np.arange(len(df), dtype=np.int32)
+    return out
+
+
+def signatures(ids: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The drawn ids (by their places) of each tail, one row per hash."""
+    first = np.cumsum([0] + [len(x) for x in ids[:-1]])
+    flat = np.concatenate(ids)
+    return np.stack([np.minimum.reduceat(o[flat], first) for o in order])
 
 
 class Index:
@@ -95,11 +137,9 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum(df)])
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of all tails for the seed's terms of highest weight."""
+        """BM25 of all tails for all terms of the seed."""
         terms = self.term[self.first_of_doc[seed]: self.first_of_doc[seed + 1]]
         terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
         n = self.df[terms]
         if not n.sum():
             return np.zeros(self.n)
@@ -157,40 +197,46 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WI
     prepare(spark)
     pieces = staged(cut(docs, tokenizer_path, end_id, window), "packing-pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    full = pieces.where("bucket is null").select(
+    full = pieces.where(F.col("kind") == FULL).select(
         *columns, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
+    tails = pieces.where(F.col("kind") == TAIL)
+    n = tails.count()
+    order = spark.sparkContext.broadcast(draws(document_counts(pieces), n))  # HASHES numbers for each id of the vocabulary
+    keys = [f"h{k}" for k in range(HASHES)]
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                found = signatures([np.frombuffer(x, "<u4") for x in b["ids"]], order.value)
+                yield b.assign(**dict(zip(keys, found)))
 
-    # at most BUCKETS counts come to the driver
-    counts = sorted((r["bucket"], r["n"]) for r in pieces.where("bucket is not null").groupBy("bucket")
-                    .agg(F.count(F.lit(1)).alias("n")).collect())
-    deal, shard, held = [], 0, 0
-    for bucket, n in counts:
-        if n >= shard_rows:
-            parts = -(-n // shard_rows)
-            shard += 1 if held else 0
-            deal.append((bucket, shard, parts))
-            shard, held = shard + parts, 0
-            continue
-        if held and held + n > shard_rows:
-            shard, held = shard + 1, 0
-        deal.append((bucket, shard, 1))
-        held += n
-    plan = spark.createDataFrame(deal, "bucket int, first_shard long, parts long")
-    tails = pieces.where("bucket is not null").join(F.broadcast(plan), "bucket") \
-        .withColumn("shard", F.col("first_shard") + F.pmod(F.xxhash64("row"), F.col("parts")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
+    kept = "row long, doc_id string, start long, doc_tokens long, ids binary"
+    signed = tails.select("row", "doc_id", "start", "doc_tokens", "ids") \
+        .mapInPandas(sign, kept + "".join(f", {k} int" for k in keys))
+    ranges = max(1, min(partitions(spark), n // shard_rows))
+    ranged = signed.repartitionByRange(ranges, *keys, "row").sortWithinPartitions(*keys, "row")
+
+    def windows(rows: pd.DataFrame, base: int) -> tuple[pd.DataFrame, int]:
         ids = [np.frombuffer(x, "<u4") for x in rows["ids"]]
-        base = int(rows["shard"].iloc[0]) << 24
         doc_ids, starts, totals = rows["doc_id"].tolist(), rows["start"].tolist(), rows["doc_tokens"].tolist()
-        out = []
+        out, number = [], -1
         for number, offset, t, begin, length in pack_tails(ids, window):
             part = ids[t][begin: begin + length]
             out.append((doc_ids[t], starts[t] + begin, length, _crc(part), totals[t], base + number, offset, part.tobytes()))
-        return pd.DataFrame(out, columns=[*columns, "sequence_id", "offset", "ids"])
+        return pd.DataFrame(out, columns=[*columns, "sequence_id", "offset", "ids"]), base + number + 1
 
-    packed = tails.select("shard", "row", "doc_id", "start", "doc_tokens", "ids").groupBy("shard") \
-        .applyInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-                            "offset long, ids binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, held = TaskContext.get().partitionId() << 40, None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            while 2 * len(held) >= 3 * shard_rows:  # the last shard of a range has up to half as many rows more
+                out, base = windows(held.iloc[:shard_rows], base)
+                held = held.iloc[shard_rows:]
+                yield out
+        if held is not None and len(held):
+            yield windows(held, base)[0]
+
+    packed = ranged.select("doc_id", "start", "doc_tokens", "ids") \
+        .mapInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+                          "offset long, ids binary")
     return full.unionByName(packed).withColumn("doc_id", F.col("doc_id").cast("long"))

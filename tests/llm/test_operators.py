@@ -92,6 +92,32 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).collect() == []
 
 
+def test_like_tails_meet_in_a_shard(spark):
+    r = np.random.default_rng(11)
+    topics = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(12)] for _ in range(40)]
+    common = " ".join(WORDS)
+    texts = [f"{common} {' '.join(r.permutation(topics[i % 40]))} {common}" for i in range(640)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seq = collections.defaultdict(list)
+    for p in packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), shard_rows=64).select("doc_id", "sequence_id", "offset").collect():
+        seq[p.sequence_id].append((p.offset, p.doc_id % 40))
+    same = [t == min(pieces)[1] for pieces in seq.values() for _, t in sorted(pieces)[1:]]
+    assert np.mean(same) > 0.6
+
+
+def test_seed_is_scored_with_all_its_terms():
+    seed = np.arange(200, dtype="<u4")
+    ids = [seed] + [np.array([i, 1000 + i], "<u4") for i in range(200)]
+    assert (packing.Index(ids).scores(0) > 0).all()
+
+
+def test_ids_of_most_tails_are_not_drawn():
+    r = np.random.default_rng(12)
+    tails = [np.concatenate([np.arange(50), r.choice(np.arange(50, 5000), 20, replace=False)]).astype("<u4") for _ in range(2000)]
+    found = packing.signatures(tails, packing.draws(np.bincount(np.concatenate(tails)), len(tails)))
+    assert all(np.bincount(h).max() < 50 for h in found)
+
+
 def shingle_set(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i: i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])
