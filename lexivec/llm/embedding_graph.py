@@ -10,8 +10,11 @@ within range the search expands along edges while it stays near the range.  Pair
 are verified in double precision; a pair found in several shards counts in the
 first one that both share.
 
-A sample of vectors is held against all others (in blocks) to audit recall; below
-``RECALL`` the graph is searched anew with more overlap and a wider beam.
+A sample of vectors is held against all others (in blocks) to audit recall: the share
+of their links to other distinct vectors that was found.  It is drawn until ``LINKED``
+of it have a link.  Below ``RECALL`` the graph is searched anew with more overlap and a
+wider beam.  Where that does not help, or links are too rare to audit, all pairs of
+vectors are compared in blocks.
 
 Equal vectors are one node with a multiplicity, so copies make no pairs.
 """
@@ -39,8 +42,11 @@ BEAM, SLACK = 24, 0.05
 OVERLAP = 0.06
 #: Vectors searched for at once (a multiple of 8), pairs compared at once.
 QUERIES, STEP = 256, 1 << 16
-#: Queries of the audit, and the recall it asks for.
-AUDIT, RECALL = 256, 0.95
+#: First queries of the audit (more are drawn, up to SAMPLE, until so many have a link),
+#: and the recall it asks for.
+AUDIT, LINKED, RECALL = 256, 32, 0.95
+#: Rows on a side of an exact block comparison.
+BLOCK = 8192
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -225,29 +231,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     base = unit(np.array([r["v"] for r in sample]))
     k = max(1, min(MOST_CENTROIDS, len(base) // 2, math.ceil(n / SHARD_ROWS)))
     center = centroids(base.copy(), k)
-    queries = base[: min(AUDIT, len(base))]
-
-    # exact number of links of the audited vectors, against all nodes in blocks
-    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(queries), np.int64)
-        for b in batches:
-            x = unit(np.stack(b["v"].to_numpy()).astype(float))
-            total += ((x @ queries.T >= threshold) * b["copies"].to_numpy()[:, None]).sum(0)
-        yield pd.DataFrame({"q": np.arange(len(queries)), "links": total})
-
-    true = dict(nodes.select("v", "copies").mapInPandas(against, "q int, links long").groupBy("q").agg(F.sum("links")).collect())
 
+    true = _audit(nodes, base, threshold)
+    linked = sum(m > 0 for m in true.values())
+    # whoever has audited all vectors knows how many links there are, be they few or none
+    exact = linked < LINKED and len(true) < n
     beam, overlap = BEAM, OVERLAP
-    for attempt in range(3):
+    for attempt in range(0 if exact else 3):
         partial, edges = _links(nodes, center, threshold, beam, overlap)
-        links = nodes.join(partial.groupBy("node").agg(F.sum("links").alias("links")), "node", "left") \
-            .select("node", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        audited = spark.createDataFrame([(i, r["v"]) for i, r in enumerate(sample[: len(queries)])], "q int, v array<double>")
-        got = {r["q"]: r["n_links"] + 1 for r in links.join(F.broadcast(audited), "v").select("q", "n_links").collect()}
-        recall = sum(min(got.get(q, 0), m) - 1 for q, m in true.items()) / max(1, sum(m - 1 for m in true.values()))
-        if recall >= RECALL or not any(m > 1 for m in true.values()):
+        audited = spark.createDataFrame([(i, r["v"]) for i, r in enumerate(sample[: len(true)])], "q int, v array<double>")
+        got = dict(nodes.join(F.broadcast(audited), "v").join(partial, "node").groupBy("q").agg(F.sum("pairs")).collect())
+        if recall(true, got) >= RECALL:
             break
         beam, overlap = 2 * beam, 2 * overlap
+    else:
+        partial, edges = _all_links(nodes, threshold, n)
+    links = nodes.join(partial.groupBy("node").agg(F.sum("links").alias("links")), "node", "left") \
+        .select("node", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     found = connected_components(edges)
     labelled = staged(links.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
                       .select("v", "least", "n_links", "component"), "graph-labelled")
@@ -259,6 +259,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     return joined.unionByName(alone(rows.where("v is null")))
 
 
+def recall(true: dict[int, int], got: dict[int, int]) -> float:
+    """Share of the audited vectors' links to other distinct vectors that was found; 1 if there are none."""
+    return sum(min(got.get(q, 0), m) for q, m in true.items()) / sum(true.values()) if any(true.values()) else 1.0
+
+
+def _audit(nodes: DataFrame, base: np.ndarray, threshold: float) -> dict[int, int]:
+    """Exact number of other distinct vectors that each audited one is linked to,
+    against all nodes in blocks.  Vectors of ``base`` are drawn in order until LINKED
+    have a link or all are drawn."""
+    true: dict[int, int] = {}
+    while len(true) < len(base) and sum(m > 0 for m in true.values()) < LINKED:
+        first, end = len(true), min(len(base), max(AUDIT, 2 * len(true)))
+        queries = base[first: end]
+
+        def against(batches: Iterator[pd.DataFrame], first=first, queries=queries) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(queries), np.int64)
+            for b in batches:
+                x = unit(np.stack(b["v"].to_numpy()).astype(float))
+                for s in range(0, len(x), 1024):
+                    total += (x[s: s + 1024] @ queries.T >= threshold).sum(0)
+            yield pd.DataFrame({"q": np.arange(first, first + len(queries)), "links": total})
+
+        found = nodes.select("v").mapInPandas(against, "q int, links long").groupBy("q").agg(F.sum("links")).collect()
+        true |= {q: m - 1 for q, m in found}  # without itself
+    return true
+
+
 def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, overlap: float) -> tuple[DataFrame, DataFrame]:
     """Link counts per node and shard, and edges that span the components."""
     spark = nodes.sparkSession
@@ -309,19 +336,85 @@ def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, ov
         member = np.zeros((len(ids), len(place)), np.float32)
         for i, held in enumerate(earlier):
             member[i, [place[k] for k in held]] = 1
-        copies, count = p["copies"].to_numpy(), np.zeros(len(ids), np.int64)
+        copies, count, pairs = p["copies"].to_numpy(), *np.zeros((2, len(ids)), np.int64)
         for s in range(0, len(ids), QUERIES):
             linked = np.unpackbits(bits[s: s + QUERIES], axis=1, count=len(ids)).astype(bool)
             if place:
                 linked &= member[s: s + QUERIES] @ member.T == 0
             count[s: s + QUERIES] = linked @ copies
-        at = np.flatnonzero(count)
-        span = _forest(bits)
-        return pd.DataFrame({"node": np.concatenate([ids[at], ids[[i for i, _ in span]]]) if len(at) or span else np.zeros(0, np.int64),
-                             "links": np.concatenate([count[at], np.zeros(len(span), np.int64)]),
-                             "other": pd.array([None] * len(at) + [int(ids[j]) for _, j in span], "Int64")})
-
-    found = staged(ready.withColumn("shard", F.explode("shards")).groupBy("shard")
-                   .applyInPandas(look, "node long, links long, other long"), "graph-links")
-    return found.where("other is null").select("node", "links"), \
+            pairs[s: s + QUERIES] = linked.sum(1)
+        return _found(ids, count, pairs, _forest(bits))
+
+    return _parted(ready.withColumn("shard", F.explode("shards")).groupBy("shard").applyInPandas(look, FOUND))
+
+
+#: Links of a node (``links`` with copies, ``pairs`` without), or an edge to ``other``.
+FOUND = "node long, links long, pairs long, other long"
+
+
+def _found(ids: np.ndarray, count: np.ndarray, pairs: np.ndarray, span: list[tuple[int, int]]) -> pd.DataFrame:
+    at, none = np.flatnonzero(pairs), np.zeros(len(span), np.int64)
+    return pd.DataFrame({"node": np.concatenate([ids[at], ids[np.array([i for i, _ in span], int)]]),
+                         "links": np.concatenate([count[at], none]), "pairs": np.concatenate([pairs[at], none]),
+                         "other": pd.array([None] * len(at) + [int(ids[j]) for _, j in span], "Int64")})
+
+
+def _parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = staged(found, "graph-links")
+    return found.where("other is null").select("node", "links", "pairs"), \
         found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+
+def _all_links(nodes: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """As ``_links``, exactly: every two blocks of nodes are compared in a group of their own."""
+    return _parted(_compared(nodes.select("node", "copies", "v", F.lit(0).alias("shard"), F.array(F.lit(0)).alias("shards"),
+                                          F.lit(-(-n // BLOCK)).alias("blocks")), threshold))
+
+
+def _compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a shard's rows, dealt to ``blocks`` blocks, each two of them (and
+    each with itself) one group; a pair that shares an earlier shard counts there."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))) \
+        .select("shard", F.least("own", "facing").alias("a"), F.greatest("own", "facing").alias("b"), "own", "node", "copies", "v", "shards")
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        a, b, shard = (int(p[c].iloc[0]) for c in ("a", "b", "shard"))
+        p = p.sort_values(["own", "node"])
+        ids, copies, x = p["node"].to_numpy(), p["copies"].to_numpy(), unit(np.stack(p["v"].to_numpy()).astype(float))
+        n, left = len(ids), int((p["own"] == a).sum())
+        other = 0 if a == b else left  # rows from here on are compared with the left ones
+        held = [[k for k in ks if k < shard] for ks in p["shards"].tolist()]
+        place = {k: i for i, k in enumerate(sorted({k for ks in held for k in ks}))}
+        member = np.zeros((n, len(place)), np.float32)
+        for i, ks in enumerate(held):
+            member[i, [place[k] for k in ks]] = 1
+        count, pairs = np.zeros((2, n), np.int64)
+        bits = np.zeros((n, -(-n // 8)), np.uint8)
+        near = np.zeros((left, n - other), bool)
+        for s in range(0, left, QUERIES):
+            part = slice(s, min(left, s + QUERIES))
+            linked = x[part] @ x[other:].T >= threshold
+            if a == b:
+                linked[np.arange(len(linked)), np.arange(part.start, part.stop)] = False
+            near[part] = linked
+            if place:
+                linked &= member[part] @ member[other:].T == 0
+            count[part] += linked @ copies[other:]
+            pairs[part] += linked.sum(1)
+            if a != b:
+                count[left:] += copies[part] @ linked
+                pairs[left:] += linked.sum(0)
+        if not near.any():
+            return _found(ids, count, pairs, [])
+        for s in range(0, left, QUERIES):
+            rows = np.zeros((min(left, s + QUERIES) - s, n), bool)
+            rows[:, other:] = near[s: s + QUERIES]
+            bits[s: s + len(rows)] = np.packbits(rows, axis=1)
+        for s in range(left, n if a != b else left, QUERIES):
+            rows = np.zeros((min(n, s + QUERIES) - s, n), bool)
+            rows[:, :left] = near[:, s - left: s - left + len(rows)].T
+            bits[s: s + len(rows)] = np.packbits(rows, axis=1)
+        return _found(ids, count, pairs, _forest(bits))
+
+    return rows.groupBy("shard", "a", "b").applyInPandas(compare, FOUND)

@@ -327,6 +327,46 @@ def test_embedding_graph(spark):
     assert embedding_graph.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_embedding_graph_border_pairs(spark, monkeypatch):
+    """Pairs of cosine about 0.955 across the borders of many shards; vectors of many
+    copies, linked to nothing else, must not hide from the audit that pairs are lost."""
+    monkeypatch.setattr(embedding_graph, "SHARD_ROWS", 4)
+    r = np.random.default_rng(21)
+    base = embedding_graph.unit(r.normal(size=(600, 4)))
+    off = r.normal(size=(600, 4))
+    off = embedding_graph.unit(off - (off * base).sum(1, keepdims=True) * base)
+    near = np.hstack([np.vstack([base, 0.955 * base + (1 - 0.955 ** 2) ** 0.5 * off]), np.zeros((1200, 3))])
+    apart = np.array([(0.0, 0, 0, 0, x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if 0 < abs(x) + abs(y) + abs(z) < 3])
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(near.tolist())], "vec_id long, embedding array<float>")
+    copied = spark.createDataFrame([(x,) for x in apart.tolist()], "embedding array<float>")
+    frame = frame.unionByName(copied.crossJoin(spark.range(2000, 22000).withColumnRenamed("id", "vec_id")))
+    got = {row.vec_id: row for row in embedding_graph.near_duplicates(frame).where("vec_id < 2000").collect()}
+    x = embedding_graph.unit(near.astype(np.float32).astype(float))
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(1200)])
+    assert (found <= true).all() and found.sum() >= 0.93 * true.sum()  # audited: 0.95 of a sample's links
+
+
+def test_embedding_graph_rare_links(spark, monkeypatch):
+    """Where few of the audited vectors have a link, all pairs are compared."""
+    def lost(nodes, *_):
+        none = nodes.where("false")
+        return none.selectExpr("node", "copies links", "copies pairs"), none.selectExpr("node a", "node b")
+
+    monkeypatch.setattr(embedding_graph, "_links", lost)
+    monkeypatch.setattr(embedding_graph, "SAMPLE", 256)
+    monkeypatch.setattr(embedding_graph, "BLOCK", 300, raising=False)
+    r = np.random.default_rng(22)
+    base = r.normal(size=(1500, 32))
+    v = np.vstack([base, base[:6] + 0.1 * r.normal(size=(6, 32)), base[:3]])
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {row.vec_id: row for row in embedding_graph.near_duplicates(frame).collect()}
+    x = embedding_graph.unit(v.astype(np.float32).astype(float))
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    assert true.sum() >= 12 and [got[i].n_links for i in range(len(v))] == true.tolist()
+    assert all(got[i].component_id == got[1500 + i].component_id == i for i in range(6))
+
+
 def test_html_blocks(spark):
     page = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Site</header>"
             "<nav><ul><li><a href='/a'>Home</a></li></ul></nav><!-- x --><div class=\"ad\">Buy now</div><article><h1>Big &amp; title</h1>"
