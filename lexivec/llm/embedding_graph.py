@@ -16,6 +16,9 @@ of it have a link.  Below ``RECALL`` the graph is searched anew with more overla
 wider beam.  Where that does not help, or links are too rare to audit, all pairs of
 vectors are compared in blocks.
 
+A shard of more than ``BLOCK`` vectors, such as a dense group, is not searched by one
+task: each two blocks of it are compared exactly in a group of their own.
+
 Equal vectors are one node with a multiplicity, so copies make no pairs.
 """
 
@@ -45,7 +48,7 @@ QUERIES, STEP = 256, 1 << 16
 #: First queries of the audit (more are drawn, up to SAMPLE, until so many have a link),
 #: and the recall it asks for.
 AUDIT, LINKED, RECALL = 256, 32, 0.95
-#: Rows on a side of an exact block comparison.
+#: Rows on a side of an exact block comparison, and of a shard that one task searches.
 BLOCK = 8192
 
 
@@ -302,6 +305,10 @@ def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, ov
     placed = staged(nodes.select("node", "copies", "v").mapInPandas(
         assign, "node long, copies long, v array<double>, shards array<int>"), "graph-placed")
     by_shard = placed.withColumn("shard", F.explode("shards"))
+    # at most MOST_CENTROIDS counts; a shard of more than BLOCK rows is compared in blocks, no task holds it
+    blocks = [(r["shard"], -(-r["count"] // BLOCK)) for r in by_shard.groupBy("shard").count().collect()]
+    by_shard = by_shard.join(F.broadcast(spark.createDataFrame(blocks, "shard int, blocks int")), "shard")
+    large, small = by_shard.where("blocks > 1"), by_shard.where("blocks = 1")
 
     def grow(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("node")
@@ -313,9 +320,9 @@ def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, ov
                 out[j].add(i)
         return pd.DataFrame({"node": ids, "near": [ids[sorted(out[i])] for i in range(len(ids))]})
 
-    lists = by_shard.select("shard", "node", "v").groupBy("shard").applyInPandas(grow, "node long, near array<long>")
+    lists = small.select("shard", "node", "v").groupBy("shard").applyInPandas(grow, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    ready = staged(placed.join(united, "node", "left"), "graph-united")
+    ready = staged(small.drop("blocks").join(united, "node", "left"), "graph-united")
 
     def look(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("node")
@@ -345,7 +352,8 @@ def _links(nodes: DataFrame, center: np.ndarray, threshold: float, beam: int, ov
             pairs[s: s + QUERIES] = linked.sum(1)
         return _found(ids, count, pairs, _forest(bits))
 
-    return _parted(ready.withColumn("shard", F.explode("shards")).groupBy("shard").applyInPandas(look, FOUND))
+    found = ready.groupBy("shard").applyInPandas(look, FOUND)
+    return _parted(found.unionByName(_compared(large, threshold)) if max(b for _, b in blocks) > 1 else found)
 
 
 #: Links of a node (``links`` with copies, ``pairs`` without), or an edge to ``other``.

@@ -347,6 +347,24 @@ def test_embedding_graph_border_pairs(spark, monkeypatch):
     assert (found <= true).all() and found.sum() >= 0.93 * true.sum()  # audited: 0.95 of a sample's links
 
 
+def test_embedding_graph_dense_group_in_blocks(spark, monkeypatch):
+    """A dense group larger than a block is compared in blocks, with the right links."""
+    monkeypatch.setattr(embedding_graph, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embedding_graph, "BLOCK", 150, raising=False)
+    compared, real = [], embedding_graph._compared
+    monkeypatch.setattr(embedding_graph, "_compared", lambda rows, threshold: compared.append(rows) or real(rows, threshold))
+    r = np.random.default_rng(23)
+    dense = r.normal(size=16) + 0.1 * r.normal(size=(500, 16))
+    v = np.vstack([dense, r.normal(size=(500, 16)), dense[:20]])
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {row.vec_id: row for row in embedding_graph.near_duplicates(frame).collect()}
+    x = embedding_graph.unit(v.astype(np.float32).astype(float))
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert compared and max(row.blocks for row in compared[0].select("blocks").collect()) >= 3
+    assert (found <= true).all() and found.sum() >= 0.95 * true.sum()
+
+
 def test_embedding_graph_rare_links(spark, monkeypatch):
     """Where few of the audited vectors have a link, all pairs are compared."""
     def lost(nodes, *_):
