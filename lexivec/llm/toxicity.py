@@ -195,16 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     part = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
     sample = part(1).unionByName(part(0))  # at most 2 * EXAMPLES ids
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id") \
-        .select(F.col("id").cast("string").alias("id"), "y", "text")
+        .select(F.col("id").cast("string").alias("id"), "y", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, y, text in zip(b["id"], b["y"], b["text"]):
+            for i, y, text, digest in zip(b["id"], b["y"], b["text"], b["digest"]):
                 found = terms(text)
-                yield pd.DataFrame({"id": i, "y": y, "term": list(found), "n": list(found.values())}) if found else \
-                    pd.DataFrame({"id": [i], "y": [y], "term": [""], "n": [0]})
+                yield pd.DataFrame({"id": i, "y": y, "term": list(found), "n": list(found.values()), "digest": digest}) if found else \
+                    pd.DataFrame({"id": [i], "y": [y], "term": [""], "n": [0], "digest": [digest]})
 
-    cells = staged(rows.mapInPandas(spell, "id string, y int, term string, n int"), "tox-terms")
+    cells = staged(rows.mapInPandas(spell, "id string, y int, term string, n int, digest string"), "tox-terms")
     n = {r["y"]: r["n"] for r in cells.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     stats = cells.where("term != ''").groupBy("term").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
@@ -216,12 +216,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     vocabulary = {t: i for i, (_, t, _) in enumerate(scored)}
     idf = np.array([math.log1p((n_pos + n_neg) / df) for _, _, df in scored])
     chosen = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    held = cells.join(F.broadcast(chosen), "term", "left_semi").select("id", "y", "term", "n").collect() if vocabulary else []
+    held = cells.join(F.broadcast(chosen), "term", "left_semi").select("id", "y", "term", "n", "digest").collect() if vocabulary else []
     counts: dict[str, dict[str, int]] = {}
     label_of: dict[str, int] = {}
+    digest_of: dict[str, str] = {}
     for r in held:
         counts.setdefault(r["id"], {})[r["term"]] = r["n"]
-        label_of[r["id"]] = r["y"]
+        label_of[r["id"]], digest_of[r["id"]] = r["y"], r["digest"]
     ids = sorted(counts)
     # each example stands for so many labelled documents
     stands = {y: totals.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
@@ -234,14 +235,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     model = Model(vocabulary, idf, Index([], [], np.zeros(0), np.zeros(0), len(vocabulary)), prior, empty)
     vectors = [model.vector(counts[i]) for i in ids]
     model.index = Index(vectors, ids, y, w, len(vocabulary))
-    votes, step = [], max(1, len(ids) // 2048)
+    step = max(1, len(ids) // 2048)
     picked = range(0, len(ids), step)
-    for i in picked:  # without itself
-        votes.append(model.index.vote(model.index.nearest(vectors[i], NEIGHBOURS, frozenset([i])), prior))
+    votes = left_out(model.index, vectors, [digest_of[i] for i in ids], picked, prior)
     model.calibrate(np.array(votes), y[list(picked)], w[list(picked)])
     return model
 
 
+def left_out(index: Index, vectors: list[dict[int, float]], digests: list[str], picked: range, prior: float) -> list[float]:
+    """Vote on each picked example without itself or its copies (equal texts).  Copies
+    have one vote, found once."""
+    copies: dict[str, list[int]] = {}
+    for i, d in enumerate(digests):
+        copies.setdefault(d, []).append(i)
+    memo: dict[str, float] = {}
+    for i in picked:
+        if digests[i] not in memo:
+            memo[digests[i]] = index.vote(index.nearest(vectors[i], NEIGHBOURS, frozenset(copies[digests[i]])), prior)
+    return [memo[digests[i]] for i in picked]
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text", evidence: bool = True) -> DataFrame:
     """``key, score, predicted`` and ``evidence`` (examples with cosine and label) of
     every row.  Null or empty text has no terms and gets the score of a document

@@ -172,6 +172,22 @@ def test_toxicity(spark, docs):
     assert len(none) == len(rows())
 
 
+def test_calibration_leaves_copies_out(spark, monkeypatch):
+    """Labelled copies must not vote on each other in the calibration."""
+    seen, real = [], toxicity.Index.nearest
+
+    def nearest(self, query, k, skip=frozenset()):
+        found = real(self, query, k, skip)
+        seen.append(max((s for s, _ in found), default=0.0))
+        return found
+
+    monkeypatch.setattr(toxicity.Index, "nearest", nearest)
+    texts = [(i, f"{WORDS[i % 3]} vileword{'' if i % 3 else ' nastystem'}" if i % 2 else f"plain {WORDS[3 + i % 5]}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert seen and max(seen) < 1 - 1e-9
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(5)
     vectors = []
