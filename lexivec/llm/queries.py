@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm import (embedding_graph, html_blocks, jaccard_join, mixing, packing, pii, quality_rules, token_counts,
-                         token_files, toxicity)
+from lexivec.llm import (collocations, conversation_trie, embedding_graph, html_blocks, jaccard_join, license_scan, mixing, packing,
+                         pii, quality_rules, token_counts, token_files, toxicity)
 from lexivec.llm.common import table
 from lexivec.llm.tokens import vocabulary
 
@@ -54,7 +54,21 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("turn_ref1", "turn_ref2")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return scanned.select("doc_id", *(F.col(f"license.{c}").alias(c) for c in license_scan.COUNTS))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_jaccard_join, op3_toxicity, op4_quality_rules, op5_token_files, op6_mixing, op7_token_counts,
-    op8_pii, op9_embedding_graph, op10_html_blocks)}
-SQL = {"op4_quality_rules": quality_rules.SQL}
+    op8_pii, op9_embedding_graph, op10_html_blocks, op11_conversation_trie, op12_license_scan, op13_collocations)}
+SQL = {"op4_quality_rules": quality_rules.SQL, "op11_conversation_trie": conversation_trie.SQL,
+       "op12_license_scan": license_scan.SQL, "op13_collocations": collocations.SQL}
