@@ -1,19 +1,22 @@
 """Phrase collocation mining after Toivonen (operator 13).
 
 A sample of the documents proposes phrases: the word sequences of one to five words
-that reach a lowered count in it.  One full pass then counts these proposals and their
-negative border exactly: every phrase whose two parts without the last and without the
-first word are proposals (words: all of them).  A border phrase that turns out frequent
-is a failure, since longer phrases over it were not counted; the failures join the
-proposals and a further pass counts what that adds, until no failure is left.  Such a
-pass looks ahead: a phrase it counts for the first time is extended at once, so a long
-passage that the sample missed takes one further pass, not one for each length.
-Counts never depend on the sample, only the passes and what they cost do.
-
-Proposals reach the tasks as a bitmap of ``BITS`` bits of phrase hashes, of one size
-whatever the corpus: a false positive costs a phrase counted for nothing, nothing is
-missed.  Counts themselves go by the phrases' text.  A text is counted in steps cut
-between its pieces, so a very long one needs no more memory than a short one.
+that reach a lowered count in it.  A full pass then counts these proposals and their
+negative border: every phrase whose two parts without the last and without the first
+word are proposals (words: all of them).  A border phrase that turns out frequent is a
+failure, since longer phrases over it were not counted; an expansion pass counts what
+the failures add.  It looks ahead: a phrase it meets for the first time is extended at
+once, so that a long passage that the sample missed takes this one pass, not one for
+each length, and the search is closed after it.
+
+The first pass counts 64-bit hashes, which can only add up too much; the second counts
+by text whatever the first found frequent, with the expansion, so counts are exact.
+They never depend on the sample, only what the passes cost does.
+
+Sets of phrases reach the tasks as a bitmap of ``BITS`` bits of their hashes, of one
+size whatever the corpus: a false positive costs a phrase counted for nothing, nothing
+is missed.  A text is counted in steps cut between its pieces, so a very long one needs
+no more memory than a short one.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import itertools
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import mix, partitions, prepare, staged, utf8
@@ -32,13 +36,13 @@ from lexivec.llm.common import mix, partitions, prepare, staged, utf8
 #: Fewest occurrences of a candidate, its most words, and phrases listed per language.
 LEAST, WORDS, TOP = 100, 5, 2000
 #: One in SAMPLE documents proposes; the lowered count is SLACK of the expected one, two at least.
-SAMPLE, SLACK = 16, 0.5
+SAMPLE, SLACK = 16, 0.8
 #: Bits of the map of proposals (a power of two, at least 64), 16 MB.
 BITS = 1 << 27
 #: Bytes of text that a task counts at once.
-STEP = 6 << 20
+STEP = 4 << 20
 
-COUNTS = "lang string, k int, phrase string, member boolean, f long"
+COUNTS = "lang string, k int, phrase string, f long"
 HASHES = "h long, f long"
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -74,6 +78,14 @@ class _Words:
         return [b" ".join([words[i] for i in row]) for row in self.at[first[:, None] + np.arange(k)].tolist()]
 
 
+def _distinct(values: np.ndarray):
+    """Place of the first of each distinct value, number of each row's value, rows of each."""
+    of, distinct = pd.factorize(values)
+    first = np.empty(len(distinct), np.int64)
+    first[of[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return first, of, np.bincount(of)
+
+
 def _levels(words: _Words, seed: int, most: int, keep):
     """Per length k: ``k, first, n, hashes, pre, suf`` of the distinct phrases: a place,
     the number of places, the hash and the numbers of the two parts among the phrases of
@@ -82,8 +94,8 @@ def _levels(words: _Words, seed: int, most: int, keep):
     digest = xxhash.xxh3_64_intdigest
     h1 = np.fromiter((digest(x, seed=seed) for x in words.words), np.uint64, len(words.words))
     places = np.flatnonzero(w)
-    used, first, of, n = np.unique(w[places], return_index=True, return_inverse=True, return_counts=True)
-    hashes, pre, suf = h1[used], None, None
+    first, of, n = _distinct(w[places])
+    hashes, pre, suf = h1[w[places[first]]], None, None
     for k in range(1, most + 1):
         if not len(places):
             return
@@ -96,8 +108,7 @@ def _levels(words: _Words, seed: int, most: int, keep):
         places = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0))
         if not len(places):
             return
-        pairs, first, of, n = np.unique(label[places] * len(h1) + w[places + k], return_index=True, return_inverse=True,
-                                        return_counts=True)
+        first, of, n = _distinct(label[places] * len(h1) + w[places + k])
         pre, suf = label[places[first]], label[places[first] + 1]
         with np.errstate(over="ignore"):
             hashes = mix(hashes[pre] * np.uint64(0x9E3779B97F4A7C15) + h1[w[places[first] + k]], k)
@@ -123,92 +134,55 @@ def _steps(batches, step: int):
         yield held
 
 
-def _proposer(most: int, step: int):
+def _hash_counter(bits, most: int, step: int):
+    """Counts of the hashes of the phrases that ``bits`` and its border hold (None: of all)."""
     def run(batches):
         for held in _steps(batches, step):
             for lang, texts in held.items():
-                seed = xxhash.xxh3_64_intdigest(utf8(lang))
-                for _, _, n, hashes, _, _ in _levels(_Words(texts), seed, most, lambda k, h, p, s: np.ones(len(h), bool)):
+                def keep(k, hashes, pre, suf):
+                    return np.ones(len(hashes), bool) if bits is None else _in(bits.value, hashes)
+                for _, _, n, hashes, _, _ in _levels(_Words(texts), xxhash.xxh3_64_intdigest(utf8(lang)), most, keep):
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "f"])
     return run
 
 
-def _counter(bits, before, most: int, step: int):
-    """Counts of the phrases that ``bits`` asks for and ``before`` (None: the first pass)
-    did not; ``member`` says that longer phrases over one were counted too."""
+def _rows(lang: str, k: int, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)),
+         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "k", "phrase", "f"])
+
+
+def _text_counter(proposed, frequent, most: int, step: int):
+    """Counts by text of the phrases that the first pass (over ``proposed`` and its border)
+    found ``frequent``, and of those that it did not count."""
     def run(batches):
-        now, old = bits.value, None if before is None else before.value
         for held in _steps(batches, step):
             for lang, texts in held.items():
-                words = _Words(texts)
-                state = {}
+                words, state = _Words(texts), {}
 
                 def keep(k, hashes, pre, suf):
-                    return state["in"]
+                    return state["wanted"]
 
                 for k, first, n, hashes, pre, suf in _levels(words, xxhash.xxh3_64_intdigest(utf8(lang)), most, keep):
-                    inside = _in(now, hashes)
-                    if old is None:
-                        known = None
-                        wanted = np.ones(len(n), bool)
-                    else:  # counted before: each part was reached and a proposal then
-                        known = np.ones(len(n), bool) if k == 1 else state["old"][pre] & state["old"][suf]
-                        wanted = ~known
-                        known = known & _in(old, hashes)
-                        inside = inside | wanted
-                    state = {"in": inside, "old": known}
-                    pick = np.flatnonzero(wanted)
+                    counted = np.ones(len(n), bool) if k == 1 else state["proposed"][pre] & state["proposed"][suf]
+                    state = {"wanted": ~counted | _in(frequent.value, hashes), "proposed": counted & _in(proposed.value, hashes)}
+                    if k == 1:
+                        yield _rows(lang, 0, [b""], n.sum(keepdims=True))
+                    pick = np.flatnonzero(state["wanted"])
                     if len(pick):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(pick), pa.string()), pa.array(np.full(len(pick), k, np.int32)),
-                             pa.array(words.phrases(first[pick], k), pa.binary()).cast(pa.string()),
-                             pa.array(inside[pick]), pa.array(n[pick])], names=["lang", "k", "phrase", "member", "f"])
-                    if k == 1 and old is None:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([""], pa.string()),
-                             pa.array([True]), pa.array([int(n.sum())])], names=["lang", "k", "phrase", "member", "f"])
+                        yield _rows(lang, k, words.phrases(first[pick], k), n[pick])
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int, into: np.ndarray | None = None) -> np.ndarray:
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """The map of the column ``h``: at most ``bits / 64`` words come to the driver."""
-    words = hashes.select(F.expr(f"h & {bits - 1}L").alias("h")) \
-        .groupBy(F.expr("shiftright(h, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64) if into is None else into.copy()
-    at = words.column("at").to_numpy()
-    out[at] |= words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    words = hashes.select(F.expr(f"h & {bits - 1}L").alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("at")) \
+        .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _folded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def _hashed(df: DataFrame) -> DataFrame:
-    """The hashes of phrases of the count table, as the tasks make them."""
-    def run(batches):
-        for batch in batches:
-            out, memo = [], {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seed = memo.get(lang)
-                if seed is None:
-                    seed = memo[lang] = xxhash.xxh3_64_intdigest(utf8(lang))
-                h = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=seed) for x in utf8(phrase).split(b" ")), np.uint64)
-                out.append(h)
-            size = np.array([len(h) for h in out])
-            made = np.zeros(len(out), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in np.unique(size).tolist():
-                    rows = np.flatnonzero(size == k)
-                    parts = np.stack([out[i] for i in rows])
-                    value = parts[:, 0]
-                    for i in range(1, k):
-                        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + parts[:, i], i)
-                    made[rows] = value
-            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["h"])
-    return df.select("lang", "phrase").mapInArrow(run, "h long")
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, text_col: str = "text", lang_col: str = "lang",
                      sample: int = SAMPLE, bits: int = BITS, step: int = STEP) -> DataFrame:
     """``lang, k, phrase, f``: every phrase of 1 to ``most`` words with ``least``
@@ -219,32 +193,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most: int = WORDS, tex
     spark = docs.sparkSession
     prepare(spark)
     sc = spark.sparkContext
-    texts = _folded(docs, text_col, lang_col)
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lowered = max(2, int(SLACK * least / sample))
     # by row, not by text: copies must not come in or stay out together
-    proposals = texts.where(F.rand(17) * sample < 1)
-    proposed = proposals.mapInArrow(_proposer(most - 1, step), HASHES).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= lowered)
-    now, before, passes = _bitmap(proposed, bits), None, []
-    while True:
-        shared = sc.broadcast(now)
-        old = None if before is None else sc.broadcast(before)
-        counted = texts.mapInArrow(_counter(shared, old, most, step), COUNTS).groupBy("lang", "k", "phrase", "member") \
-            .agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
-        passes.append(staged(counted, f"collocations-{len(passes)}"))
-        shared.unpersist()
-        if old is not None:
-            old.unpersist()
-        failures = passes[-1].where(F.col("k").between(1, most - 1) & ~F.col("member"))
-        if failures.isEmpty():
-            break
-        before, now = now, _bitmap(_hashed(failures), bits, now)
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
-    return out.drop("member")
-
-
-def _prefix(k: Column | str, phrase: str = "phrase") -> Column:
+    sampled = texts.where(F.rand(17) * sample < 1)
+
+    def reaching(rows: DataFrame, counter, f: int):
+        counts = rows.mapInArrow(counter, HASHES).groupBy("h").agg(F.sum("f").alias("f"))
+        return sc.broadcast(_bitmap(counts.where(F.col("f") >= f), bits))
+
+    proposed = reaching(sampled, _hash_counter(None, most - 1, step), lowered)
+    frequent = reaching(texts, _hash_counter(proposed, most, step), least)
+    counts = texts.mapInArrow(_text_counter(proposed, frequent, most, step), COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    out = staged(counts.where((F.col("f") >= least) | (F.col("k") == 0)), "collocations")
+    proposed.unpersist()
+    frequent.unpersist()
+    return out
+
+
+def _prefix(k, phrase: str = "phrase"):
     """The first ``k`` words of a phrase, the last ``-k`` where it is negative."""
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), F.col(k) if isinstance(k, str) else k)
 
