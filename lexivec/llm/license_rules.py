@@ -42,12 +42,12 @@ FAMILIES = [
     ("agpl", ("agpl",), "(gnu )?agpl", "agpl", ("1.0", "3.0")),
     ("gfdl", ("documentation", "license"), "(gnu )?free documentation license( gfdl)?", "gfdl", ("1.1", "1.2", "1.3")),
     ("apache", ("apache", "license"), "apache( software)? license", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", ("mit", "license"), "(mit( x11| expat)?|expat) license", "mit", ()),
+    ("mit", ("license",), "(mit( x11| expat)?|expat) license", "mit", ()),
     ("x11", ("x11", "license"), "x11 license", "x11", ()),
     ("bsd", ("bsd", "license"), "(original |new |modified |simplified |revised )?bsd( style)? license", "bsd", ()),
-    ("bsd-0-clause", ("bsd", "license"), "(bsd (0|zero) clause|(0|zero) clause bsd)( license)?", "0bsd", ()),
+    ("bsd-0-clause", ("bsd", "license"), "(bsd (0|zero) clause|(0|zero) clause bsd) license", "0bsd", ()),
     ("bsd-1-clause", ("bsd", "license"), "(bsd (1|one) clause|(1|one) clause bsd) license", "bsd 1 clause", ()),
-    ("bsd-2-clause", ("bsd", "license"), "(bsd (2|two) clause|(2|two) clause bsd|simplified bsd|freebsd) license", "bsd 2 clause", ()),
+    ("bsd-2-clause", ("license",), "(bsd (2|two) clause|(2|two) clause bsd|simplified bsd|freebsd) license", "bsd 2 clause", ()),
     ("bsd-3-clause", ("bsd", "license"), "(bsd (3|three) clause|(3|three) clause bsd|(new|modified|revised) bsd) license", "bsd 3 clause", ()),
     ("bsd-4-clause", ("bsd", "license"), "(bsd (4|four) clause|(4|four) clause bsd|original bsd) license", "bsd 4 clause", ()),
     ("isc", ("isc", "license"), "isc license", "isc", ()),
@@ -95,7 +95,7 @@ FAMILIES = [
     ("odc-by", ("commons", "license"), "open data commons attribution license", "odc by", ("1.0",)),
     ("pddl", ("domain", "license"), "(open data commons )?public domain dedication and license", "pddl", ("1.0",)),
     ("ogl-uk", ("government", "licence"), "open government licence", "ogl uk", ("1.0", "2.0", "3.0")),
-    ("etalab", ("etalab", "licence"), "(etalab )?licence ouverte( etalab)?", "etalab", ("2.0",)),
+    ("etalab", ("licence", "ouverte"), "(etalab )?licence ouverte( etalab)?", "etalab", ("2.0",)),
     ("cecill", ("cecill", "license"), "cecill( free software)? license( agreement)?", "cecill", ("1.0", "2.0", "2.1")),
     ("cecill-b", ("cecill", "license"), "cecill b( free software)? license( agreement)?", "cecill b", ()),
     ("cecill-c", ("cecill", "license"), "cecill c( free software)? license( agreement)?", "cecill c", ()),
@@ -140,8 +140,8 @@ PHRASES = [
     ("mit", ("opensource", "licenses"), "opensource org licenses mit( license)?", 2),
     ("bsd-3-clause", ("opensource", "licenses"), "opensource org licenses bsd 3 clause", 2),
     ("bsd-2-clause", ("opensource", "licenses"), "opensource org licenses bsd 2 clause", 2),
-    ("cc0-1.0", ("creativecommons", "domain"), "creativecommons org publicdomain zero 1 0", 2),
-    ("cc0-1.0", ("cc0", "dedication"), "cc0 1 0 universal( public domain dedication)?", 2),
+    ("cc0-1.0", ("creativecommons", "publicdomain"), "creativecommons org publicdomain zero 1 0", 2),
+    ("cc0-1.0", ("cc0", "universal"), "cc0 1 0 universal( public domain dedication)?", 2),
     ("public-domain", ("domain",), "(released|placed|dedicated|put)( in| into| to) the public domain", 2),
     ("public-domain", ("domain",), "public domain", 4),
     ("all-rights-reserved", ("copyright", "reserved"), "copyright( c)?( [^ ]+){0,6} all rights reserved", 3),
@@ -178,7 +178,7 @@ def _rules():
             kind = NAMED if v is None else VERSIONED
             if v is not None:  # "cc by" alone is no name: it also opens lists of recipients
                 yield Rule(full, ("cc", "by", v[0]), f"{tag}{tail}( international| unported| generic)?", *VERSIONED)
-                yield Rule(full, ("commons", "licenses"), f"creativecommons org licenses {short.replace('-', ' ')} " + v.replace(".", " "), *TAGGED)
+                yield Rule(full, ("creativecommons", "licenses"), f"creativecommons org licenses {short.replace('-', ' ')} " + v.replace(".", " "), *TAGGED)
             yield Rule(full, ("cc", "by"), NOTICE + tag + tail, *NOTED)
             yield Rule(full, ("commons", "attribution"), f"creative commons {words}{tail}( international| unported| generic)?( license)?", *kind)
             yield Rule(full, ("commons", "attribution"), NOTICE + f"creative commons {words}{tail}( international| unported| generic)?( license)?", *NOTED)
