@@ -24,6 +24,7 @@ from lexivec.operators import regression as RG
 from lexivec.operators import selection as SEL
 from lexivec.operators import tensors as TS
 from lexivec.operators.indexing import materialize
+from lexivec.sinks.stages import shared_stage
 from lexivec.sources import tables as T
 
 ROUND = 6
@@ -360,9 +361,8 @@ def conll_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reduction and regression composers -----------------------------------------------
 
 SVD_DIMS = 100
-#: Rank of the spaces that the regression composers train on: the verb step solves for
-#: (d + 1)^2 d unknowns a verb, a million at d = 100.
-REGRESSION_DIMS = 10
+#: Rank of the space that the regression composers train on.
+REGRESSION_DIMS = 100
 
 
 def svd_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,14 +381,18 @@ OBSERVED_MIN_EVENT = 3
 def observed_space(spark: SparkSession, sf_dir: str, max_n: int = 3, k: int = REGRESSION_DIMS) -> DataFrame:
     """Unigram and observed 2-/3-gram context counts of the documents,
     filtered (C11) over the union, PPMI-weighted and reduced together (P1's
-    ``svd`` stage with observed phrases): ``vectors(entry, vec)``."""
-    sent = T.sentences(T.read_corpus(spark, sf_dir))
-    pairs = counting.window_pairs(sent, 2)
-    for n in range(2, max_n + 1):
-        pairs = pairs.unionByName(counting.ngram_window_pairs(sent, n, 2))
-    counts = counting.frequency_filter(counting.count_events(pairs), OBSERVED_MIN_FEATURE, OBSERVED_MIN_EVENT)
-    vecs, _, _ = RD.truncated_svd(counting.ppmi(counts), k)
-    return materialize(vecs)
+    ``svd`` stage with observed phrases): ``vectors(entry, vec)``.  A stage of its own:
+    the queries that train on the space share it as long as the documents stay the same."""
+    def build():
+        sent = T.sentences(T.read_corpus(spark, sf_dir))
+        pairs = counting.window_pairs(sent, 2)
+        for n in range(2, max_n + 1):
+            pairs = pairs.unionByName(counting.ngram_window_pairs(sent, n, 2))
+        counts = counting.frequency_filter(counting.count_events(pairs), OBSERVED_MIN_FEATURE, OBSERVED_MIN_EVENT)
+        return RD.truncated_svd(counting.ppmi(counts), k)[0]
+
+    params = {"max_n": max_n, "k": k, "min_feature": OBSERVED_MIN_FEATURE, "min_event": OBSERVED_MIN_EVENT}
+    return shared_stage(spark, "observed-space", [T.table_path(sf_dir, "documents")], params, build)
 
 
 def _np_phrases(spark, sf_dir, n: int = 2):
@@ -404,14 +408,14 @@ def _np_phrases(spark, sf_dir, n: int = 2):
 def baroni_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I6 -> E9: per-modifier matrices from observed AN/NN vectors, applied to
     the AN/NN bigrams of the labelled documents."""
-    space = observed_space(spark, sf_dir, max_n=2)
+    space = observed_space(spark, sf_dir)
     model = RG.train_baroni(space, REGRESSION_DIMS)
     return long_vectors(RG.compose_baroni(_np_phrases(spark, sf_dir), space, model, REGRESSION_DIMS))
 
 
 def guevara_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I7 -> E10: the global full-additive model, applied likewise."""
-    space = observed_space(spark, sf_dir, max_n=2)
+    space = observed_space(spark, sf_dir)
     model = RG.train_guevara(space, REGRESSION_DIMS)
     return long_vectors(RG.compose_guevara(_np_phrases(spark, sf_dir), space, model, REGRESSION_DIMS))
 
@@ -419,7 +423,7 @@ def guevara_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multistep_fit_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I8 -> E11: VO functions from observed SVO vectors, verb functions from
     those, applied to the SVO trigrams of the labelled documents."""
-    space = observed_space(spark, sf_dir, max_n=3)
+    space = observed_space(spark, sf_dir)
     _, v_model = RG.train_multistep(space, REGRESSION_DIMS)
     return long_vectors(RG.compose_multistep(_np_phrases(spark, sf_dir, 3), space, v_model, REGRESSION_DIMS))
 

@@ -1,8 +1,9 @@
 """End-to-end pipelines.
 
-Each pipeline is a chain of DataFrame stages; every stage writes its output
-under ``out_dir`` (parquet) and a stage that is not requested reads the earlier
-output instead (S6), so a run can resume after any stage.
+Each pipeline is a chain of DataFrame stages under ``out_dir`` (S6, ``sinks/stages.py``):
+a stage is committed by a manifest with the digest of its inputs and parameters, a run
+that was killed goes on after the last committed one, and ``stages`` names those to
+run, where the others must be there, made from the same inputs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from lexivec.functions.features import default_row_filter, dimension_names, embedding_junk_filter
 from lexivec.operators import cleaning, compose as C, counting, embeddings as EM, neighbours as NB
 from lexivec.operators import reduction as RD, regression as RG, selection as SEL, tensors as TS
-from lexivec.sinks.writers import stage, write_sparse_tsv, write_tensors
+from lexivec.sinks.stages import Stages, files_digest, table_digest
+from lexivec.sinks.writers import write_sparse_tsv, write_tensors
+from lexivec.sources.corpus import read_conll
 
 log = logging.getLogger(__name__)
 
@@ -66,43 +69,55 @@ def count_pipeline(spark: SparkSession, sentences: DataFrame, phrases: DataFrame
                    min_event_freq: int = counting.MIN_EVENT_FREQ,
                    quotas=counting.TYPE_QUOTAS, dims: int = 100) -> list[str]:
     """Window contexts -> counts + C11 -> PPMI -> G1 quotas + SVD -> E16."""
-    p = lambda s: os.path.join(out_dir, s)
-    counts = stage(spark, p("counts"), lambda: counting.frequency_filter(
+    st = Stages(spark, out_dir, stages)
+    counts = st("unigrams", lambda: counting.frequency_filter(
         counting.count_events(counting.window_pairs(sentences, window)), min_feature_freq, min_event_freq),
-        "unigrams" in stages)
-    ppmi = stage(spark, p("ppmi"), lambda: counting.ppmi(counts), "ppmi" in stages)
+        {"sentences": sentences}, window=window, min_feature_freq=min_feature_freq, min_event_freq=min_event_freq)
+    ppmi = st("ppmi", lambda: counting.ppmi(counts), {"counts": st.digests["unigrams"]})
 
     def reduce():
         kept = counting.type_quota(counts, quotas).select("entry")
         vecs, _, _ = RD.truncated_svd(ppmi.join(kept, "entry", "left_semi"), dims)
         return vecs
 
-    vectors = stage(spark, p(f"svd{dims}"), reduce, "svd" in stages)
-    if "compose" not in stages:
+    vectors = st("svd", reduce, {"ppmi": st.digests["ppmi"], "counts": st.digests["unigrams"]}, dims=dims, quotas=sorted(dict(quotas).items()))
+    if not st.wants("compose"):
         return []
-    return compose_and_write(vectors, phrases, COUNT_COMPOSERS, p("composed"), f"count-{dims}")
+    return compose_and_write(vectors, phrases, COUNT_COMPOSERS, os.path.join(out_dir, "composed"), f"count-{dims}")
 
 
 def word2vec_pipeline(spark: SparkSession, corpus: DataFrame, phrases: DataFrame, out_dir: str,
                       percent: float = 100, repeats: int = 1, average: bool = False,
-                      dim: int = EM.W2V_DIM, min_count: int = EM.W2V_MIN_COUNT) -> list[str]:
-    """(reformatted) sentence corpus with ``file`` -> C15 + I1/I2 -> F6 -> E16."""
-    reps = stage(spark, os.path.join(out_dir, "w2v"), lambda: EM.train_word2vec_repeats(
-        corpus, percent, repeats, dim=dim, min_count=min_count), True)
+                      dim: int = EM.W2V_DIM, min_count: int = EM.W2V_MIN_COUNT,
+                      stages=("reformat", "vectors", "average", "compose"), remove_pos: bool = False) -> list[str]:
+    """Sentence corpus with ``file`` -> C15 + I1/I2 -> F6 -> E16.  Where ``corpus`` is
+    the path of a CoNLL folder it is read and reformatted first (A3)."""
+    st = Stages(spark, out_dir, stages)
+    if isinstance(corpus, str):
+        corpus = st("reformat", lambda: read_conll(spark, corpus, remove_pos=remove_pos).where("sentence != ''").select(
+            "file", F.split("sentence", " ").alias("toks")), {"conll": files_digest(spark, [corpus])}, remove_pos=remove_pos)
+    reps = st("vectors", lambda: EM.train_word2vec_repeats(corpus, percent, repeats, dim=dim, min_count=min_count),
+              {"corpus": st.digests.get("reformat") or corpus}, percent=percent, repeats=repeats, dim=dim, min_count=min_count)
+    averaged = None
+    if average and repeats > 1:
+        averaged = st("average", lambda: cleaning.combine_repeats(reps, repeats, "mean"), {"vectors": st.digests["vectors"]}, repeats=repeats)
     outputs = []
+    if not st.wants("compose"):
+        return outputs
     for r in range(repeats):
         outputs += compose_and_write(reps.where(F.col("repeat") == r).select("entry", "vec"), phrases,
                                      EMBEDDING_COMPOSERS, out_dir, f"w2v-rep{r}", dim_pattern="f%02d")
-    if average and repeats > 1:
-        avg = cleaning.combine_repeats(reps, repeats, "mean")
-        outputs += compose_and_write(avg, phrases, EMBEDDING_COMPOSERS, out_dir, f"w2v-avg{repeats}",
+    if averaged is not None:
+        outputs += compose_and_write(averaged, phrases, EMBEDDING_COMPOSERS, out_dir, f"w2v-avg{repeats}",
                                      dim_pattern="f%02d")
     return outputs
 
 
 def glove_pipeline(spark: SparkSession, sentences: DataFrame, phrases: DataFrame, out_dir: str,
-                   dim: int = 100, sweeps: int = 10, window: int = 10, min_count: int = 5) -> list[str]:
+                   dim: int = 100, sweeps: int = 10, window: int = 10, min_count: int = 5,
+                   stages=("vectors", "compose")) -> list[str]:
     """Co-occurrence -> I4 -> C7 -> E16."""
+    st = Stages(spark, out_dir, stages)
     vocab = counting.vocabulary(sentences, min_count).select(F.col("token").alias("entry"))
     cooc = (EM.distance_weighted_cooc(sentences, window).join(vocab, "entry", "left_semi")
             .join(vocab.withColumnRenamed("entry", "ctx"), "ctx", "left_semi"))
@@ -114,19 +129,25 @@ def glove_pipeline(spark: SparkSession, sentences: DataFrame, phrases: DataFrame
                                                                .alias("kept"))
         return trained.where(embedding_junk_filter("entry"))
 
-    vecs = stage(spark, os.path.join(out_dir, "glove"), train, True)
-    log.info("C7 kept %s", seen.get)   # before/after counts of the junk filter
+    vecs = st("vectors", train, {"sentences": sentences}, dim=dim, sweeps=sweeps, window=window, min_count=min_count)
+    if "vectors" in st.built:
+        log.info("C7 kept %s", seen.get)   # before/after counts of the junk filter
+    if not st.wants("compose"):
+        return []
     return compose_and_write(vecs, phrases, EMBEDDING_COMPOSERS, out_dir, "glove")
 
 
 def third_party_pipeline(spark: SparkSession, embeddings: DataFrame, phrases: DataFrame, out_dir: str,
-                         lemma_dictionary: DataFrame | None = None) -> list[str]:
+                         lemma_dictionary: DataFrame | None = None, stages=("clean_unigrams", "compose")) -> list[str]:
     """I13 = C8 -> B10 -> G2 -> H5 -> B11 on ``(row_id, surface, vec)``, then E16."""
+    st = Stages(spark, out_dir, stages)
     kept = cleaning.canonical_surfaces(embeddings.select("surface", "row_id"), lemma_dictionary)
     vecs = cleaning.keep_surfaces(embeddings.select("surface", "vec"), kept) \
         .join(kept.select("lemma", "row_id"), "lemma")
-    expanded = stage(spark, os.path.join(out_dir, "clean_unigrams"),
-                     lambda: cleaning.pos_expand(vecs), True)
+    inputs = {"embeddings": embeddings} | ({} if lemma_dictionary is None else {"lemmas": lemma_dictionary})
+    expanded = st("clean_unigrams", lambda: cleaning.pos_expand(vecs), inputs)
+    if not st.wants("compose"):
+        return []
     return compose_and_write(expanded.select("entry", "vec"), phrases, EMBEDDING_COMPOSERS, out_dir, "turian")
 
 
@@ -142,13 +163,15 @@ def categorical_pipeline(spark: SparkSession, svo: DataFrame, nouns: DataFrame,
 
 
 def regression_pipeline(spark: SparkSession, vectors: DataFrame, phrases: DataFrame, out_dir: str,
-                        dim: int, lam: float = RG.DEFAULT_LAMBDA) -> dict:
+                        dim: int, lam: float = RG.DEFAULT_LAMBDA, stages=("baroni", "guevara", "multistep", "compose")) -> dict:
     """I6/I7/I8 (S4) -> E9/E10/E11."""
+    st, made = Stages(spark, out_dir, stages), {"vectors": table_digest(vectors)}
+    baroni = st("baroni", lambda: RG.train_baroni(vectors, dim, lam), made, dim=dim, lam=lam)
+    guevara = st("guevara", lambda: RG.train_guevara(vectors, dim, lam), made, dim=dim, lam=lam)
+    v_model = st("multistep", lambda: RG.train_multistep(vectors, dim, lam)[1], made, dim=dim, lam=lam)
+    if not st.wants("compose"):
+        return {}
     p = lambda s: os.path.join(out_dir, s)
-    baroni = stage(spark, p("baroni_model"), lambda: RG.train_baroni(vectors, dim, lam), True)
-    guevara = stage(spark, p("guevara_model"), lambda: RG.train_guevara(vectors, dim, lam), True)
-    _, v_model = RG.train_multistep(vectors, dim, lam)
-    v_model = stage(spark, p("verb_function_model"), lambda: v_model, True)
     outs = {"Baroni": RG.compose_baroni(phrases, vectors, baroni, dim),
             "Guevara": RG.compose_guevara(phrases, vectors, guevara, dim),
             "Multistep": RG.compose_multistep(phrases, vectors, v_model, dim)}

@@ -1,9 +1,9 @@
-"""Writers (S1-S6).  Every writer is a DataFrame write; no rows pass through
+"""Writers (S1-S5; S6 is in ``stages.py``).  Every writer is a DataFrame write; no rows pass through
 the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.features import SPARSE_OUTPUT_TYPES, feature_type
@@ -60,11 +60,3 @@ def write_tensors(tensor: DataFrame, path: str, buckets: int = 64) -> None:
     ``verb/V`` key (Q-9 ruling: the tag is kept)."""
     (tensor.withColumn("verb_bucket", F.pmod(F.xxhash64("verb"), F.lit(buckets)))
      .write.mode("overwrite").option("compression", "zstd").partitionBy("verb_bucket").parquet(path))
-
-
-def stage(spark: SparkSession, path: str, build, run: bool) -> DataFrame:
-    """Run a stage and persist its output, or read the earlier output when
-    the stage is not requested."""
-    if run:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -33,8 +33,12 @@ TOKEN_SPLIT = r"[^\p{L}]+"
 SPREAD_SETTING = "spark.lexivec.corpusPartitions"
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return os.path.join(sf_dir, f"{name}.parquet")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def read_corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

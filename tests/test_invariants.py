@@ -172,6 +172,71 @@ def test_ridge_matches_closed_form(spark):
     assert RG.fit_ridge_groups(df, 3, 2, min_samples=31).count() == 0
 
 
+def test_partial_sums_at_100_dimensions(spark):
+    """The sums of hot and small groups equal numpy's, and a task's memory doesn't grow with its samples."""
+    rng = np.random.default_rng(4)
+    names = np.where(rng.random(3000) < 0.6, "hot", rng.choice([f"m{i}" for i in range(40)], 3000))
+    x, y = rng.normal(size=(3000, 100)), rng.normal(size=(3000, 100))
+    df = spark.createDataFrame([(g, a.tolist(), b.tolist()) for g, a, b in zip(names, x, y)], "grp string, x array<double>, y array<double>").repartition(5)
+    rows = RG.partial_sums(df, 100, 100, ["grp"]).collect()
+    assert len(rows) <= 41 * 5
+    total = {}
+    for r in rows:
+        s, n = total.get(r.grp, (0.0, 0))
+        total[r.grp] = (s + np.array(r.s), n + r.n)
+    for g, (s, n) in total.items():
+        xt = np.hstack([x[names == g], np.ones((n, 1))])
+        assert np.allclose(s, np.hstack([(xt.T @ xt).ravel(), (xt.T @ y[names == g]).ravel()]))
+
+
+def test_regression_composers_match_numpy(spark):
+    """I6-I8 and E9-E11 against closed forms, with common and rare modifiers and verbs."""
+    d, lam = 3, 0.5
+    rng = np.random.default_rng(5)
+    vec = {f"n{i}/N": rng.normal(size=d) for i in range(12)} | {f"a{i}/J": rng.normal(size=d) for i in range(3)}
+    nouns = [w for w in vec if w.endswith("/N")]
+    vec |= {f"a{j}/J_{n}": rng.normal(size=d) for j in range(3) for n in nouns[: 4 + 4 * j]}
+    vec |= {f"v/V_{n}": rng.normal(size=d) for n in nouns[:6]}
+    vec |= {f"{s}_v/V_{o}": rng.normal(size=d) for s in nouns[:5] for o in nouns[:6]}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in vec.items()], "entry string, vec array<double>").repartition(3)
+
+    def solve(x, y):
+        xt = np.hstack([x, np.ones((len(x), 1))])
+        pen = np.diag([lam] * x.shape[1] + [0.0])
+        return np.linalg.solve(xt.T @ xt + pen, xt.T @ y)
+
+    one = lambda v: np.append(v, 1.0)
+    ask = spark.createDataFrame([(f"a{j}/J_{n}",) for j in range(3) for n in nouns] + [("a9/J_n1/N",), ("a1/J_zz/N",)], "phrase string")
+    got = {r.phrase: r.vec for r in RG.compose_baroni(ask, df, RG.train_baroni(df, d, lam, min_samples=5), d).collect()}
+    assert set(got) == {f"a{j}/J_{n}" for j in (1, 2) for n in nouns}
+    for j in (1, 2):
+        heads = nouns[: 4 + 4 * j]
+        w = solve(np.stack([vec[n] for n in heads]), np.stack([vec[f"a{j}/J_{n}"] for n in heads]))
+        assert all(np.allclose(got[f"a{j}/J_{n}"], one(vec[n]) @ w) for n in nouns)
+    pairs = [(f"a{j}/J", n) for j in range(3) for n in nouns[: 4 + 4 * j]]
+    w = solve(np.stack([np.append(vec[m], vec[n]) for m, n in pairs]), np.stack([vec[f"{m}_{n}"] for m, n in pairs]))
+    got = {r.phrase: r.vec for r in RG.compose_guevara(ask, df, RG.train_guevara(df, d, lam), d).collect()}
+    assert len(got) == 36 and all(np.allclose(v, one(np.append(vec[p[:4]], vec[p[5:]])) @ w) for p, v in got.items())
+    inner = {o: solve(np.stack([vec[s] for s in nouns[:5]]), np.stack([vec[f"{s}_v/V_{o}"] for s in nouns[:5]])).T for o in nouns[:6]}
+    outer = solve(np.stack([vec[o] for o in inner]), np.stack([m.ravel() for m in inner.values()]))
+    svo = spark.createDataFrame([(f"{s}_v/V_{o}",) for s in nouns for o in nouns] + [("n1/N_x/V_n2/N",)], "phrase string")
+    got = {r.phrase: r.vec for r in RG.compose_multistep(svo, df, RG.train_multistep(df, d, lam)[1], d).collect()}
+    assert len(got) == 144
+    for s in nouns:
+        for o in nouns:
+            assert np.allclose(got[f"{s}_v/V_{o}"], (one(vec[o]) @ outer).reshape(d, d + 1) @ one(vec[s]))
+
+
+def test_sparse_tiles_match_numpy(spark):
+    from lexivec.operators.blocks import SparseTiles
+    df, a = _sparse_matrix(spark, 50, 30, seed=2)
+    x = np.random.default_rng(1).normal(size=(30, 4))
+    right = spark.createDataFrame([(f"f{j:03d}", x[j].tolist()) for j in range(30)], "key string, vec array<double>")
+    for tile_cells in (1 << 20, 40):
+        got = {r.key: np.array(r.vec) for r in SparseTiles(df, tile_cells).multiply(right, "feature", "entry", 4).collect()}
+        assert all(np.allclose(got[f"e{i}"], a[i] @ x) for i in range(50))
+
+
 def test_glove_loss_decreases(spark):
     sent = T.sentences(T.read_corpus(spark, SF_SMALL))
     vocab = counting.vocabulary(sent, 5).select(F.col("token").alias("entry"))

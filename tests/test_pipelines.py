@@ -2,11 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lexivec.operators import counting
 from lexivec.plans import catalog, pipelines as P
+from lexivec.sinks.stages import Stages, StaleStage, shared_stage
 from lexivec.sources import tables as T
 
 
@@ -67,14 +69,71 @@ def test_word2vec_glove_and_third_party_pipelines(spark, tmp_path):
         .withColumnRenamed("entry", "surface").join(surfaces, "surface")
     p4 = P.third_party_pipeline(spark, emb, phrases, str(tmp_path / "p4"))
     assert p4
-    clean = spark.read.parquet(str(tmp_path / "p4" / "clean_unigrams"))
+    clean = Stages(spark, str(tmp_path / "p4")).read("clean_unigrams")
     assert clean.select("lemma").distinct().count() * 3 == clean.count()
 
 
 def test_regression_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
-    space = catalog.observed_space(spark, sf, max_n=3)
+    space = catalog.observed_space(spark, sf, max_n=3, k=10)
     outs = P.regression_pipeline(spark, space, catalog._np_phrases(spark, sf), str(tmp_path / "p6"), dim=10)
     assert set(outs) == {"Baroni", "Guevara", "Multistep"}
     assert outs["Guevara"].count() > 0 and outs["Baroni"].count() > 0
     assert outs["Guevara"].where(F.size("vec") != 10).count() == 0
+
+
+def test_killed_run_resumes_and_stale_stage_is_refused(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(10).write.parquet(src)
+    root = str(tmp_path / "job")
+
+    def job(stages=None, fail=False):
+        st = Stages(spark, root, stages)
+        a = st("a", lambda: spark.read.parquet(src).withColumn("x", F.col("id") * 2), {"in": spark.read.parquet(src)}, k=2)
+
+        def second():
+            if fail:  # dies while its files are being written
+                return a.withColumn("x", F.raise_error(F.lit("executor lost")).cast("long"))
+            return a.where("x > 4")
+        b = st("b", second, {"a": st.digests["a"]})
+        return st, b
+
+    with pytest.raises(Exception):
+        job(fail=True)
+    st, b = job()
+    assert st.built == ["b"] and b.count() == 7  # the first stage was committed before
+    st, b = job()
+    assert st.built == []
+    spark.range(20).write.mode("overwrite").parquet(src)
+    with pytest.raises(StaleStage):
+        job(stages=["b"])
+    with pytest.raises(StaleStage):
+        Stages(spark, root, [])("c", lambda: spark.range(1), {})
+    st, b = job()
+    assert st.built == ["a", "b"] and b.count() == 17
+
+
+def test_shared_stage_follows_its_files(spark, tmp_path):
+    src, built = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(src)
+
+    def get(**params):
+        return shared_stage(spark, "s", [src], params, lambda: built.append(1) or spark.read.parquet(src)).count()
+    assert (get(k=1), get(k=1), get(k=2), len(built)) == (3, 3, 3, 2)
+    spark.range(5).write.mode("append").parquet(src)
+    assert get(k=1) == 8 and len(built) == 3
+
+
+def test_word2vec_pipeline_from_conll(spark, tmp_path):
+    """P2 with its reformatting stage, then only the vectors again."""
+    conll = tmp_path / "conll"
+    conll.mkdir()
+    block = "\n".join(f"{i}\tWord{i}\tword{i}\tNN\tO\t0\troot" for i in range(12))
+    for f in ("a.conll", "b.conll"):
+        (conll / f).write_text("\n\n".join([block] * 20))
+    phrases = spark.createDataFrame([("word1/N_word2/N",)], "phrase string")
+    out = str(tmp_path / "p2")
+    done = P.word2vec_pipeline(spark, str(conll), phrases, out, dim=4, min_count=5)
+    assert done and spark.read.parquet(done[0]).where("entry = 'word1/N_word2/N'").count() == 1
+    assert Stages(spark, out).read("reformat").count() == 40
+    assert P.word2vec_pipeline(spark, str(conll), phrases, out, dim=4, min_count=5, stages=("vectors",)) == []

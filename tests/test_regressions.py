@@ -39,4 +39,4 @@ def test_verb_step_learns_from_observed_phrases(spark):
     one = spark.createDataFrame(rows + [("v/V_o1/N", [1.0, 1.0])], "entry string, vec array<double>")
     both = spark.createDataFrame(rows + [("v/V_o1/N", [1.0, 1.0]), ("v/V_o2/N", [1.0, 0.0])], "entry string, vec array<double>")
     assert regression.train_multistep(one, 2, min_samples=2)[1].count() == 0
-    assert regression.train_multistep(both, 2, min_samples=2)[1].count() == 1
+    assert regression.train_multistep(both, 2, min_samples=2)[1].select("verb").distinct().count() == 1
