@@ -440,14 +440,14 @@ GLOVE_MIN_COUNT = 5
 
 
 def glove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4 -> C7: distance-weighted co-occurrence (window 5) of words seen at
-    least 5 times, 10-dimensional GloVe by alternating least squares, junk filter."""
+    """I4 -> C7: distance-weighted co-occurrence (window 10) of words seen at
+    least 5 times, 100-dimensional GloVe by ten sweeps of alternating least squares, junk filter."""
     sent = T.sentences(T.read_corpus(spark, sf_dir))
     vocab = counting.vocabulary(sent, GLOVE_MIN_COUNT).select(F.col("token").alias("entry"))
-    cooc = (EM.distance_weighted_cooc(sent, window=5)
+    cooc = (EM.distance_weighted_cooc(sent, window=10)
             .join(vocab, "entry", "left_semi")
             .join(vocab.withColumnRenamed("entry", "ctx"), "ctx", "left_semi"))
-    vecs, _ = EM.train_glove(cooc, dim=10, sweeps=3)
+    vecs, _ = EM.train_glove(cooc)
     return long_vectors(vecs.where(FT.embedding_junk_filter("entry")), key="entry")
 
 

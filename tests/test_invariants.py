@@ -246,6 +246,39 @@ def test_glove_loss_decreases(spark):
     assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
 
 
+def test_glove_half_sweep_matches_normal_equations(spark):
+    """Blocks, routing and the reported loss against numpy, for few and many blocks."""
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((25, 25)) < 0.5, rng.random((25, 25)) * 200, 0.0)
+    x[3] = rng.random(25) * 50 + 1  # a word that meets all
+    cells = [(f"k{i:02d}", f"k{j:02d}", float(x[i, j])) for i in range(25) for j in range(25) if x[i, j] > 0]
+    df = spark.createDataFrame(cells, "entry string, ctx string, x double")
+    start = {r.key: np.array(r.vec) for r in df.select(F.col("ctx").alias("key")).distinct().select(
+        "key", F.transform(RD.gaussian_sketch("key", 3, 0), lambda v: v * 0.1).alias("vec")).collect()}
+    names = sorted(start)
+    c, cb = np.stack([start[k] for k in names]), np.zeros(25)
+
+    def half(m, vec, bias):
+        out = []
+        for row in m:
+            on = np.flatnonzero(row)
+            f = np.minimum(1, (row[on] / 100) ** 0.75)
+            xs = np.hstack([vec[on], np.ones((len(on), 1))])
+            out.append(np.linalg.solve(xs.T @ (f[:, None] * xs) + np.diag([0.1] * 3 + [0.0]), xs.T @ (f * (np.log(row[on]) - bias[on]))))
+        return np.stack(out)[:, :3], np.stack(out)[:, 3]
+
+    for _ in range(2):
+        w, wb = half(x, c, cb)
+        c, cb = half(x.T, w, wb)
+    on = x > 0
+    want = np.sum((np.minimum(1, (x / 100) ** 0.75) * (w @ c.T + wb[:, None] + cb - np.log(np.where(on, x, 1))) ** 2)[on])
+    for block_cells in (1 << 19, 20):
+        vecs, losses = EM.train_glove(df, dim=3, sweeps=2, track_loss=True, block_cells=block_cells)
+        got = {r.entry: np.array(r.vec) for r in vecs.collect()}
+        assert all(np.allclose(got[k], w[i] + c[i], rtol=1e-3, atol=1e-3) for i, k in enumerate(names))
+        assert abs(losses[-1] - want) < 1e-3 * want
+
+
 def test_word2vec_vocabulary_is_min_count(spark):
     sents = catalog.corpus_sentences(spark, SF_SMALL)
     vocab = {r["token"] for r in counting.vocabulary(sents, 20).collect()}
