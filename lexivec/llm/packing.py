@@ -34,6 +34,8 @@ from lexivec.llm.common import mix, partitions, prepare, staged
 WINDOW = 2048
 #: Rows that a shard has about, and the hashes that tails are sorted by.
 SHARD_ROWS, HASHES = 512, 4
+#: Documents, characters and ids that a task holds at once while it cuts.
+STEP_DOCS, STEP_CHARS, STEP_IDS = 2048, 3_000_000, 1_000_000
 #: Kinds of staged rows: full window, tail, and the document counts of a task's ids.
 FULL, TAIL, SEEN = 0, 1, 2
 K1, B = 1.2, 0.75
@@ -53,8 +55,9 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataF
         for b in batches:
             out, held = [], 0
             texts, doc_ids, rows = b["text"].tolist(), b["doc_id"].tolist(), b["row"].tolist()
-            for s in range(0, len(texts), 4096):
-                for doc_id, row, ids in zip(doc_ids[s: s + 4096], rows[s: s + 4096], enc.encode(texts[s: s + 4096])):
+            for s in range(0, len(texts), STEP_DOCS):
+                e = s + STEP_DOCS
+                for doc_id, row, ids in zip(doc_ids[s:e], rows[s:e], enc.encode(texts[s:e], STEP_CHARS)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     n = len(ids)
                     for start in range(0, n, window):
@@ -67,7 +70,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataF
                             seen[distinct] += 1
                         out.append((doc_id, row, start, len(part), _crc(part), n, part.tobytes(), kind))
                         held += len(part)
-                if held > 4_000_000:
+                if held > STEP_IDS:
                     yield _pieces(out)
                     out, held = [], 0
             yield _pieces(out)

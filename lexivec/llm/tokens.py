@@ -150,7 +150,7 @@ class UnitEncoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], step_chars: int = STEP_CHARS) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         todo, chars = [], 0
         for i, t in enumerate(texts):
@@ -162,7 +162,7 @@ class UnitEncoder:
             else:
                 todo.append(i)
                 chars += len(t)
-                if chars >= STEP_CHARS:
+                if chars >= step_chars:
                     self._step(texts, todo, out)
                     todo, chars = [], 0
         if todo:
