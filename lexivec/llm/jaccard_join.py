@@ -106,10 +106,12 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
 
     sent = rows.where("index is not null")
     limit = int(min(1.0, RARE_SPACE * (den - num) / den) * (1 << SPACE_BITS))
-    cells = sent.select("cls", "n", "rare", F.explode("index").alias("token"))
+    # two numbers a cell; what belongs to the class joins once the single tokens are gone
+    cells = sent.select("cls", F.explode("index").alias("token"))
+    sizes = sent.groupBy("cls").agg(F.max("n").alias("n"), F.max("rare").alias("rare"))
     often = cells.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # tokens of one class only cannot make a pair; they only use up places of a prefix
-    shared = cells.join(often, "token").repartition(F.col("cls")).groupBy("cls", "token") \
+    shared = cells.join(often, "token").join(sizes, "cls").groupBy("cls", "token") \
         .agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("df").alias("df"))
     in_space = F.col("token") < F.lit(limit)
     by_class = Window.partitionBy("cls")
