@@ -1,28 +1,35 @@
 """Nearest neighbours and neighbour baselines.
 
-Exact kNN (G6) is a blocked nested loop: vectors are hashed into query tiles
-and candidate tiles of bounded size; each (query tile, candidate tile) pair is
-one ``cogroup`` group whose distance block is computed with numpy, and only the
-k best candidates per query leave the task.  A final ranking per query keeps k
-of the ``k × n_tiles`` survivors (Spark applies the ``rank <= k`` limit before
-that shuffle too).  No pair rows are ever materialised and no group exceeds a
-tile.  Work is O(n²·d) by nature; G7 (LSH) is the route for very large n.
+Vectors are dealt to the cells of their nearest pivots (some vectors of the table, a
+bounded number).  Queries first search the cells of their nearest pivots; the distance
+of the k-th neighbour found there then bounds what is left: by the triangle inequality a
+cell whose pivot is farther than this distance and the cell's radius together can't hold
+a nearer one.  Exact search (G6) looks at all cells that remain; approximate search (G7)
+stops after a number of cells that is measured, on sampled queries, to reach the
+recall that was asked for.  Both re-rank by exact distances and always give k
+neighbours where there are k.
+
+A group is one tile of a cell and one block of the queries that look there, a distance
+block in numpy; only the k best of each query leave it.  No pair rows are made.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as V
-from lexivec.operators.indexing import global_index
+from lexivec.functions.arrow import matrix
+from lexivec.operators.indexing import global_index, materialize
 
 DEFAULT_K = 10
-TILE_ROWS = 4096
+#: Rows of a cell about, most pivots, and most rows of either side that meet in one group.
+CELL_ROWS, MAX_PIVOTS, TILE_ROWS = 256, 4096, 4096
+#: Cells searched before the bound is known, and sampled queries that measure recall.
+FIRST_CELLS, AUDITED = 2, 256
 
 OUT_SCHEMA = "entry string, neighbour string, distance double"
 
@@ -80,48 +87,141 @@ def _tile_knn(k: int, exclude_self: bool, allow_overlap: bool):
     return run
 
 
+class PivotIndex:
+    """``vectors(entry, vec)`` by cells of nearest pivots.  The pivots, the cells' sizes and
+    radii are on the driver (``MAX_PIVOTS`` rows at most); everything else stays in tables."""
+
+    def __init__(self, vectors: DataFrame, cell_rows: int = CELL_ROWS, tile_rows: int = TILE_ROWS):
+        rows = vectors.select(F.col("entry").cast("string").alias("entry"), V.as_double("vec").alias("vec")).where("vec is not null")
+        self.spark, self.tile_rows = vectors.sparkSession, tile_rows
+        self.n = rows.count()
+        if not self.n:
+            return
+        n_pivots = max(1, min(MAX_PIVOTS, -(-self.n // cell_rows)))
+        chosen = rows.orderBy(F.xxhash64("entry"), "entry").limit(n_pivots).select("vec").collect()
+        self.pivots = pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
+
+        def nearest(batches):
+            for b in batches:
+                if b.num_rows:
+                    d = _distances(matrix(b.column("vec"), pivots.shape[1]), pivots)
+                    cell = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("vec"), pa.array(cell.astype(np.int32)),
+                                                      pa.array(d[np.arange(len(cell)), cell])], names=["entry", "vec", "cell", "far"])
+
+        self.rows = materialize(rows.mapInArrow(nearest, "entry string, vec array<double>, cell int, far double"))
+        size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        for r in self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+            size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+        self.size, self.radius = size, radius
+
+    def _visits(self, queries: DataFrame, pick) -> DataFrame:
+        """``entry, vec, cell`` for the cells that ``pick(distances to pivots, batch)`` marks."""
+        pivots = self.pivots
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    q, cell = np.nonzero(pick(_distances(matrix(b.column("vec"), pivots.shape[1]), pivots), b))
+                    for s in range(0, len(q), 8192):
+                        at = pa.array(q[s: s + 8192])
+                        yield pa.RecordBatch.from_arrays([b.column("entry").take(at), b.column("vec").take(at),
+                                                          pa.array(cell[s: s + 8192].astype(np.int32))], names=["entry", "vec", "cell"])
+
+        return queries.mapInArrow(run, "entry string, vec array<double>, cell int")
+
+    def _search(self, visits: DataFrame, k: int, exclude_self: bool, allow_overlap: bool) -> DataFrame:
+        """The k best of each query among the cells it visits: ``entry, neighbour, distance``, per group."""
+        visits = materialize(visits)
+        tiles = self.spark.createDataFrame([(c, -(-int(n) // self.tile_rows)) for c, n in enumerate(self.size.tolist()) if n], "cell int, tiles int")
+        blocks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.tile_rows).cast("int").alias("blocks"))
+        grid = blocks.join(F.broadcast(tiles), "cell")  # a row a cell
+        some = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        left = visits.join(F.broadcast(grid), "cell").withColumn("block", F.pmod(F.xxhash64("entry"), "blocks").cast("int")) \
+            .select("cell", some("tiles").alias("tile"), "block", "entry", "vec")
+        right = self.rows.join(F.broadcast(grid), "cell").withColumn("tile", F.pmod(F.xxhash64("entry", F.lit(1)), "tiles").cast("int")) \
+            .select("cell", "tile", some("blocks").alias("block"), "entry", "vec")
+        keys = ["cell", "tile", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile_knn(k, exclude_self, allow_overlap), OUT_SCHEMA)
+
+    def search(self, queries: DataFrame, k: int, cells: int = FIRST_CELLS, exact: bool = True, exclude_self: bool = True,
+               allow_overlap: bool = True) -> DataFrame:
+        """``(entry, rank, neighbour, distance)`` from each query's ``cells`` nearest cells, and
+        with ``exact`` (or where these hold no k neighbours) from all that the bound leaves."""
+        size, radius, need = self.size, self.radius, k + 1
+        queries = queries.select(F.col("entry").cast("string").alias("entry"), V.as_double("vec").alias("vec")).where("vec is not null")
+
+        def first(d: np.ndarray) -> np.ndarray:
+            order = np.argsort(d, axis=1, kind="stable")
+            held = np.cumsum(size[order], axis=1) - size[order]  # rows in nearer cells
+            take = (np.arange(d.shape[1]) < cells) | (held < need)
+            out = np.zeros(d.shape, bool)
+            np.put_along_axis(out, order, take, axis=1)
+            return out & (size > 0)
+
+        found = materialize(_ranked(self._search(self._visits(queries, lambda d, b: first(d)), k, exclude_self, allow_overlap), k))
+        if len(self.pivots) == 1:
+            return found
+        bound = found.groupBy("entry").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+        rest = queries.join(bound, "entry", "left")
+        if not exact:
+            rest = rest.where("bound is null")
+
+        def left_over(d: np.ndarray, b) -> np.ndarray:
+            limit = np.nan_to_num(b.column("bound").to_numpy(zero_copy_only=False), nan=np.inf)
+            reach = limit[:, None] + radius[None, :]
+            return ~first(d) & (size > 0) & (d <= reach * (1 + 1e-9) + 1e-9)
+
+        more = self._search(self._visits(rest.select("entry", "vec", F.col("bound").cast("double").alias("bound")), left_over), k,
+                            exclude_self, allow_overlap)
+        return _ranked(found.select("entry", "neighbour", "distance").unionByName(more), k)
+
+    def cells_for(self, recall: float, k: int) -> int:
+        """Nearest cells that hold ``recall`` of the k nearest neighbours, by exact search for
+        ``AUDITED`` of the vectors."""
+        if len(self.pivots) == 1:
+            return 1
+        asked = materialize(self.rows.orderBy(F.xxhash64("entry", F.lit(2)), "entry").limit(AUDITED).select("entry", "vec"))
+        near = self.search(asked, k).join(self.rows.select(F.col("entry").alias("neighbour"), "cell"), "neighbour") \
+            .join(asked, "entry").select("vec", "cell").collect()  # AUDITED x k rows at most
+        if not near:
+            return 1
+        d = _distances(np.array([r["vec"] for r in near]), self.pivots)
+        d[:, self.size == 0] = np.inf
+        place = np.sort((d < d[np.arange(len(near)), [r["cell"] for r in near]][:, None]).sum(1))
+        return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", pivots, pivots) - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("entry").orderBy("distance", "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select("entry", F.col("rank").cast("long").alias("rank"), "neighbour", "distance")
+
+
 def knn_exact(vectors: DataFrame, k: int = DEFAULT_K, queries: DataFrame | None = None,
               exclude_self: bool = True, allow_lexical_overlap: bool = True,
-              tile_rows: int = TILE_ROWS) -> DataFrame:
+              tile_rows: int = TILE_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Euclidean k nearest neighbours of each query entry among ``vectors``;
     ascending distance, ties by neighbour; ``(entry, rank, neighbour, distance)``."""
-    queries = vectors if queries is None else queries
-    n_c = vectors.count()
-    n_q = queries.count() if queries is not vectors else n_c
-    tc = max(1, math.ceil(n_c / tile_rows))
-    tq = max(1, math.ceil(n_q / tile_rows))
-    # fresh aliases: queries may share lineage with vectors (a self cogroup)
-    cand = (vectors.select(F.col("entry").alias("entry"), V.as_double("vec").alias("vec"))
-            .withColumn("ct", F.pmod(F.xxhash64("entry"), F.lit(tc)))
-            .withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(tq - 1)))))
-    qry = (queries.select(F.col("entry").alias("entry"), V.as_double("vec").alias("vec"))
-           .withColumn("qt", F.pmod(F.xxhash64(F.lit("q"), "entry"), F.lit(tq)))
-           .withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(tc - 1)))))
-    local = (qry.groupBy("qt", "ct").cogroup(cand.groupBy("qt", "ct"))
-             .applyInPandas(_tile_knn(k, exclude_self, allow_lexical_overlap), OUT_SCHEMA))
-    w = Window.partitionBy("entry").orderBy("distance", "neighbour")
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("entry", F.col("rank").cast("long").alias("rank"), "neighbour", "distance"))
-
-
-def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, bucket_length: float = 0.05,
-            num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate neighbours via Euclidean LSH (``BucketedRandomProjectionLSH``);
-    all pairs sharing a bucket of some table are scored, then ranked as in G6.  An entry
-    with fewer than k bucket mates has a shorter list."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    feats = vectors.select("entry", array_to_vector(V.as_double("vec")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=num_tables,
-                                        seed=seed).fit(feats)
-    pairs = model.approxSimilarityJoin(feats, feats, float("inf"), distCol="distance")
-    pairs = pairs.select(F.col("datasetA.entry").alias("entry"), F.col("datasetB.entry").alias("neighbour"),
-                         "distance").where(F.col("entry") != F.col("neighbour"))
-    w = Window.partitionBy("entry").orderBy("distance", "neighbour")
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("entry", F.col("rank").cast("long").alias("rank"), "neighbour", "distance"))
+    index = PivotIndex(vectors, cell_rows, tile_rows)
+    if not index.n:
+        return vectors.sparkSession.createDataFrame([], "entry string, rank long, neighbour string, distance double")
+    return index.search(vectors if queries is None else queries, k, exclude_self=exclude_self, allow_overlap=allow_lexical_overlap)
+
+
+def knn_lsh(vectors: DataFrame, k: int = DEFAULT_K, recall: float = 0.97, cell_rows: int = CELL_ROWS,
+            tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Approximate neighbours from as many nearest cells as hold ``recall`` of the
+    true ones of sampled vectors, ranked by exact distances as in G6; k each, always."""
+    index = PivotIndex(vectors, cell_rows, tile_rows)
+    if not index.n:
+        return vectors.sparkSession.createDataFrame([], "entry string, rank long, neighbour string, distance double")
+    return index.search(vectors, k, cells=index.cells_for(recall, k), exact=False)
 
 
 # ---- baselines -------------------------------------------------------------------
@@ -143,7 +243,7 @@ def random_neighbours(entries: DataFrame, vocabulary: DataFrame, k: int = 1, see
     n - k + i + 1 and, where taken already, is n - k + i), from md5 of entry, seed and i."""
     n = vocabulary.select("entry").distinct().count()
     if n == 0:
-        raise ValueError("You need to provide a set of values to choose from first")
+        raise ValueError("random neighbours need a vocabulary to draw from")
     k = min(k, n)
     vocab = global_index(vocabulary.select("entry").distinct(), ["entry"], col="idx")
     def drawn(held, i):

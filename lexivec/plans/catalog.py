@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.functions import features as FT
+from lexivec.functions import vectors as V
 from lexivec.operators import cleaning as CL
 from lexivec.operators import compose as C
 from lexivec.operators import counting
@@ -176,11 +177,24 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate neighbours by LSH (checked against G6 for recall in tests)."""
+    """Approximate neighbours from the nearest cells (checked against G6 for recall in tests)."""
     lex = T.lexicon(_emb(spark, sf_dir))
     return NB.knn_lsh(lex, k=10).select("entry", "rank", "neighbour", _r("distance").alias("distance"))
 
 
+def knn_lsh_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 held against the vectors: lists of k, exact distances, ranks in order, per tag."""
+    lex = T.lexicon(_emb(spark, sf_dir))
+    side = lambda c: lex.select(F.col("entry").alias(c), V.as_double("vec").alias(f"{c}_vec"))
+    near = NB.knn_lsh(lex, k=10).join(side("entry"), "entry").join(side("neighbour"), "neighbour")
+    squares = F.aggregate(F.zip_with("entry_vec", "neighbour_vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    lists = near.groupBy("entry").agg(
+        F.countDistinct("neighbour").alias("n"), F.count_if(F.abs(F.sqrt(squares) - F.col("distance")) <= 1e-9).alias("exact"),
+        F.max("rank").alias("last"))
+    return lists.groupBy(F.substring_index("entry", "/", -1).alias("tag")).agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("n").alias("neighbours"), F.sum("exact").alias("exact"), F.max("last").alias("last_rank"))
+
+
 def labelled_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 stand-in: distinct tagged words of the labelled documents."""
     docs = T.read_corpus(spark, sf_dir).join(
@@ -466,6 +480,7 @@ QUERIES = {
     "frobenius_mult": _categorical_query("FMult"),
     "knn_exact": knn_exact,
     "knn_lsh": knn_lsh,
+    "knn_lsh_audit": knn_lsh_audit,
     "random_vectors": random_vectors,
     "constant_neighbours": constant_neighbours,
     "random_neighbours": random_neighbours,

