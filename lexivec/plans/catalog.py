@@ -120,6 +120,39 @@ def compose_sparse_mult(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("phrase", "feature", _r("weight").alias("value"))
 
 
+def sparse_space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """PPMI cells and the composable word pairs seen ``MIN_EVENT_FREQ`` times or more whose
+    words both have a row; two stages that the sparse composers share."""
+    files, params = [T.table_path(sf_dir, "documents")], {"min_ff": counting.MIN_FEATURE_FREQ, "min_ef": counting.MIN_EVENT_FREQ}
+    weights = shared_stage(spark, "ppmi", files, params, lambda: counting.ppmi(cooc_filtered(spark, sf_dir)).where("weight > 0"))
+
+    def pairs():
+        sent = T.sentences(T.read_corpus(spark, sf_dir), tagged=False).where(F.size("toks") >= 2)
+        n = F.size("toks")
+        both = F.arrays_zip(F.slice("toks", 1, n - 1).alias("a"), F.slice("toks", 2, n - 1).alias("b"))
+        seen = sent.select(F.explode(both).alias("z")).groupBy("z.a", "z.b").count().where(F.col("count") >= counting.MIN_EVENT_FREQ)
+        named = seen.select(F.concat_ws("_", T.tag_by_length("a"), T.tag_by_length("b")).alias("phrase"))
+        return C.contains(named, weights.select("entry").distinct(), C.ADD)
+
+    return weights, shared_stage(spark, "frequent-pairs", files, params, pairs)
+
+
+def _long_query(c: C.Composer):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        weights, pairs = sparse_space(spark, sf_dir)
+        return C.compose_long(pairs, weights, [c]).select("phrase", "feature", _r("weight").alias("value"))
+    run.__name__ = f"compose_long_{c.name.lower()}"
+    run.__doc__ = f"{c.name} over sparse PPMI rows of frequent word pairs: its non-zero cells."
+    return run
+
+
+def compose_pick_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left and Right over sparse PPMI rows of frequent word pairs, as counts and sums per phrase."""
+    weights, pairs = sparse_space(spark, sf_dir)
+    cells = C.pick_long(pairs, weights, C.LEFT).unionByName(C.pick_long(pairs, weights, C.RIGHT))
+    return cells.groupBy("composer", "phrase").agg(F.count(F.lit(1)).alias("n_features"), _r(F.sum("weight")).alias("total"))
+
+
 GUEVARA_RULE = C.Composer("Guevara", "elementwise", "add", ("AN", "NN"))
 
 
@@ -472,6 +505,8 @@ QUERIES = {
     "type_quota": type_quota,
     **{f"compose_{c.name.lower()}": _compose_query(c) for c in C.ALL_SIMPLE},
     "compose_sparse_mult": compose_sparse_mult,
+    **{f"compose_long_{c.name.lower()}": _long_query(c) for c in (C.ADD, C.AVG, C.MULT, C.MIN, C.MAX)},
+    "compose_pick_long": compose_pick_long,
     "compose_all_index": compose_all_index,
     "compose_coverage": compose_coverage,
     "verb_tensors": verb_tensors,

@@ -199,6 +199,26 @@ cells AS (SELECT o.phrase, x.feature, x.weight * y.weight AS value
           FROM ok o JOIN w x ON x.entry = o.t1 JOIN w y ON y.entry = o.t2 AND y.feature = x.feature)
 SELECT o.phrase, c.feature, round(c.value, 6) AS value FROM ok o LEFT JOIN cells c ON o.phrase = c.phrase"""
 
+LONG = "WITH " + FILT + f""",
+w AS (SELECT entry, feature, weight FROM ppmi WHERE weight > 0),
+big AS (SELECT a.tok || '_' || b.tok AS phrase, a.tok AS t1, b.tok AS t2
+        FROM stok a JOIN stok b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos = a.pos + 1
+        GROUP BY ALL HAVING count(*) >= 15),
+ok AS (SELECT phrase, t1, t2 FROM big WHERE t1 IN (SELECT entry FROM w) AND t2 IN (SELECT entry FROM w)
+         AND {ftype('phrase')} IN {COMPOSABLE}),
+cells AS (SELECT phrase, feature, max(a) AS a, max(b) AS b FROM (
+  SELECT o.phrase, x.feature, x.weight AS a, 0.0 AS b FROM ok o JOIN w x ON x.entry = o.t1 UNION ALL
+  SELECT o.phrase, x.feature, 0.0 AS a, x.weight AS b FROM ok o JOIN w x ON x.entry = o.t2) GROUP BY ALL)"""
+
+for _name, _value in {"add": "a + b", "avg": "(a + b) / 2", "mult": "a * b", "min": "least(a, b)", "max": "greatest(a, b)"}.items():
+    SQL[f"compose_long_{_name}"] = LONG + f"""
+SELECT phrase, feature, round({_value}, 6) AS value FROM cells WHERE {_value} <> 0"""
+
+SQL["compose_pick_long"] = LONG + """
+SELECT composer, phrase, count(*) AS n_features, round(sum(weight), 6) AS total FROM (
+  SELECT 'Left' AS composer, phrase, weight FROM ok JOIN w ON w.entry = t1 UNION ALL
+  SELECT 'Right' AS composer, phrase, weight FROM ok JOIN w ON w.entry = t2) GROUP BY ALL"""
+
 # ---- tensors ------------------------------------------------------------------------
 
 TENSOR = "WITH " + LEX + """,

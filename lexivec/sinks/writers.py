@@ -3,10 +3,12 @@ the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.features import SPARSE_OUTPUT_TYPES, feature_type
+from lexivec.sources.vectors import columns_digest
 
 
 def write_sparse_tsv(weights: DataFrame, entries: DataFrame, path: str, entry_filter=None,
@@ -20,19 +22,42 @@ def write_sparse_tsv(weights: DataFrame, entries: DataFrame, path: str, entry_fi
         rows = rows.where(feature_type("entry").isin(*types))
     if entry_filter is not None:
         rows = rows.where(entry_filter(F.col("entry")))
-    cells = weights.join(rows, "entry", "right")
-    g = cells.groupBy("entry").agg(F.array_sort(F.collect_list(
-        F.when(F.col("feature").isNotNull(), F.struct("feature", "weight")))).alias("cs"))
     name = row_transform(F.col("entry")) if row_transform is not None else F.col("entry")
-    body = F.array_join(F.transform("cs", lambda c: F.concat(c["feature"], F.lit("\t"),
-                                                             c["weight"].cast("string"))), "\t")
-    line = F.when(F.size("cs") > 0, F.concat(name, F.lit("\t"), body)).otherwise(name)
-    w = g.select(line.alias("value")).write.mode("overwrite")
+    cells = weights.join(rows, "entry", "right").select(
+        "entry", name.alias("name"), "feature", F.concat_ws("\t", "feature", F.col("weight").cast("string")).alias("cell"))
+    # an entry's cells arrive in order and are joined as they come, no list of them is made
+    lines = cells.repartitionByRange("entry").sortWithinPartitions("entry", "feature").select("entry", "name", "cell").mapInArrow(_lines, "value string")
+    w = lines.write.mode("overwrite")
     if gzipped:
         w = w.option("compression", "gzip")
     w.text(path)
 
 
+#: Characters of finished lines that a writing task holds.
+LINE_BUFFER = 4 << 20
+
+
+def _lines(batches):
+    """Text lines from sorted ``entry, name, cell`` rows; an empty cell is an entry without cells."""
+    entry, parts, done, size = None, [], [], 0
+    for b in batches:
+        for e, name, cell in zip(*(c.to_pylist() for c in b.columns)):
+            if e != entry or not parts:
+                if parts:
+                    done.append("\t".join(parts))
+                    size += len(done[-1])
+                    if size > LINE_BUFFER:
+                        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["value"])
+                        done, size = [], 0
+                entry, parts = e, [name]
+            if cell:
+                parts.append(cell)
+    if parts:
+        done.append("\t".join(parts))
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["value"])
+
+
 def write_dense(vectors: DataFrame, path: str, features: DataFrame | None = None) -> None:
     """``vectors(entry, vec)`` (+ the named columns) as parquet."""
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -50,8 +75,11 @@ def write_triples(weights: DataFrame, entries: DataFrame, features: DataFrame, p
     features.write.mode("overwrite").parquet(f"{path}/cols")
 
 
-def write_model(model: DataFrame, path: str) -> None:
-    """S4."""
+def write_model(model: DataFrame, path: str, features: DataFrame | None = None) -> None:
+    """S4; with ``features`` (the ordered columns of the space that the model was trained
+    on) the rows carry their digest, which is checked when the model is used (D9)."""
+    if features is not None:
+        model = model.withColumn("space", F.lit(columns_digest(features)))
     model.write.mode("overwrite").parquet(path)
 
 

@@ -9,13 +9,14 @@ still a row.  Columns are global and sorted (G4).
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions.features import feature_type, smart_lower
-from lexivec.operators.indexing import global_index
+from lexivec.operators.indexing import global_index, materialize
 
 
 @dataclass
@@ -95,24 +96,37 @@ def read_dense(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``(file_no, line_no, name)`` of the lines of a file or folder: files in the order of
+    their names, lines from 0.  A file is read in splits by many tasks; the lines before a
+    split are the sum of the counts of the splits before it (one row a split)."""
+    rows = materialize(spark.read.text(path).select(
+        F.col("value").alias(name), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("id")))
+    splits = rows.groupBy("file", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # files without lines keep their place: the list is the folder's, one small row a file
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    files = files.select("file", F.row_number().over(Window.orderBy("file")).alias("file_no"))
+    places = splits.select("file", "at", "first", before.alias("before")).join(files, "file")
+    return rows.join(places, ["file", "at"]).select("file_no", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), name)
+
+
 def read_line_aligned(spark: SparkSession, phrases_path: str, emitted_path: str, vectors_path: str,
                       width: int | None = None) -> DataFrame:
     """A7 + D11 + C9: three files, or folders of as many files, aligned by file (in
     the order of their names) and line number — phrases as given, phrases as
     emitted, comma-separated vectors.  Rows whose emitted phrase holds
-    ``*UNKNOWN*`` are dropped.  Files are read whole (one row each) and numbered
-    by ``posexplode``; the line counts must agree."""
-    def numbered(path, name):
-        doc = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-        # one small row per file
-        files = doc.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("file_no"))
-        lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-        return doc.join(files, "file").select("file_no", F.posexplode(lines).alias("line_no", name))
-
-    a, b, c = numbered(phrases_path, "phrase"), numbered(emitted_path, "emitted"), numbered(vectors_path, "csv")
-    counts = [x.count() for x in (a, b, c)]
-    if len(set(counts)) != 1:
-        raise AssertionError(f"line counts differ: {counts}")
+    ``*UNKNOWN*`` are dropped.  The line counts of each file must agree."""
+    a, b, c = (numbered_lines(spark, path, name) for path, name in
+               ((phrases_path, "phrase"), (emitted_path, "emitted"), (vectors_path, "csv")))
+    counts = None
+    for x, name in ((a, "phrases"), (b, "emitted"), (c, "vectors")):
+        n = x.groupBy("file_no").agg(F.count(F.lit(1)).alias(name))
+        counts = n if counts is None else counts.join(n, "file_no", "full")
+    odd = counts.where(~(F.col("phrases").eqNullSafe(F.col("emitted")) & F.col("phrases").eqNullSafe(F.col("vectors")))).first()
+    if odd is not None:
+        raise AssertionError(f"the files do not have the same lines: {odd.asDict()}")
     at = ["file_no", "line_no"]
     j = a.join(b, at).join(c, at).where(~F.col("emitted").contains("*UNKNOWN*"))
     vec = F.transform(F.split("csv", ","), lambda x: F.trim(x).cast("double"))
@@ -143,7 +157,23 @@ def read_svo_list(spark: SparkSession, path: str) -> DataFrame:
                      F.get(parts, 2).alias("obj"), "phrase").dropDuplicates()
 
 
-def read_model(spark: SparkSession, path: str) -> DataFrame:
-    """Trained composition coefficients."""
-    return spark.read.parquet(path)
+def columns_digest(features: DataFrame) -> str:
+    """Digest of an ordered column dictionary ``(col_id, feature)``."""
+    row = features.select(F.xxhash64(F.col("col_id").cast("long"), "feature").alias("h")) \
+        .agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(20,0)"))).first()
+    return hashlib.sha256("|".join(map(str, row)).encode()).hexdigest()
+
+
+def check_columns(model: DataFrame, features: DataFrame | None) -> DataFrame:
+    """D9 on every load and compose: a model that carries the digest of its columns
+    (``space``) is only applied to a space with the same ones, in the same order."""
+    if features is not None and "space" in model.columns:
+        made = [r["space"] for r in model.select("space").distinct().limit(2).collect()]
+        if made and made != [columns_digest(features)]:
+            raise AssertionError("the model was trained on other columns, or in another order, than this space has")
+    return model
+
 
+def read_model(spark: SparkSession, path: str, features: DataFrame | None = None) -> DataFrame:
+    """Trained composition coefficients, checked against the space's columns."""
+    return check_columns(spark.read.parquet(path), features)

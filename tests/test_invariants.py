@@ -356,17 +356,64 @@ def test_line_aligned(spark, tmp_text):
     assert [(r["phrase"], list(r["vec"])) for r in got] == [("big/J_cat/N", [1.0, 2.0]), ("x/N_y/N", [5.0, 6.0])]
 
 
+def test_line_aligned_in_many_splits(spark, tmp_path):
+    """Three folders of files of many splits each, one file empty, joined line by line."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = [[f"p{f}-{i}/N_x/N" for i in range(400 * f)] for f in range(3)]
+    for name, text in (("p", lambda x, i: x), ("e", lambda x, i: "*UNKNOWN*" if i % 7 == 0 else x), ("v", lambda x, i: f"{i},{len(x)}")):
+        (tmp_path / name).mkdir()
+        for f, rows in enumerate(lines):
+            (tmp_path / name / f"part-{f}").write_text("".join(text(x, i) + "\n" for i, x in enumerate(rows)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        got = read_line_aligned(spark, *(str(tmp_path / n) for n in "pev"))
+        rows = {r.phrase: (r.line_no, list(r.vec)) for r in got.collect()}
+        (tmp_path / "e" / "part-1").write_text("short\n")
+        with pytest.raises(AssertionError):
+            read_line_aligned(spark, *(str(tmp_path / n) for n in "pev"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {x: (i, [float(i), float(len(x))]) for rs in lines for i, x in enumerate(rs) if i % 7}
+    assert rows == want
+
+
+def test_model_is_refused_for_other_columns(spark, tmp_path):
+    from lexivec.sinks.writers import write_model
+    from lexivec.sources.vectors import read_model
+    cols = spark.createDataFrame([(0, "x"), (1, "y")], "col_id long, feature string")
+    turned = spark.createDataFrame([(0, "y"), (1, "x")], "col_id long, feature string")
+    vec = spark.createDataFrame([("n/N", [1.0, 2.0])], "entry string, vec array<double>")
+    model = spark.createDataFrame([("a/J", [1.0, 0.0, 0.0, 0.0, 1.0, 5.0])], "modifier string, coef array<double>")
+    path = str(tmp_path / "m")
+    write_model(model, path, cols)
+    loaded = read_model(spark, path, cols)
+    ask = spark.createDataFrame([("a/J_n/N",)], "phrase string")
+    assert list(RG.compose_baroni(ask, vec, loaded, 2, cols).first().vec) == [1.0, 7.0]
+    for call in (lambda: read_model(spark, path, turned), lambda: RG.compose_baroni(ask, vec, loaded, 2, turned),
+                 lambda: RG.compose_guevara(ask, vec, loaded, 2, turned)):
+        with pytest.raises(AssertionError):
+            call()
+    with pytest.raises(ValueError):
+        RG.compose_baroni(ask, None, loaded, 2)
+
+
 def test_sampling_guard():
     with pytest.raises(ValueError):
         corpus.check_sampling(95, 2)
 
 
-def test_multiply_rows_equals_long_form(spark, tmp_text):
+def test_multiply_rows_equals_long_form(spark, tmp_text, monkeypatch):
+    """Phrases of one to five tokens, listed twice, tokens with and without cells, with and without chunks."""
     src = read_vectors_tsv(spark, tmp_text("m.txt", "a/N\tx\t1\ty\t2\tz\t0\nb/V\tx\t3\tz\t5\nc/J\tx\t2\ty\t1\n"))
-    ph = spark.createDataFrame([("a/N_b/V",), ("a/N_b/V_c/J",), ("b/V_b/V",), ("a/N_c/J",)], "phrase string")
-    a = sorted(map(tuple, C.multiply_rows(ph, src.weights).collect()))
-    b = sorted(map(tuple, C.compose_long(ph, src.weights, [C.MULT]).collect()))
-    assert a == b and ("Mult", "b/V_b/V", "z", 25.0) in a
+    names = ["a/N_b/V", "a/N_b/V_c/J", "b/V_b/V", "a/N_c/J", "a/N", "b/V_b/V_b/V_c/J_a/N", "a/N_q/N"]
+    ph = spark.createDataFrame([(p,) for p in names * 2], "phrase string")
+    whole = sorted(map(tuple, C.compose_long(ph, src.weights, [C.ADD, C.MULT]).where("composer = 'Mult'").collect()))
+    assert ("Mult", "b/V_b/V", "z", 25.0) in whole and ("Mult", "b/V_b/V_b/V_c/J_a/N", "x", 54.0) in whole
+    for cells in (1 << 14, 1):
+        monkeypatch.setattr(C, "CHUNK_CELLS", cells)
+        assert sorted(map(tuple, C.multiply_rows(ph, src.weights).collect())) == whole
+        left = sorted(map(tuple, C.pick_long(ph, src.weights, C.LEFT).where("phrase = 'b/V_b/V'").collect()))
+        assert left == [("Left", "b/V_b/V", "x", 3.0), ("Left", "b/V_b/V", "z", 5.0)]
 
 
 def test_conll_wholetext_fallback(spark, tmp_path):
