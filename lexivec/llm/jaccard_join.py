@@ -43,6 +43,8 @@ SPACE_BITS = 63
 ROUNDS = 2
 #: 64-bit words of parity bits of a set; rows of a list that meet in one task.
 PARITY_WORDS, LIST_ROWS = 8, 1024
+#: Profiles that a task holds before it sends them on.
+PROFILE_ROWS = 512
 
 
 def prefix_length(n, num: int, den: int):
@@ -90,15 +92,17 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
     def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # classes whose tokens this task has sent
         for b in batches:
-            out = []
-            for row, text in zip(b["row"].tolist(), b["text"].tolist()):
-                n, cls, rare, index, parity, orders = profile(text, k, num, den)
-                first = cls is not None and cls not in seen
-                if first:
-                    seen.add(cls)
-                out.append((row, n, cls, rare, index if first else None, parity if first else None, *(orders if first else (None,) * len(ORDERS))))
-            p = pd.DataFrame(out, columns=["row", "n", "cls", "rare", "index", "parity", *(f"o{i}" for i in range(len(ORDERS)))])
-            yield p.assign(cls=pd.array([r[2] for r in out], "Int64"))
+            for at in range(0, len(b), PROFILE_ROWS):
+                out = []
+                for row, text in zip(b["row"].tolist()[at: at + PROFILE_ROWS], b["text"].tolist()[at: at + PROFILE_ROWS]):
+                    n, cls, rare, index, parity, orders = profile(text, k, num, den)
+                    first = cls is not None and cls not in seen
+                    if first:
+                        seen.add(cls)
+                    out.append((row, n, cls, rare, index if first else None, parity if first else None,
+                                *(orders if first else (None,) * len(ORDERS))))
+                p = pd.DataFrame(out, columns=["row", "n", "cls", "rare", "index", "parity", *(f"o{i}" for i in range(len(ORDERS)))])
+                yield p.assign(cls=pd.array([r[2] for r in out], "Int64"))
 
     orders = ", ".join(f"o{i} array<int>" for i in range(len(ORDERS)))
     rows = staged(source.select("row", "text").mapInPandas(
