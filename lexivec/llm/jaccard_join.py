@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,23 +89,24 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
     prepare(spark)
     source = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
 
-    def profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes whose tokens this task has sent
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("rare", pa.int64()),
+                            ("index", longs), ("parity", longs), *((f"o{i}", ints) for i in range(len(ORDERS)))])
         for b in batches:
-            for at in range(0, len(b), PROFILE_ROWS):
-                out = []
-                for row, text in zip(b["row"].tolist()[at: at + PROFILE_ROWS], b["text"].tolist()[at: at + PROFILE_ROWS]):
+            for at in range(0, b.num_rows, PROFILE_ROWS):  # few texts and sets at once, whatever a batch holds
+                part, out = b.slice(at, PROFILE_ROWS), []
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     n, cls, rare, index, parity, orders = profile(text, k, num, den)
                     first = cls is not None and cls not in seen
                     if first:
                         seen.add(cls)
-                    out.append((row, n, cls, rare, index if first else None, parity if first else None,
-                                *(orders if first else (None,) * len(ORDERS))))
-                p = pd.DataFrame(out, columns=["row", "n", "cls", "rare", "index", "parity", *(f"o{i}" for i in range(len(ORDERS)))])
-                yield p.assign(cls=pd.array([r[2] for r in out], "Int64"))
+                    out.append((row, n, cls, rare, *((index, parity, *orders) if first else (None,) * (2 + len(ORDERS)))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     orders = ", ".join(f"o{i} array<int>" for i in range(len(ORDERS)))
-    rows = staged(source.select("row", "text").mapInPandas(
+    rows = staged(source.select("row", "text").mapInArrow(
         profiles, f"row long, n long, cls long, rare long, index array<long>, parity array<long>, {orders}"), "join-profiles")
 
     sent = rows.where("index is not null")
@@ -132,14 +133,15 @@ def linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", tex
     facts = staged(sent.select("cls", F.struct("row", "parity", *(f"o{i}" for i in range(len(ORDERS)))).alias("f")).join(busy, "cls", "left_semi")
                    .groupBy("cls").agg(F.first("f").alias("f")), "join-facts")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for at in range(0, len(x), 256):
-                part = x.iloc[at: at + 256]
-                yield pd.DataFrame({"cls": part["cls"], "s": [signed(shingles(t, k)) for t in part["text"]]})
+            for at in range(0, x.num_rows, 256):
+                part = x.slice(at, 256)
+                found = [signed(shingles(t, k)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cls", "s"])
 
     held = staged(source.select("row", "text").join(facts.select("cls", F.col("f.row").alias("row")), "row")
-                  .select("cls", "text").mapInPandas(sets, "cls long, s array<long>"), "join-sets")
+                  .select("cls", "text").mapInArrow(sets, "cls long, s array<long>"), "join-sets")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs ``a, b`` of classes those that are linked."""
