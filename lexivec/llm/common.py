@@ -30,11 +30,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Row groups of tables that hold whole texts, in bytes: what a writing task buffers.
+TEXT_ROW_GROUP = 16 << 20
+
+
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is
     cut, and a lost executor costs no recomputation of what went before."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

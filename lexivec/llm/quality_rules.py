@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import SPACE, prepare, staged
+from lexivec.llm.common import SPACE, TEXT_ROW_GROUP, prepare, staged
 
 #: Shrunk failure rate from which a host is distrusted.
 HOST_RATE = 0.5
@@ -107,7 +107,8 @@ def judge(docs: DataFrame, columns: list[str] | None = None, text_col: str = "te
     rows."""
     prepare(docs.sparkSession)
     columns = docs.columns if columns is None else columns
-    features = staged(with_features(docs, text_col, host_col).select(*columns, VERDICT), "quality-features")
+    features = staged(with_features(docs, text_col, host_col).select(*columns, VERDICT), "quality-features",
+                      TEXT_ROW_GROUP if text_col in columns else None)
     hosts = host_verdicts(features).select(F.col("host").alias("_quality_host"), "rate", "distrusted")
     v = F.col(VERDICT)
     joined = features.join(hosts, v["host"].eqNullSafe(F.col("_quality_host")), "left") \
