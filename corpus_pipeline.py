@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm import jaccard_join, mixing, packing, pii, quality_rules
-from lexivec.llm.common import prepare, staged, table
+from lexivec.llm.common import TEXT_ROW_GROUP, prepare, staged, table
 from lexivec.llm.tokens import vocabulary
 
 #: Row number within a stage: the scan of a written table numbers its rows alike each time.
@@ -60,12 +60,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data),
           ("mixing", mixture), ("packing", packed)]
 
-#: Masking, the knapsack and packing can't be written as SQL; tests hold run() against a brute-force version.
+#: Masking, the knapsack and packing can't be written as SQL; tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), TEXT_ROW_GROUP)
     return STAGES[-1][1](spark, docs, sf_dir)
