@@ -36,6 +36,8 @@ WINDOW = 2048
 SHARD_ROWS, HASHES = 512, 4
 #: Documents, characters and ids that a task holds at once while it cuts.
 STEP_DOCS, STEP_CHARS, STEP_IDS = 2048, 3_000_000, 1_000_000
+#: Units in each generation of its encoder's memo.
+MEMO_UNITS = 60_000
 #: Kinds of staged rows: full window, tail, and the document counts of a task's ids.
 FULL, TAIL, SEEN = 0, 1, 2
 K1, B = 1.2, 0.75
@@ -50,7 +52,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataF
     number of tails that hold each id (``ids``: pairs of id and number)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokens.encoder(tokenizer_path)
+        enc = tokens.encoder(tokenizer_path, MEMO_UNITS)
         seen = np.zeros(0, np.int64)
         for b in batches:
             out, held = [], 0

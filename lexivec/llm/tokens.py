@@ -48,9 +48,11 @@ _LETTERS = _byte_letters()
 class UnitEncoder:
     """``encode(texts)`` gives for each text its ids as a uint32 array."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_units: int = MEMO_UNITS):
         from tokenizers import Tokenizer
 
+        self.memo_units = memo_units
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -180,9 +182,9 @@ class UnitEncoder:
         return ids
 
     def _bound(self) -> None:
-        if len(self.memo) > MEMO_UNITS:
+        if len(self.memo) > self.memo_units:
             self.old, self.memo = self.memo, {}
-        if len(self.parts) > MEMO_UNITS:
+        if len(self.parts) > self.memo_units:
             self.old_parts, self.parts = self.parts, {}
 
     def _step(self, texts: list, todo: list[int], out: list) -> None:
@@ -226,14 +228,14 @@ class UnitEncoder:
             out[i] = ids[cuts[k]: cuts[k + 1]]
         self._bound()
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, memo_units: int = MEMO_UNITS) -> UnitEncoder:
     """The worker's encoder of a vocabulary file, loaded once a process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    if (path, memo_units) not in _ENCODERS:
+        _ENCODERS[path, memo_units] = UnitEncoder(path, memo_units)
+    return _ENCODERS[path, memo_units]
 
 
 def vocabulary(name: str) -> str:
