@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -20,10 +21,11 @@ SLOW = {"glove_vectors", "baroni_fit_compose", "guevara_fit_compose", "multistep
 
 
 def norm(v):
-    if v is None:
+    # pandas holds a null of a number column as None, NaN or NA
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return ("~null",)
     if isinstance(v, float):
-        return ("~nan",) if math.isnan(v) else round(v, 5)
+        return round(v, 5)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
