@@ -8,6 +8,7 @@ insensitive to summation order.
 
 from __future__ import annotations
 
+import uuid
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,11 @@ from lexivec.operators import regression as RG
 from lexivec.operators import selection as SEL
 from lexivec.operators import tensors as TS
 from lexivec.operators.indexing import materialize
+from lexivec.session import ensure_checkpoint_dir
 from lexivec.sinks.stages import shared_stage
+from lexivec.sinks.writers import write_sparse_tsv
 from lexivec.sources import tables as T
+from lexivec.sources.vectors import read_glove_text, read_vectors_tsv
 
 ROUND = 6
 
@@ -153,6 +157,29 @@ def compose_pick_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("composer", "phrase").agg(F.count(F.lit(1)).alias("n_features"), _r(F.sum("weight")).alias("total"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+def sparse_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 -> A1: the PPMI space written as gzipped TSV lines and read back."""
+    weights, _ = sparse_space(spark, sf_dir)
+    path = _scratch(spark, "tsv")
+    write_sparse_tsv(weights, weights.select("entry").distinct(), path)
+    back = read_vectors_tsv(spark, path, lowercasing=False)
+    return back.weights.select("entry", "feature", _r("weight").alias("value"))
+
+
+def glove_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the lexicon as GloVe text, read back."""
+    path = _scratch(spark, "glove")
+    lex = T.lexicon(_emb(spark, sf_dir))
+    values = F.array_join(F.transform(V.as_double("vec"), lambda x: x.cast("string")), " ")
+    lex.select(F.concat_ws(" ", "entry", values).alias("value")).write.text(path)
+    return long_vectors(read_glove_text(spark, path), key="entry")
+
+
 GUEVARA_RULE = C.Composer("Guevara", "elementwise", "add", ("AN", "NN"))
 
 
@@ -507,6 +534,8 @@ QUERIES = {
     "compose_sparse_mult": compose_sparse_mult,
     **{f"compose_long_{c.name.lower()}": _long_query(c) for c in (C.ADD, C.AVG, C.MULT, C.MIN, C.MAX)},
     "compose_pick_long": compose_pick_long,
+    "sparse_tsv_round_trip": sparse_tsv_round_trip,
+    "glove_text_round_trip": glove_text_round_trip,
     "compose_all_index": compose_all_index,
     "compose_coverage": compose_coverage,
     "verb_tensors": verb_tensors,

@@ -219,6 +219,13 @@ SELECT composer, phrase, count(*) AS n_features, round(sum(weight), 6) AS total
   SELECT 'Left' AS composer, phrase, weight FROM ok JOIN w ON w.entry = t1 UNION ALL
   SELECT 'Right' AS composer, phrase, weight FROM ok JOIN w ON w.entry = t2) GROUP BY ALL"""
 
+SQL["sparse_tsv_round_trip"] = "WITH " + FILT + f"""
+SELECT entry, feature, round(weight, 6) AS value FROM ppmi WHERE weight > 0 AND {ftype('entry')} = '1-GRAM'"""
+
+SQL["glove_text_round_trip"] = "WITH " + LEX + """,
+cells AS (SELECT entry, unnest(vec) AS v, unnest(range(len(vec))) AS dim FROM lex)
+SELECT entry, CAST(dim AS BIGINT) AS dim, round(v, 6) AS value FROM cells"""
+
 # ---- tensors ------------------------------------------------------------------------
 
 TENSOR = "WITH " + LEX + """,
