@@ -401,6 +401,49 @@ def test_embedding_graph_rare_links(spark, monkeypatch):
     assert all(got[i].component_id == got[1500 + i].component_id == i for i in range(6))
 
 
+PROSE = "the cat and the dog were at the house of a man and it was good"
+
+
+@pytest.mark.parametrize("page, text", [
+    # a page wrapped in a form, and one in a container with a name of boilerplate
+    (f"<body><form><h1>T</h1><p>{PROSE}</p><label>Name</label><input></form></body>", "T\n" + PROSE),
+    (f"<body><div class='container related'><p>{PROSE}</p><div class='sidebar'>{PROSE} twice</div></div></body>", PROSE),
+    # a teaser in an article beside the main text
+    (f"<body><article>Read on</article><div><p>{PROSE}</p></div></body>", "Read on\n" + PROSE),
+    # no stop words, links only, reader comments, a form without text
+    ("<body><p>" + " ".join(f"zorg{i}" for i in range(36)) + "</p></body>", ""),
+    (f"<body><p><a href='/'>{PROSE}</a></p><p>{PROSE}</p></body>", PROSE),
+    (f"<body><article><p>{PROSE}</p></article><div class='comments'><article><p>{PROSE}</p></article></div></body>", PROSE),
+    (f"<body><p>{PROSE}</p><form><p>Write to us</p></form></body>", PROSE),
+    # a heading between a good and a bad block takes the class of the next, another short block that of the previous
+    (f"<body><p><a href='/'>{PROSE}</a></p><h2>Head</h2><p>{PROSE}</p><h2>Links</h2><p><a href='/'>{PROSE}</a></p></body>",
+     "Head\n" + PROSE),
+    ("", ""), ("<body><p>short</p></body>", "short"),
+])
+def test_html_cases(page, text):
+    assert html_blocks.main_text(page) == text
+
+
+def test_html_second_pass_by_brute_force():
+    """Nearest decided neighbours of every undecided block, looked for one by one; and a long page."""
+    r = np.random.default_rng(5)
+    for n in (1, 2, 5, 30, 30, 30, 3000):
+        found = [html_blocks.Block("x", 0.0, html_blocks.Place(article=bool(a)), bool(h))
+                 for a, h in zip(r.integers(0, 2, n), r.integers(0, 2, n))]
+        classes = [int(c) for c in r.choice([-1, 0, 0, 0, 1], n)]
+        expected = []
+        lone = 1 not in classes and not any(b.place.article for b in found)
+        for i, c in enumerate(classes):
+            if not c:
+                near = sorted((abs(i - j), -j if found[i].heading else j, classes[j]) for j in range(n)
+                              if classes[j] and found[j].place.article == found[i].place.article)
+                c = near[0][2] if near else (1 if found[i].place.article or lone else -1)
+            expected.append(c > 0)
+        assert html_blocks.second_pass(found, classes) == expected
+    page = "<body><main>" + f"<p>{PROSE}</p><h2>Part</h2>" * 20_000 + "</main></body>"
+    assert html_blocks.main_text(page) == "\n".join([PROSE, "Part"] * 20_000)
+
+
 def test_html_blocks(spark):
     page = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Site</header>"
             "<nav><ul><li><a href='/a'>Home</a></li></ul></nav><!-- x --><div class=\"ad\">Buy now</div><article><h1>Big &amp; title</h1>"
