@@ -1,22 +1,24 @@
 """Toxicity from nearest labelled examples by exact TF-IDF cosine (operator 3).
 
 *Examples* are a bounded sample of labelled documents (``EXAMPLES`` of each label, by
-hash order).  Terms are words and word beginnings; those that stand out in toxic
-examples (one-sided log-likelihood ratio) span the vector space.  A document is
-scored by its nearest examples under the cosine of TF-IDF vectors, found exactly
-with a block-max inverted index: postings are grouped in blocks of examples, each
-term keeps its largest weight per block, blocks are opened in the order of their
-upper bound, and the search ends when no closed block can reach the k-th best.
+hash order), both labels in one index.  Terms are all words of the examples and word beginnings.
+A term weighs TF x IDF x the root of its log-likelihood ratio between the labels,
+one-sided: a term not more frequent in toxic examples weighs nothing, all others count, however
+rare.  A document is scored by its nearest examples under the cosine of these
+vectors, found exactly with a block-max inverted index: postings are grouped in
+blocks of examples, each term keeps its largest weight per block, blocks are opened in the
+order of their upper bound, a few at a time, and the search ends when no closed block can reach the
+k-th best.
 
 Votes are weighted by similarity and by how many labelled documents an example stands
 for.  They become a score by an isotonic fit on the examples themselves, each voted on
-without itself or its copies.  A document without any such term gets the rate of toxic labels
-among examples without one.
+without itself or its copies.  A document without any weighing term gets the rate of toxic
+labels among examples without one.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,19 +32,21 @@ from lexivec.llm.common import prepare, staged
 
 #: Labelled documents of each label that are fitted on, at most.
 EXAMPLES = 4096
-#: Terms of the space, at most (the most telling ones), and their least ratio.
-TERMS, LEAST_RATIO = 8192, 20.0
 #: Nearest examples that vote; examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that a search opens first; each further step opens twice as many.
+FIRST_BLOCKS = 4
 #: Characters of a word's beginning that is a term of its own.
 STEM = 5
 THRESHOLD = 0.3
+#: Scores of texts that a task remembers, for copies.
+MEMO = 4096
 
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"\w+")
 
 
 def terms(text: str | None) -> Counter:
-    """Words (lower case, letters only, three or more) and beginnings of longer words."""
+    """Words (lower case) and beginnings of longer words."""
     words = Counter(_WORD.findall((text or "").lower()))
     out = Counter(words)
     for w, n in words.items():
@@ -51,65 +55,87 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def ratio(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
-    """Log-likelihood ratio of a term's document counts if it is relatively more
+def ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log-likelihood ratios of terms' document counts where they are relatively more
     frequent in toxic examples, else 0."""
-    if pos * n_neg <= neg * n_pos:
-        return 0.0
-    total, share = pos + neg, (pos + neg) / (n_pos + n_neg)
-    if not total or share >= 1:
-        return 0.0
+    pos, neg = np.asarray(pos, float), np.asarray(neg, float)
 
-    def ll(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
+    def ll(k, n, p):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(p), 0.0) + np.where(n > k, (n - k) * np.log1p(-p), 0.0)
 
-    return 2 * (ll(pos, n_pos, pos / n_pos) + (ll(neg, n_neg, neg / n_neg) if n_neg else 0.0)
-                - ll(pos, n_pos, share) - ll(neg, n_neg, share))
+    share = (pos + neg) / max(1, n_pos + n_neg)
+    out = 2 * (ll(pos, n_pos, pos / max(1, n_pos)) + ll(neg, n_neg, neg / max(1, n_neg)) - ll(pos, n_pos, share) - ll(neg, n_neg, share))
+    return np.where(pos * n_neg > neg * n_pos, np.maximum(out, 0.0), 0.0)
+
+
+Vector = tuple[np.ndarray, np.ndarray]  # ascending term numbers, weights
 
 
 class Index:
-    """A block-max inverted index over unit TF-IDF vectors of examples."""
-
-    def __init__(self, vectors: list[dict[int, float]], ids: list, labels: np.ndarray, weights: np.ndarray, n_terms: int):
-        keep = [i for i, v in enumerate(vectors) if v]
-        self.vectors = [vectors[i] for i in keep]
-        self.ids = [ids[i] for i in keep]
-        self.labels, self.weights = labels[keep].astype(float), weights[keep]
-        self.blocks = -(-len(keep) // BLOCK)
-        self.dense = np.zeros((len(keep), 0))
-        self.most = np.zeros((n_terms, max(1, self.blocks)), np.float32)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(n_terms)]
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(self.vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        for t, posting in enumerate(lists):
-            if posting:
-                at, w = np.array([p[0] for p in posting]), np.array([p[1] for p in posting])
-                np.maximum.at(self.most[t], at // BLOCK, (w * (1 + 1e-6)).astype(np.float32))
-                cuts = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-                for b in np.unique(at // BLOCK).tolist():
-                    self.postings[t][b] = (at[cuts[b]: cuts[b + 1]] - b * BLOCK, w[cuts[b]: cuts[b + 1]])
-
-    def nearest(self, query: dict[int, float], k: int, skip: frozenset = frozenset()) -> list[tuple[float, int]]:
+    """A block-max inverted index over unit vectors of examples.
+
+    Examples are numbered by their heaviest term, so a block holds examples alike.
+    Postings lie by term, block and example; each term's list within a block has its largest weight in ``most``."""
+
+    def __init__(self, vectors: list[Vector], ids: list, labels: np.ndarray, weights: np.ndarray, digests: list | None = None):
+        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
+        self.ids = [ids[i] for i in order]
+        self.labels, self.weights = np.asarray(labels, float)[order], np.asarray(weights, float)[order]
+        self.copies: dict = {}
+        for at, i in enumerate(order):
+            self.copies.setdefault(digests[i] if digests else i, []).append(at)
+        self.blocks = -(-len(order) // BLOCK)
+        size = [len(vectors[i][0]) for i in order]
+        at = np.repeat(np.arange(len(order)), size)
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        n_terms = int(term.max()) + 1 if len(term) else 0
+        by = np.lexsort((at, term))
+        at, term, weight = at[by], term[by], weight[by]
+        block = at // BLOCK
+        head = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])]) if len(at) else np.zeros(0, np.int64)
+        self.at, self.weight = at.astype(np.int32), weight.astype(np.float64)
+        self.block, self.start = block[head].astype(np.int32), np.r_[head, len(at)].astype(np.int64)
+        self.most = np.maximum.reduceat(weight, head) * (1 + 1e-9) if len(head) else np.zeros(0)
+        self.lists = np.searchsorted(term[head], np.arange(n_terms + 1))
+
+    @staticmethod
+    def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of several runs, one after the other, and the run of each."""
+        n = end - start
+        run = np.repeat(np.arange(len(n)), n)
+        return np.arange(len(run)) + np.repeat(start - (np.cumsum(n) - n), n), run
+
+    def nearest(self, query: Vector, k: int, skip: frozenset = frozenset()) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties by position: (cosine, position)."""
-        if not query or not self.vectors:
+        ts, ws = query
+        known = ts < len(self.lists) - 1
+        ts, ws = ts[known], ws[known]
+        if not len(ts) or not self.ids:
             return []
-        ts = list(query)
-        bound = np.array([query[t] for t in ts], np.float64) @ self.most[ts]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < -best[k - 1][0]):
-                break
-            score = np.zeros(BLOCK)
-            for t in ts:
-                if b in self.postings[t]:
-                    at, w = self.postings[t][b]
-                    score[at] += query[t] * w
-            best += [(-score[j], b * BLOCK + j) for j in np.flatnonzero(score > 0).tolist() if b * BLOCK + j not in skip]
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
+        lists, run = self._runs(self.lists[ts], self.lists[ts + 1])
+        ws, block = ws[run], self.block[lists]
+        bound = np.bincount(block, self.most[lists] * ws, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        turn = np.argsort(rank[block], kind="stable")
+        lists, ws, cuts = lists[turn], ws[turn], np.searchsorted(rank[block][turn], np.arange(self.blocks + 1))
+        best_score, best_at = np.zeros(0), np.zeros(0, np.int64)
+        done, step = 0, FIRST_BLOCKS
+        while done < self.blocks and bound[order[done]] > 0 and (len(best_at) < k or bound[order[done]] >= best_score[-1]):
+            end = min(self.blocks, done + step)
+            pos, run = self._runs(self.start[lists[cuts[done]: cuts[end]]], self.start[lists[cuts[done]: cuts[end]] + 1])
+            score = np.bincount(self.at[pos], self.weight[pos] * ws[cuts[done]: cuts[end]][run], len(self.ids))
+            near = np.flatnonzero(score >= best_score[-1] if len(best_at) >= k else score > 0)
+            if skip:
+                near = near[~np.isin(near, list(skip))]
+            best_score, best_at = np.r_[best_score, score[near]], np.r_[best_at, near]
+            top = np.lexsort((best_at, -best_score))[:k]
+            best_score, best_at = best_score[top], best_at[top]
+            done, step = end, 2 * step
+        return list(zip(best_score.tolist(), best_at.tolist()))
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         """Share of toxic labels among neighbours, by similarity and weight."""
@@ -121,32 +147,30 @@ class Index:
 
 
 class Model:
-    """Term space, index and calibration; small enough to send to every task."""
+    """Terms, index and calibration; as large as the bounded sample makes them."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, index: Index, prior: float, empty: float):
-        self.vocabulary, self.idf, self.index = vocabulary, idf, index
-        self.heads = frozenset(t[:STEM] for t in vocabulary)
-        self.prior, self.empty = prior, empty
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray):
+        self.vocabulary, self.weights = vocabulary, weights  # of terms that weigh something
+        self.index = Index([], [], np.zeros(0), np.zeros(0))
+        self.prior = self.empty = 0.0
         self.steps, self.rates = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.memo: dict[tuple, tuple[float, list]] = {}
-
-    def count(self, text: str | None) -> dict[str, int]:
-        """Counts of the vocabulary's terms in a whole text."""
-        heads, hits = self.heads, Counter()
-        for w in _WORD.findall((text or "").lower()):
-            if w[:STEM] in heads:
-                hits[w] += 1
-        out: dict[str, int] = {}
-        for w, n in hits.items():
-            for t in (w, w[:STEM] + "*" if len(w) > STEM else None):
-                if t in self.vocabulary:
-                    out[t] = out.get(t, 0) + n
-        return out
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.vocabulary[t]: (1 + math.log(n)) * self.idf[self.vocabulary[t]] for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in sorted(v.items())} if norm else {}
+        self.memo: dict[bytes, tuple[float, list]] = {}
+
+    def vector(self, text: str | None) -> Vector:
+        """Unit vector of a whole text."""
+        find = self.vocabulary.get
+        counts: dict[int, int] = {}
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            t = find(w)
+            if t is not None:
+                counts[t] = counts.get(t, 0) + n
+            if len(w) > STEM:
+                t = find(w[:STEM] + "*")
+                if t is not None:
+                    counts[t] = counts.get(t, 0) + n
+        ts = np.array(sorted(counts), np.int64)
+        v = (1 + np.log(np.array([counts[t] for t in ts.tolist()], float))) * self.weights[ts] if len(ts) else np.zeros(0)
+        return (ts, v / np.sqrt(v @ v)) if len(ts) else (ts, v)
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Isotonic regression of labels on votes (pool adjacent violators), each
@@ -163,20 +187,20 @@ class Model:
             self.steps = np.array([p[0] for p in pools])
             self.rates = np.array([(p[2] + self.prior) / (p[1] + 1) for p in pools])
 
+    def rate(self, vote: float) -> float:
+        at = max(0, int(np.searchsorted(self.steps, vote, "right")) - 1)
+        return float(min(1.0, max(0.0, self.rates[at])))
+
     def score(self, text: str | None) -> tuple[float, list]:
         """(score, evidence): evidence are (example id, cosine, label) of the voters."""
-        counts = self.count(text)
-        if not counts:
-            return self.empty, []
-        key = tuple(sorted(counts.items()))
+        key = hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
         if key not in self.memo:
-            near = self.index.nearest(self.vector(counts), NEIGHBOURS)
-            vote = self.index.vote(near, self.prior)
-            at = max(0, int(np.searchsorted(self.steps, vote, "right")) - 1)
+            query = self.vector(text)
+            near = self.index.nearest(query, NEIGHBOURS)
             found = [(self.index.ids[i], s, int(self.index.labels[i])) for s, i in near]
-            if len(self.memo) > 50_000:
+            if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[key] = (float(min(1.0, max(0.0, self.rates[at]))), found)
+            self.memo[key] = (self.rate(self.index.vote(near, self.prior)) if len(query[0]) else self.empty, found)
         return self.memo[key]
 
 
@@ -194,73 +218,82 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
     sample = part(1).unionByName(part(0))  # at most 2 * EXAMPLES ids
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id") \
-        .select(F.col("id").cast("string").alias("id"), "y", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    rows = staged(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample), "id")
+                  .select(F.col("id").cast("string").alias("id"), "y", "text"), "tox-examples")
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, y, text, digest in zip(b["id"], b["y"], b["text"], b["digest"]):
+            for y, text in zip(b["y"], b["text"]):
                 found = terms(text)
-                yield pd.DataFrame({"id": i, "y": y, "term": list(found), "n": list(found.values()), "digest": digest}) if found else \
-                    pd.DataFrame({"id": [i], "y": [y], "term": [""], "n": [0], "digest": [digest]})
+                if found:
+                    yield pd.DataFrame({"y": np.full(len(found), y, np.int32), "term": list(found)})
 
-    cells = staged(rows.mapInPandas(spell, "id string, y int, term string, n int, digest string"), "tox-terms")
-    n = {r["y"]: r["n"] for r in cells.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
+    cells = rows.mapInPandas(spell, "y int, term string")
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    stats = cells.where("term != ''").groupBy("term").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    # a term needs a share of toxic examples above its share of others; the strongest ones come to the driver
-    stats = stats.where((F.col("pos") >= 3) & (F.col("pos") * max(n_neg, 1) > F.col("neg") * max(n_pos, 1))) \
-        .orderBy(F.desc(F.col("pos") * max(n_neg, 1) - F.col("neg") * max(n_pos, 1)), "term").limit(4 * TERMS).collect()
-    scored = sorted(((-ratio(r["pos"], r["neg"], n_pos, n_neg), r["term"], r["pos"] + r["neg"]) for r in stats))[:TERMS]
-    scored = [x for x in scored if -x[0] >= LEAST_RATIO or (n_pos < 100 and -x[0] >= LEAST_RATIO / 2)]
-    vocabulary = {t: i for i, (_, t, _) in enumerate(scored)}
-    idf = np.array([math.log1p((n_pos + n_neg) / df) for _, _, df in scored])
-    chosen = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    held = cells.join(F.broadcast(chosen), "term", "left_semi").select("id", "y", "term", "n", "digest").collect() if vocabulary else []
-    counts: dict[str, dict[str, int]] = {}
-    label_of: dict[str, int] = {}
-    digest_of: dict[str, str] = {}
-    for r in held:
-        counts.setdefault(r["id"], {})[r["term"]] = r["n"]
-        label_of[r["id"]], digest_of[r["id"]] = r["y"], r["digest"]
-    ids = sorted(counts)
+    stats = cells.groupBy("term").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")) \
+        .where(F.col("pos") * n_neg > F.col("neg") * n_pos).toArrow()  # terms of at most 2 * EXAMPLES texts
+    pos, neg = stats["pos"].to_numpy(), stats["neg"].to_numpy()
+    weights = np.sqrt(ratio(pos, neg, n_pos, n_neg)) * np.log1p((n_pos + n_neg) / np.maximum(1, pos + neg))
+    order = sorted((t, i) for i, t in enumerate(stats["term"].to_pylist()) if weights[i] > 0)
+    model = Model({t: k for k, (t, _) in enumerate(order)}, weights[[i for _, i in order]])
+
+    shared = spark.sparkContext.broadcast(model)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [shared.value.vector(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "digest": [_digest(t) for t in b["text"]],
+                                "t": [t for t, _ in found], "w": [w for _, w in found]})
+
+    held = staged(rows.mapInPandas(place, "id string, y int, digest string, t array<long>, w array<double>"), "tox-vectors").toArrow()
+    held = sorted(zip(held["id"].to_pylist(), held["y"].to_pylist(), held["digest"].to_pylist(),
+                      ((t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(held["t"], held["w"]))), key=lambda x: x[:3])
+    y = np.array([h[1] for h in held], float)
     # each example stands for so many labelled documents
-    stands = {y: totals.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)}
-    y = np.array([label_of[i] for i in ids], float)
-    w = np.array([stands[label_of[i]] for i in ids])
-    all_w = sum(stands[v] * n.get(v, 0) for v in (0, 1))
-    prior = stands[1] * n_pos / all_w if all_w else 0.0
-    without = {v: stands[v] * (n.get(v, 0) - int((y == v).sum())) for v in (0, 1)}
-    empty = without[1] / (without[0] + without[1]) if without[0] + without[1] else prior
-    model = Model(vocabulary, idf, Index([], [], np.zeros(0), np.zeros(0), len(vocabulary)), prior, empty)
-    vectors = [model.vector(counts[i]) for i in ids]
-    model.index = Index(vectors, ids, y, w, len(vocabulary))
-    step = max(1, len(ids) // 2048)
-    picked = range(0, len(ids), step)
-    votes = left_out(model.index, vectors, [digest_of[i] for i in ids], picked, prior)
-    model.calibrate(np.array(votes), y[list(picked)], w[list(picked)])
+    stands = {v: totals.get(v, 0) / max(1, n.get(v, 0)) for v in (0, 1)}
+    w = np.array([stands[h[1]] for h in held])
+    model.prior = float(w @ y / w.sum()) if len(w) else 0.0
+    without = np.array([not len(h[3][0]) for h in held], bool)
+    model.empty = float(w[without] @ y[without] / w[without].sum()) if without.any() else model.prior
+    model.index = Index([h[3] for h in held], [h[0] for h in held], y, w, [h[2] for h in held])
+    votes = left_out(rows, model).toArrow()
+    of = np.array([stands[v] for v in votes["y"].to_pylist()])
+    model.calibrate(votes["vote"].to_numpy(), votes["y"].to_numpy().astype(float), of)
     return model
 
 
-def left_out(index: Index, vectors: list[dict[int, float]], digests: list[str], picked: range, prior: float) -> list[float]:
-    """Vote on each picked example without itself or its copies (equal texts).  Copies
-    have one vote, found once."""
-    copies: dict[str, list[int]] = {}
-    for i, d in enumerate(digests):
-        copies.setdefault(d, []).append(i)
-    memo: dict[str, float] = {}
-    for i in picked:
-        if digests[i] not in memo:
-            memo[digests[i]] = index.vote(index.nearest(vectors[i], NEIGHBOURS, frozenset(copies[digests[i]])), prior)
-    return [memo[digests[i]] for i in picked]
+def _digest(text: str | None) -> str:
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def left_out(rows: DataFrame, model: Model) -> DataFrame:
+    """``y, vote``: vote on each example that has terms, without itself or its copies (equal texts)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, memo = shared.value.index, {}
+        for b in batches:
+            out = []
+            for y, text in zip(b["y"], b["text"]):
+                digest = _digest(text)
+                if digest not in memo:
+                    query = shared.value.vector(text)
+                    memo[digest] = index.vote(index.nearest(query, NEIGHBOURS, frozenset(index.copies[digest])), shared.value.prior) \
+                        if len(query[0]) else None
+                if memo[digest] is not None:
+                    out.append((y, memo[digest]))
+            yield pd.DataFrame({"y": np.array([y for y, _ in out], np.int32), "vote": np.array([v for _, v in out], float)})
+
+    return rows.mapInPandas(run, "y int, vote double").orderBy("vote", "y")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text", evidence: bool = True) -> DataFrame:
     """``key, score, predicted`` and ``evidence`` (examples with cosine and label) of
     every row.  Null or empty text has no terms and gets the score of a document
-    without any.  Repeated rows and null keys are kept; other columns are ignored; an
+    without any; very long texts count whole; neighbours that tie go by position in the index.  Repeated rows and null keys are kept; other columns are ignored; an
     empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS and EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

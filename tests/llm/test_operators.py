@@ -172,34 +172,93 @@ def test_toxicity(spark, docs):
     assert len(none) == len(rows())
 
 
-def test_calibration_leaves_copies_out(spark, monkeypatch):
-    """Labelled copies must not vote on each other in the calibration."""
-    seen, real = [], toxicity.Index.nearest
+def toxic_table(spark):
+    texts = [(i, f"{WORDS[i % 3]} vileword{'' if i % 3 else ' nastystem'}" if i % 2 else f"plain {WORDS[3 + i % 5]}") for i in range(400)]
+    labels = [(i, i % 2) for i in range(400)]
+    return texts, spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
-    def nearest(self, query, k, skip=frozenset()):
-        found = real(self, query, k, skip)
-        seen.append(max((s for s, _ in found), default=0.0))
-        return found
 
-    monkeypatch.setattr(toxicity.Index, "nearest", nearest)
-    texts = [(i, f"{WORDS[i % 3]} vileword{'' if i % 3 else ' nastystem'}" if i % 2 else f"plain {WORDS[3 + i % 5]}") for i in range(400)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
-    assert seen and max(seen) < 1 - 1e-9
+def test_calibration_leaves_copies_out(spark):
+    """Labelled copies must not vote on each other in the calibration."""
+    texts, docs, labels = toxic_table(spark)
+    index = toxicity.fit(docs, labels).index
+    of = dict((str(i), t) for i, t in texts)
+    groups = [{of[index.ids[i]] for i in c} for c in index.copies.values()]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == len(groups)
+    assert sum(map(len, index.copies.values())) == len(index.ids)
+
+
+def test_scores_by_brute_force(spark):
+    """The whole score, term weights to calibration, written out plainly."""
+    r = np.random.default_rng(8)
+    texts = [(i, " ".join([prose(7000 + i // 2, 25), *(["vileword", "nasty" + "abc"[i % 3], "u2"][: 1 + i % 3] if i % 5 == 0 else [])])) for i in range(240)]
+    texts += [(500, None), (501, ""), (502, "plain long " * 40_000), (503, "unseenword")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, score string")
+    label = {i: int(i % 5 == 0) for i, _ in texts if r.random() < 0.8}
+    labels = spark.createDataFrame([*label.items(), (None, 1), (9999, 1), (3, None)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+
+    bags = {i: toxicity.terms(t) for i, t in texts}
+    known = sorted(i for i in label if zlib.crc32(str(i).encode()) % 4 != 2)
+    n_pos, n_neg = sum(label[i] for i in known), sum(1 - label[i] for i in known)
+    weight = {}
+    for t in set().union(*(bags[i] for i in known)):
+        pos, neg = sum(t in bags[i] for i in known if label[i]), sum(t in bags[i] for i in known if not label[i])
+        if pos * n_neg > neg * n_pos:
+            ll = lambda k, n, p: (k * np.log(p) if k else 0) + ((n - k) * np.log(1 - p) if n > k else 0)
+            share = (pos + neg) / (n_pos + n_neg)
+            both = ll(pos, n_pos, pos / n_pos) + ll(neg, n_neg, neg / n_neg) - ll(pos, n_pos, share) - ll(neg, n_neg, share)
+            weight[t] = max(0, 2 * both) ** 0.5 * np.log(1 + (n_pos + n_neg) / (pos + neg))
+
+    def vector(bag):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in bag.items() if weight.get(t, 0) > 0}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    learnt = [y for i, y in [*label.items(), (9999, 1)] if zlib.crc32(str(i).encode()) % 4 != 2]
+    total = {v: learnt.count(v) for v in (0, 1)}
+    stands = {1: total[1] / n_pos, 0: total[0] / n_neg}
+    prior = stands[1] * n_pos / (stands[1] * n_pos + stands[0] * n_neg)
+
+    def near(v, skip=()):
+        found = [(round(sum(x * vectors[j].get(t, 0.0) for t, x in v.items()), 12), j) for j in known if j not in skip and vectors[j]]
+        return sorted((f for f in found if f[0] > 0), reverse=True)
+
+    for i, _ in texts:
+        v = vectors[i]
+        want = [c for c, _ in near(v)[:15]]
+        assert np.allclose([e.cosine for e in got[i].evidence], want), i
+        cosine = dict((j, c) for c, j in near(v))
+        assert all(abs(cosine[int(e.id)] - e.cosine) < 1e-9 and label[int(e.id)] == e.label for e in got[i].evidence)
+    # votes rise with scores: isotonic
+    vote = {}
+    for i, _ in texts:
+        e = got[i].evidence
+        s2 = [x.cosine ** 2 * stands[x.label] for x in e]
+        vote[i] = (sum(s for s, x in zip(s2, e) if x.label) + 0.05 * prior) / (sum(s2) + 0.05) if e else None
+    scored = sorted((vote[i], got[i].score) for i, _ in texts if vote[i] is not None)
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(scored, scored[1:]) if b[0] - a[0] > 1e-9)
+    assert got[500].score == got[501].score == got[503].score
 
 
 def test_block_max_search_is_exact():
     r = np.random.default_rng(5)
     vectors = []
-    for _ in range(500):
+    for _ in range(1500):
         v = {int(t): float(w) for t, w in zip(r.integers(0, 40, 4), r.random(4) + 0.1)}
         norm = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({t: x / norm for t, x in v.items()})
-    index = toxicity.Index(vectors, list(range(500)), np.zeros(500), np.ones(500), 40)
-    for q in vectors[:60]:
-        every = sorted((-sum(w * v.get(t, 0.0) for t, w in q.items()), i) for i, v in enumerate(vectors))
-        want = [-s for s, _ in every[:15] if s < 0]
-        assert np.allclose([s for s, _ in index.nearest(q, 15)], want)
+        vectors.append((np.array(sorted(v)), np.array([v[t] / norm for t in sorted(v)])))
+    vectors.append((np.zeros(0, np.int64), np.zeros(0)))
+    index = toxicity.Index(vectors, list(range(1501)), np.zeros(1501), np.ones(1501))
+    dot = lambda a, b: float(sum(w * b[1][b[0] == t].sum() for t, w in zip(*a)))
+    for n, q in enumerate(vectors[:60]):
+        skip = frozenset(range(0, 1500, 7)) if n % 2 else frozenset()
+        every = sorted(-dot(q, vectors[index.ids[i]]) for i in range(len(index.ids)) if i not in skip)
+        got = index.nearest(q, 15, skip)
+        assert np.allclose([s for s, _ in got], [-s for s in every[:15] if s < 0])
+        assert all(abs(dot(q, vectors[index.ids[i]]) - s) < 1e-9 and i not in skip for s, i in got)
+    assert index.nearest(vectors[-1], 15) == []
 
 
 def test_quality_rules(spark, docs, empty, tmp_path):
