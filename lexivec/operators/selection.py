@@ -92,7 +92,7 @@ def presence_mask(features: DataFrame, vector_entries: DataFrame | None,
 
 def select_features(docfeat: DataFrame, labels: DataFrame, k="all", must_be_in_thesaurus: bool = False,
                     vector_entries: DataFrame | None = None, min_log_odds: float = 0.0,
-                    mode: str = "keep_best", score_func=None) -> DataFrame:
+                    mode: str = "keep_best", score_func=None, clusters: DataFrame | None = None) -> DataFrame:
     """Score (``score_func(docfeat, labels) -> (feature, score)``, chi²
     when None; all 1 when every feature is kept), AND of the three independent
     masks, survivors re-indexed by sorted feature: ``(feature, col_id, score)``."""
@@ -107,7 +107,7 @@ def select_features(docfeat: DataFrame, labels: DataFrame, k="all", must_be_in_t
         best = k_best(scores, k, mode)
     keep = best
     if must_be_in_thesaurus:
-        keep = keep.join(presence_mask(feats, vector_entries), "feature", "left_semi")
+        keep = keep.join(presence_mask(feats, vector_entries, clusters), "feature", "left_semi")
     if min_log_odds > 0:
         keep = keep.join(log_odds_mask(docfeat, labels, min_log_odds), "feature", "left_semi")
     out = global_index(scores.join(keep, "feature", "left_semi"), ["feature"], col="col_id")

@@ -437,3 +437,69 @@ SELECT conv_id, turn,
                                                  WHEN 3 THEN 'DET' ELSE 'RB' END), ' ') AS sentence,
        CAST(len(list_filter(toks, lambda t: length(t) % 7 = 0)) AS BIGINT) AS n_malformed
 FROM c"""
+
+# ---- stores and lists read back, the composed matrix ------------------------------------------
+
+LEX_CELLS = "SELECT entry, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, round(unnest(vec), 6) AS value FROM lex"
+SQL["dense_store_round_trip"] = SQL["model_round_trip"] = "WITH " + LEX + "\n" + LEX_CELLS
+SQL["line_aligned_round_trip"] = "WITH " + LEX + f"""
+SELECT entry AS phrase, dim, value FROM ({LEX_CELLS}) WHERE NOT entry LIKE '%/V'"""
+
+SQL["embedding_table"] = """
+SELECT vec_id AS row_id, 'w' || CAST(vec_id AS VARCHAR) AS surface, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim,
+       round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM embeddings"""
+
+SQL["compose_all_matrix"] = "WITH " + LEX + f""",
+ok AS (SELECT phrase, min(ord) AS ord FROM ptype
+       WHERE type IN {COMPOSABLE} AND phrase IN (SELECT phrase FROM allknown) GROUP BY phrase),
+ids AS (SELECT phrase, (SELECT count(*) FROM lex) + row_number() OVER (ORDER BY ord, phrase) - 1 AS row_id FROM ok),
+cells AS (SELECT p.phrase, unnest(l.vec) AS val, generate_subscripts(l.vec, 1) - 1 AS dim
+          FROM (SELECT DISTINCT * FROM ptok) p JOIN lex l ON p.token = l.entry WHERE p.phrase IN (SELECT phrase FROM ok))
+SELECT entry, CAST(vec_id AS BIGINT) AS row_id, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, round(unnest(vec), 6) AS value FROM lex
+UNION ALL
+SELECT phrase AS entry, CAST(row_id AS BIGINT) AS row_id, CAST(dim AS BIGINT) AS dim, round(sum(val), 6) AS value
+FROM cells JOIN ids USING (phrase) GROUP BY ALL"""
+
+SQL["triples_round_trip"] = "WITH " + FILT + """,
+w AS (SELECT entry, feature, weight FROM ppmi WHERE weight > 0),
+rows_ AS (SELECT entry, row_number() OVER (ORDER BY entry) - 1 AS row_id FROM (SELECT DISTINCT entry FROM w)),
+cols_ AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS col_id FROM (SELECT DISTINCT feature FROM w))
+SELECT CAST(row_id AS BIGINT) AS row_id, CAST(col_id AS BIGINT) AS col_id, entry, feature, round(weight, 6) AS value
+FROM w JOIN rows_ USING (entry) JOIN cols_ USING (feature)"""
+
+SQL["phrase_list_round_trip"] = "WITH " + LEX + """
+SELECT DISTINCT phrase FROM ptype WHERE type <> '1-GRAM'"""
+
+SQL["svo_list_round_trip"] = "WITH " + LEX + """,
+svo AS (SELECT 'w' || CAST(l_partkey % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N_v' || CAST(l_linenumber AS VARCHAR)
+               || '/V_w' || CAST(l_suppkey % (SELECT count(*) FROM embeddings) AS VARCHAR) || '/N' AS phrase FROM lineitem
+        UNION SELECT phrase FROM ptype WHERE type = 'SVO')
+SELECT string_split(phrase, '_')[1] AS subj, string_split(phrase, '_')[2] AS verb, string_split(phrase, '_')[3] AS obj, phrase FROM svo"""
+
+SQL["sentence_files_round_trip"] = "WITH " + SENT + """
+SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM sent WHERE len(toks) > 8) GROUP BY token"""
+
+SQL["instances_round_trip"] = "WITH " + SENT + """
+SELECT entry, feature, count(*) AS n FROM (SELECT toks[1] AS entry, unnest(toks[2:]) AS feature FROM sent) GROUP BY entry, feature"""
+
+SQL["tensor_round_trip"] = SQL["verb_tensors"]
+
+SQL["cluster_presence"] = "WITH " + FILT + "," + DOCFEAT + """,
+best AS (SELECT feature, score FROM chi ORDER BY score DESC, feature ASC LIMIT 2000),
+keep AS (SELECT feature, score FROM best WHERE feature IN (SELECT toks[1] FROM sent))
+SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS BIGINT) AS col_id, round(score, 6) AS score FROM keep"""
+
+SQL["run_report"] = "WITH " + SENT + ", " + LEX.lstrip() + f""",
+able AS (SELECT DISTINCT phrase, type FROM ptype WHERE type IN {COMPOSABLE} AND phrase IN (SELECT phrase FROM allknown))
+SELECT 'unigrams' AS name, count(*) AS n FROM lex
+UNION ALL SELECT 'phrases', count(DISTINCT phrase) FROM ptype
+UNION ALL SELECT 'composable', count(*) FROM able
+UNION ALL SELECT 'modifiers', count(DISTINCT string_split(phrase, '_')[1]) FROM able WHERE type IN ('AN', 'NN')
+UNION ALL SELECT 'verbs', count(DISTINCT l_linenumber) FROM lineitem
+UNION ALL SELECT 'sentences', count(*) FROM sent WHERE len(toks) > 0
+UNION ALL SELECT 'sentences kept', count(*) FROM sent WHERE len(toks) > 8
+UNION ALL SELECT 'features', count(DISTINCT feature) FROM counts
+UNION ALL SELECT 'features kept', count(DISTINCT feature) FROM (
+  SELECT feature FROM counts WHERE n >= 15
+  AND feature IN (SELECT feature FROM counts GROUP BY feature HAVING sum(n) >= 40))"""
