@@ -5,18 +5,20 @@ text.  A character-level bidirectional LSTM with CRF transitions, trained in num
 windows whose spans the patterns label (some of them rewritten into forms that the
 patterns don't know), adds spans of the same kinds.
 
-A span must hold a digit or an ``@``.  Windows are laid over every stretch of a text
-that has one within reach of a longest span, so the rest of a text cannot hold a
-span and needs no decoding.  Windows overlap by half; each is decoded by Viterbi with
-posterior marginals.  Reconciling is global for a text: a span is proposed by the
-window whose centre is nearest, proposals of low posterior or of the wrong form go,
-overlaps go to the more certain one, and base spans always stay.
+An added span has the form of its kind, so it holds a digit, an ``@`` or one of the rewritten
+forms of it.  Windows are laid over every stretch of a text within reach of such a sign, so the
+rest of a text cannot hold a span and needs no decoding.  Windows overlap by half;
+each is decoded by Viterbi with posterior marginals.  Reconciling is global for a text: each
+character takes its tag from the window whose centre is nearest, spans are cut from the tags so
+stitched, across windows; those of low posterior or of the wrong form go, overlaps go to the more
+certain one, and base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import prepare
+from lexivec.llm.common import prepare, staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window and reach of a span around its digit or "@".
-WINDOW, REACH = 64, 32
-#: Windows that the model is trained on, at most; passes; units per direction.
+#: Characters of a window and reach of a span around its sign.
+WINDOW, REACH = 64, 48
+#: Documents with signs of each kind that training windows are taken from, at most.
+DOCUMENTS = 512
+#: Windows that the model is trained on, at most (a sixth for each kind, the rest without
+#: spans); passes; units per direction.
 TRAINING, PASSES, HIDDEN, EMBED, BATCH = 1536, 14, 16, 12, 32
 #: Least mean posterior of an added span.
 CERTAIN = 0.9
@@ -91,7 +96,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _DIGIT = re.compile("[0-9]")
-_SEED = re.compile("[0-9@]")
+_SEED = re.compile(r"[0-9@]|[(\[]at[)\]]")
+
+# Signs of each kind, as SQL conditions: a text with a base span has the sign of its kind.
+_SIGNS = ("contains(t, '@')", r"t rlike '[0-9][.][0-9]+[.][0-9]+[.][0-9]'", r"t rlike '[0-9](?:[ -]?[0-9]){11}'", r"t rlike '[+][0-9][ ().0-9-]{7}'")
 
 
 # --- the model -------------------------------------------------------------
@@ -289,25 +297,69 @@ def _rewrite(s: str, spans: list[tuple[int, int, int]], r: np.random.Generator)
     return out + s[at:], new
 
 
+def examples(text: str) -> list[tuple[int, str]]:
+    """(kind, window) of every base span that fits into a window, at a place that the text's
+    own bytes decide; and as many windows without a span (kind -1)."""
+    out, spans = [], base_spans(text)
+    place = zlib.crc32(text[:4096].encode("utf-8", "surrogatepass"))
+    for n, (a, b, k) in enumerate(spans):
+        if b - a <= WINDOW:
+            shift = (place + 7919 * n) % (WINDOW - (b - a) + 1)
+            out.append((k, text[max(0, a - shift): max(0, a - shift) + WINDOW]))
+    plain = [m.start() for m in _SEED.finditer(text)]
+    for n in range(len(out) + 1):
+        at = plain[(place + 104729 * n) % len(plain)] if plain and n % 2 else (place + 1299709 * n) % max(1, len(text))
+        w = text[max(0, at - WINDOW // 2): max(0, at - WINDOW // 2) + WINDOW]
+        if w and not base_spans(w):
+            out.append((-1, w))
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model | None:
-    """Train on a bounded sample of windows around digits and "@" of the corpus,
-    labelled by the patterns; None if there are none."""
-    window = f"(?s).{{0,{REACH - 1}}}[0-9@].{{0,{REACH}}}"
-    picked = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(window), F.lit(0))).alias("w")) \
-        .groupBy(F.xxhash64("w").alias("h")).agg(F.min("w").alias("w")).orderBy("h").limit(4 * TRAINING).collect()
-    with_, without = [], []
-    for row in picked:
-        spans = base_spans(row["w"])
-        (with_ if spans else without).append((row["w"], spans))
-    with_ = with_[: 2 * TRAINING // 3]
-    chosen = with_ + without[: TRAINING - len(with_)]
-    if not with_:
+    """Train on a bounded sample of windows for each kind, labelled by the patterns; None
+    where the corpus holds no span.  The documents they come from are those of the least
+    hashes with signs of the kind."""
+    signs = [F.coalesce(F.expr(sign), F.lit(False)).alias(k) for sign, k in zip(_SIGNS, KINDS)]
+    seen = staged(docs.select(F.col(text_col).alias("t")).select(F.xxhash64("t").alias("h"), *signs).where(" or ".join(KINDS)), "pii-signs")
+    chosen = None
+    for k in KINDS:
+        part = seen.where(k).select("h").distinct().orderBy("h").limit(DOCUMENTS)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    texts = docs.select(F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t")) \
+        .join(F.broadcast(chosen.distinct()), "h", "left_semi")  # at most 4 * DOCUMENTS hashes
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["t"]:
+                found = examples(t)
+                yield pd.DataFrame({"kind": np.array([k for k, _ in found], np.int32), "w": pd.Series([w for _, w in found], dtype=object)})
+
+    cells = staged(texts.select("t").mapInPandas(cut, "kind int, w string").distinct(), "pii-windows")
+    picked: list[str] = []
+    for k in range(-1, len(KINDS)):
+        room = TRAINING // 6 if k >= 0 else TRAINING - len(KINDS) * (TRAINING // 6)
+        picked += [r["w"] for r in cells.where(F.col("kind") == k).orderBy(F.xxhash64("w"), "w").limit(room).collect()]
+    return train([(w, base_spans(w)) for w in picked])
+
+
+def train(labelled: list[tuple[str, list]]) -> Model | None:
+    """A model of labelled windows; None where none holds a span.  Windows of a kind take turns
+    until there are ``TRAINING // 6``, half of the turns with spans in rewritten forms and at
+    other places, so rare kinds are learnt too."""
+    groups: dict[int, list[tuple[str, list]]] = {}
+    for w, spans in labelled:
+        groups.setdefault(spans[0][2] if spans else -1, []).append((w, spans))
+    if not set(groups) - {-1}:
         return None
     r = np.random.default_rng(1)
-    x, y = np.zeros((len(chosen), WINDOW), np.int64), np.zeros((len(chosen), WINDOW), np.int64)
-    for i, (s, spans) in enumerate(chosen):
-        if spans and r.random() < 0.25:
+    turns = [g[n % len(g)] for k, g in sorted(groups.items())
+             for n in range(TRAINING // 6 if k >= 0 else min(len(g), TRAINING - len(KINDS) * (TRAINING // 6)))]
+    x, y = np.zeros((len(turns), WINDOW), np.int64), np.zeros((len(turns), WINDOW), np.int64)
+    for i, (s, spans) in enumerate(turns):
+        if spans and r.random() < 0.5:
             s, spans = _rewrite(s, spans, r)
+        skip = int(r.integers(0, 1 + min([len(s) - 1, 24, *(a for a, _, _ in spans)]))) if s else 0  # the span moves
+        s, spans = s[skip:], [(a - skip, b - skip, k) for a, b, k in spans if a >= skip]
         n = min(len(s), WINDOW)
         x[i, :n], y[i, :n] = codes(s)[:n], _label(s, spans)[:n]
     return Model().train(x, y)
@@ -327,8 +379,8 @@ def _well_formed(s: str, kind: int) -> bool:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of windows that together cover all that is within reach of a digit or
-    "@", each overlapping the next by half."""
+    """Starts of windows that together cover all that is within reach of a sign,
+    each overlapping the next by half."""
     out: list[int] = []
     end = -1
     for m in _SEED.finditer(text):
@@ -345,26 +397,36 @@ def windows(text: str) -> list[int]:
     return out
 
 
+def _cut(row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of the runs of a kind in a row of tags; a begin tag ends a run."""
+    kinds = (row + 1) // 2
+    edge = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (row[1:] % 2 == 1)]) if len(row) else np.zeros(0, np.int64)
+    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(row)]):
+        if kinds[i]:
+            yield i, j, int(kinds[i]) - 1
+
+
 def reconcile(text: str, base: list[tuple[int, int, int]], starts: list[int], tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int]]:
     """Base spans and the added ones of a whole text, by start, then kind."""
     proposals = []
-    for w, start in enumerate(starts):
-        row, i, n = tags[w], 0, min(WINDOW, len(text) - start)
-        while i < n:
-            if row[i] % 2 == 1:
-                j, kind = i + 1, int(row[i] // 2)
-                while j < n and row[j] == row[i] + 1:
-                    j += 1
-                cut = (i == 0 and start > 0) or (j == n and start + n < len(text))
-                p = float(sure[w, i:j].mean())
-                if not cut and p >= CERTAIN:
-                    proposals.append((abs(i + j - WINDOW), -p, start + i, start + j, kind))
-                i = j
-            else:
-                i += 1
+    first = 0
+    while first < len(starts):
+        last = first  # a run of overlapping windows
+        while last + 1 < len(starts) and starts[last + 1] < starts[last] + WINDOW:
+            last += 1
+        end = min(starts[last] + WINDOW, len(text))
+        # the half-way points between the centres of neighbouring windows
+        cuts = [starts[first], *((starts[w] + starts[w + 1] + WINDOW) // 2 for w in range(first, last)), end]
+        at = [(w, cuts[w - first] - starts[w], min(cuts[w - first + 1], end) - starts[w]) for w in range(first, last + 1)]
+        row = np.concatenate([tags[w, a:e] for w, a, e in at])
+        p = np.concatenate([sure[w, a:e] for w, a, e in at])
+        for i, j, kind in _cut(row):
+            q = float(p[i:j].mean())
+            if q >= CERTAIN:
+                proposals.append((-q, starts[first] + i, starts[first] + j, kind))
+        first = last + 1
     kept = list(base)
-    # the most central window first, then the more certain span
-    for _, _, a, b, kind in sorted(proposals):
+    for _, a, b, kind in sorted(proposals):  # the most certain first
         if all(b <= s or a >= e for s, e, _ in kept if s < b) and _well_formed(text[a:b], kind):
             kept.append((a, b, kind))
     return sorted(kept, key=lambda x: (x[0], x[2]))
