@@ -50,7 +50,7 @@ def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: the PPMI space as triples of row id, column id and weight, named again by its two indexes."""
-    weights, _ = Q.sparse_space(spark, sf_dir)
+    weights = Q.ppmi_space(spark, sf_dir)
     path = Q._scratch(spark, "triples")
     W.write_triples(weights, global_index(weights.select("entry").distinct(), ["entry"], col="row_id"),
                     global_index(weights.select("feature").distinct(), ["feature"], col="col_id"), path)
