@@ -6,9 +6,11 @@ A term weighs TF x IDF x the root of its log-likelihood ratio between the labels
 one-sided: a term not more frequent in toxic examples weighs nothing, all others count, however
 rare.  A document is scored by its nearest examples under the cosine of these
 vectors, found exactly with a block-max inverted index: postings are grouped in
-blocks of examples, each term keeps its largest weight per block, blocks are opened in the
-order of their upper bound, a few at a time, and the search ends when no closed block can reach the
-k-th best.
+blocks of examples, each term keeps its largest weight per block, runs of blocks are opened in the
+order of their upper bounds, for those texts of a batch whose k-th best they can reach.
+Lists of common terms are rows of a dense matrix, so a batch of texts meets a run by one
+product in single precision; what comes near the k-th best is summed again in double
+precision, so neighbours and cosines are those of the plain sum.
 
 Votes are weighted by similarity and by how many labelled documents an example stands
 for.  They become a score by an isotonic fit on the examples themselves, each voted on
@@ -34,8 +36,12 @@ from lexivec.llm.common import prepare, staged
 EXAMPLES = 4096
 #: Nearest examples that vote; examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks that a search opens first; each further step opens twice as many.
-FIRST_BLOCKS = 4
+#: Blocks that are opened together; texts that are searched together.
+RUN, BATCH = 16, 64
+#: Terms with dense lists, at most, and the share of examples (one in so many) that such a list holds at least.
+DENSE, DENSE_SHARE = 1024, 16
+#: Relative error allowed to sums in single precision (with DENSE terms below 1e-4).
+SLACK = 1e-3
 #: Characters of a word's beginning that is a term of its own.
 STEM = 5
 THRESHOLD = 0.3
@@ -76,7 +82,7 @@ class Index:
     """A block-max inverted index over unit vectors of examples.
 
     Examples are numbered by their heaviest term, so a block holds examples alike.
-    Postings lie by term, block and example; each term's list within a block has its largest weight in ``most``."""
+    Postings lie by term and example, and once more by example and term."""
 
     def __init__(self, vectors: list[Vector], ids: list, labels: np.ndarray, weights: np.ndarray, digests: list | None = None):
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
@@ -85,20 +91,16 @@ class Index:
         self.copies: dict = {}
         for at, i in enumerate(order):
             self.copies.setdefault(digests[i] if digests else i, []).append(at)
-        self.blocks = -(-len(order) // BLOCK)
         size = [len(vectors[i][0]) for i in order]
-        at = np.repeat(np.arange(len(order)), size)
+        at = np.repeat(np.arange(len(order), dtype=np.int32), size)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        n_terms = int(term.max()) + 1 if len(term) else 0
+        weight = np.concatenate([vectors[i][1] for i in order]).astype(np.float64) if order else np.zeros(0)
+        self.terms = int(term.max()) + 1 if len(term) else 0
+        self.first_of, self.term_of, self.weight_of = np.cumsum([0, *size]), term.astype(np.int32), weight
         by = np.lexsort((at, term))
-        at, term, weight = at[by], term[by], weight[by]
-        block = at // BLOCK
-        head = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])]) if len(at) else np.zeros(0, np.int64)
-        self.at, self.weight = at.astype(np.int32), weight.astype(np.float64)
-        self.block, self.start = block[head].astype(np.int32), np.r_[head, len(at)].astype(np.int64)
-        self.most = np.maximum.reduceat(weight, head) * (1 + 1e-9) if len(head) else np.zeros(0)
-        self.lists = np.searchsorted(term[head], np.arange(n_terms + 1))
+        self.at, self.weight = at[by], weight[by]
+        self.first = np.searchsorted(term[by], np.arange(self.terms + 1))
+        self.dense: tuple | None = None  # made by the first search of a process, never shipped
 
     @staticmethod
     def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,35 +109,76 @@ class Index:
         run = np.repeat(np.arange(len(n)), n)
         return np.arange(len(run)) + np.repeat(start - (np.cumsum(n) - n), n), run
 
+    def _dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each term with a dense list (others: -1), these lists, their largest weights by block."""
+        if self.dense is None:
+            n, df = len(self.ids), np.diff(self.first)
+            common = np.argsort(-df, kind="stable")[:DENSE]
+            common = np.sort(common[df[common] * DENSE_SHARE >= n])
+            row = np.full(self.terms, -1, np.int64)
+            row[common] = np.arange(len(common))
+            lists = np.zeros((len(common), n), np.float32)
+            for k, t in enumerate(common):
+                cut = slice(self.first[t], self.first[t + 1])
+                lists[k, self.at[cut]] = self.weight[cut]
+            self.dense = row, lists, np.maximum.reduceat(lists, np.arange(0, n, BLOCK), axis=1)
+        return self.dense
+
     def nearest(self, query: Vector, k: int, skip: frozenset = frozenset()) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties by position: (cosine, position)."""
-        ts, ws = query
-        known = ts < len(self.lists) - 1
-        ts, ws = ts[known], ws[known]
-        if not len(ts) or not self.ids:
-            return []
-        lists, run = self._runs(self.lists[ts], self.lists[ts + 1])
-        ws, block = ws[run], self.block[lists]
-        bound = np.bincount(block, self.most[lists] * ws, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        turn = np.argsort(rank[block], kind="stable")
-        lists, ws, cuts = lists[turn], ws[turn], np.searchsorted(rank[block][turn], np.arange(self.blocks + 1))
-        best_score, best_at = np.zeros(0), np.zeros(0, np.int64)
-        done, step = 0, FIRST_BLOCKS
-        while done < self.blocks and bound[order[done]] > 0 and (len(best_at) < k or bound[order[done]] >= best_score[-1]):
-            end = min(self.blocks, done + step)
-            pos, run = self._runs(self.start[lists[cuts[done]: cuts[end]]], self.start[lists[cuts[done]: cuts[end]] + 1])
-            score = np.bincount(self.at[pos], self.weight[pos] * ws[cuts[done]: cuts[end]][run], len(self.ids))
-            near = np.flatnonzero(score >= best_score[-1] if len(best_at) >= k else score > 0)
-            if skip:
-                near = near[~np.isin(near, list(skip))]
-            best_score, best_at = np.r_[best_score, score[near]], np.r_[best_at, near]
-            top = np.lexsort((best_at, -best_score))[:k]
-            best_score, best_at = best_score[top], best_at[top]
-            done, step = end, 2 * step
-        return list(zip(best_score.tolist(), best_at.tolist()))
+        return self.nearest_of([query], k, [skip])[0]
+
+    def nearest_of(self, queries: list[Vector], k: int, skips: list[frozenset] | None = None) -> list[list[tuple[float, int]]]:
+        """:meth:`nearest` of many queries."""
+        out: list[list[tuple[float, int]]] = []
+        for s in range(0, len(queries), BATCH):
+            out += self._nearest(queries[s: s + BATCH], k, skips[s: s + BATCH] if skips else [frozenset()] * BATCH)
+        return out
+
+    def _nearest(self, queries: list[Vector], k: int, skips: list[frozenset]) -> list[list[tuple[float, int]]]:
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in queries]
+        row, lists, most = self._dense()
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        ts, ws = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        known = ts < self.terms
+        of, ts, ws = of[known], ts[known], ws[known]
+        common = row[ts] >= 0
+        heavy = np.zeros((len(queries), len(lists)), np.float32)
+        heavy[of[common], row[ts[common]]] = ws[common]
+        rest = ~common
+        pos, run = self._runs(self.first[ts[rest]], self.first[ts[rest] + 1])
+        light = np.bincount(of[rest][run] * n + self.at[pos], self.weight[pos] * ws[rest][run], len(queries) * n) \
+            .reshape(len(queries), n).astype(np.float32)
+        bound = heavy @ most + np.maximum.reduceat(light, np.arange(0, n, BLOCK), axis=1)
+        bound = np.maximum.reduceat(bound, np.arange(0, bound.shape[1], RUN), axis=1) * (1 + SLACK)
+        score, best = np.zeros((len(queries), n), np.float32), np.zeros((len(queries), k), np.float32)
+        left_out = [np.array(sorted(x), np.int64) for x in skips[: len(queries)]]
+        for c in np.argsort(-bound.sum(0), kind="stable").tolist():
+            open_to = np.flatnonzero((bound[:, c] > 0) & (bound[:, c] >= best.min(1)))
+            if not len(open_to):
+                continue
+            cut = slice(c * RUN * BLOCK, (c + 1) * RUN * BLOCK)
+            found = heavy[open_to] @ lists[:, cut] + light[open_to, cut]
+            for i, q in enumerate(open_to.tolist()):
+                if len(left_out[q]):
+                    gone = left_out[q] - cut.start
+                    found[i, gone[(gone >= 0) & (gone < found.shape[1])]] = 0
+            score[open_to, cut] = found
+            both = np.hstack([best[open_to], found])
+            best[open_to] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        out, weigh = [], np.zeros(self.terms)
+        for q, limit in enumerate(best.min(1).astype(float)):
+            near = np.flatnonzero((score[q] > 0) & (score[q] >= limit * (1 - SLACK)))
+            mine = of == q
+            weigh[ts[mine]] = ws[mine]
+            pos, run = self._runs(self.first_of[near], self.first_of[near + 1])
+            exact = np.bincount(run, self.weight_of[pos] * weigh[self.term_of[pos]], len(near))
+            weigh[ts[mine]] = 0
+            top = np.lexsort((near, -exact))[:k]
+            out.append(list(zip(exact[top].tolist(), near[top].tolist())))
+        return out
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
         """Share of toxic labels among neighbours, by similarity and weight."""
@@ -154,7 +197,7 @@ class Model:
         self.index = Index([], [], np.zeros(0), np.zeros(0))
         self.prior = self.empty = 0.0
         self.steps, self.rates = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.memo: dict[bytes, tuple[float, list]] = {}
+        self.memo: dict[str, tuple[float, list]] = {}
 
     def vector(self, text: str | None) -> Vector:
         """Unit vector of a whole text."""
@@ -193,15 +236,20 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list]:
         """(score, evidence): evidence are (example id, cosine, label) of the voters."""
-        key = hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
-        if key not in self.memo:
-            query = self.vector(text)
-            near = self.index.nearest(query, NEIGHBOURS)
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """:meth:`score` of many texts; equal ones are searched once."""
+        keys = [_digest(t) for t in texts]
+        new = {x: t for x, t in zip(keys, texts) if x not in self.memo}
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = dict(zip(keys, texts))
+        queries = [self.vector(t) for t in new.values()]
+        for x, query, near in zip(new, queries, self.index.nearest_of(queries, NEIGHBOURS)):
             found = [(self.index.ids[i], s, int(self.index.labels[i])) for s, i in near]
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = (self.rate(self.index.vote(near, self.prior)) if len(query[0]) else self.empty, found)
-        return self.memo[key]
+            self.memo[x] = (self.rate(self.index.vote(near, self.prior)) if len(query[0]) else self.empty, found)
+        return [self.memo[x] for x in keys]
 
 
 def held_out(doc_id):
@@ -274,18 +322,16 @@ def left_out(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, memo = shared.value.index, {}
         for b in batches:
-            out = []
-            for y, text in zip(b["y"], b["text"]):
-                digest = _digest(text)
-                if digest not in memo:
-                    query = shared.value.vector(text)
-                    memo[digest] = index.vote(index.nearest(query, NEIGHBOURS, frozenset(index.copies[digest])), shared.value.prior) \
-                        if len(query[0]) else None
-                if memo[digest] is not None:
-                    out.append((y, memo[digest]))
+            digests = [_digest(t) for t in b["text"]]
+            new = {x: shared.value.vector(t) for x, t in zip(digests, b["text"]) if x not in memo}
+            known = {x: query for x, query in new.items() if len(query[0])}
+            near = index.nearest_of([*known.values()], NEIGHBOURS, [frozenset(index.copies[x]) for x in known])
+            memo |= dict.fromkeys(new) | {x: index.vote(found, shared.value.prior) for x, found in zip(known, near)}
+            out = [(y, memo[x]) for y, x in zip(b["y"], digests) if memo[x] is not None]
             yield pd.DataFrame({"y": np.array([y for y, _ in out], np.int32), "vote": np.array([v for _, v in out], float)})
 
-    return rows.mapInPandas(run, "y int, vote double").orderBy("vote", "y")
+    # written first: sorting by ranges would run the votes twice
+    return staged(rows.mapInPandas(run, "y int, vote double"), "tox-votes").orderBy("vote", "y")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text", evidence: bool = True) -> DataFrame:
@@ -297,7 +343,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [shared.value.score(t) for t in b["text"]]
+            texts = b["text"].tolist()
+            found = [x for s in range(0, len(texts), MEMO // 4) for x in shared.value.scores(texts[s: s + MEMO // 4])]
             out = pd.DataFrame({"key": b["key"], "score": [s for s, _ in found]})
             if evidence:
                 out["evidence"] = [[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found]

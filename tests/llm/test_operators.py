@@ -242,6 +242,33 @@ def test_scores_by_brute_force(spark):
     assert got[500].score == got[501].score == got[503].score
 
 
+def test_batched_search_gives_plain_sums():
+    """Texts searched together get the sums of the plain loop, bit by bit, with dense and short lists and ties."""
+    r = np.random.default_rng(9)
+
+    def vector(size):
+        t = np.unique(np.minimum(r.geometric(0.02, size) - 1, 900))
+        w = r.random(len(t)) + 0.01
+        return t, w / np.sqrt(w @ w)
+
+    vectors = [vector(int(r.integers(1, 60))) for _ in range(1400)]
+    vectors += vectors[:30] * 3  # copies tie
+    index = toxicity.Index(vectors, list(range(len(vectors))), np.zeros(len(vectors)), np.ones(len(vectors)))
+    queries = [*vectors[:90], (np.array([5, 2000]), np.array([0.6, 0.8])), (np.array([2000]), np.array([1.0])), (np.zeros(0, np.int64), np.zeros(0))]
+    skips = [frozenset(range(n, 1400, 9)) if n % 2 else frozenset() for n in range(len(queries))]
+    for (ts, ws), skip, got in zip(queries, skips, index.nearest_of(queries, 15, skips)):
+        weigh = dict(zip(ts.tolist(), ws.tolist()))
+        every = []
+        for at, i in enumerate(index.ids):
+            total = 0.0
+            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
+                total += w * weigh.get(t, 0.0)
+            if total > 0 and at not in skip:
+                every.append((-total, at))
+        assert got == [(-s, at) for s, at in sorted(every)[:15]]
+    assert (index.dense[0] >= 0).any() and (index.dense[0] < 0).any()
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(5)
     vectors = []
