@@ -268,6 +268,35 @@ def test_sparse_tiles_match_numpy(spark):
         assert all(np.allclose(got[f"e{i}"], a[i] @ x) for i in range(50))
 
 
+def test_sparse_tiles_follow_the_long_side(spark):
+    """Rows of the long side are shipped once where the other one is short, and products by
+    way of them leave the tiles summed."""
+    from lexivec.operators.blocks import SparseTiles
+    df, a = _sparse_matrix(spark, 400, 10, seed=3)
+    tiles = SparseTiles(df, 100)
+    assert tiles.lines["feature"] == 1 and tiles.lines["entry"] > 4
+    x = np.random.default_rng(2).normal(size=(10, 3))
+    right = spark.createDataFrame([(f"f{j:03d}", x[j].tolist()) for j in range(10)], "key string, vec array<double>")
+    got = {r.key: np.array(r.vec) for r in tiles.multiply_twice(right, 3).collect()}
+    y = a @ x
+    assert np.allclose(got.pop(None).reshape(3, 3), y.T @ y)
+    assert all(np.allclose(got[f"f{j:03d}"], (a.T @ y)[j]) for j in range(10) if a[:, j].any())
+    wide, b = _sparse_matrix(spark, 60, 60, seed=4)
+    assert SparseTiles(wide, 40).multiply_twice(right, 3) is None
+
+
+@pytest.mark.parametrize("tile_cells", [1 << 19, 60])
+def test_truncated_svd_whatever_the_tiles(spark, monkeypatch, tile_cells):
+    from lexivec.operators import blocks
+    monkeypatch.setattr(RD, "SparseTiles", lambda cells: blocks.SparseTiles(cells, tile_cells))
+    df, a = _sparse_matrix(spark, 50, 30, seed=5)
+    vecs, sigma, _ = RD.truncated_svd(df, 3, oversample=15, power_iters=6)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(sigma, s[:3], rtol=1e-6)
+    got = {r.entry: np.array(r.vec) for r in vecs.collect()}
+    assert all(np.allclose(np.abs(got[f"e{i}"]), np.abs(u[i, :3] * s[:3]), atol=5e-3) for i in range(50) if a[i].any())
+
+
 def test_glove_loss_decreases(spark):
     sent = T.sentences(T.read_corpus(spark, SF_SMALL))
     vocab = counting.vocabulary(sent, 5).select(F.col("token").alias("entry"))
