@@ -39,8 +39,8 @@ LEAST, WORDS, TOP = 100, 5, 2000
 SAMPLE, SLACK = 16, 0.8
 #: Bits of the map of proposals (a power of two, at least 64), 16 MB.
 BITS = 1 << 27
-#: Bytes of text that a task counts at once.
-STEP = 4 << 20
+#: Bytes of text that a task counts at once, and phrases whose counts it holds over several steps.
+STEP, HELD = 4 << 20, 1 << 18
 
 COUNTS = "lang string, k int, phrase string, f long"
 HASHES = "h long, f long"
@@ -146,17 +146,30 @@ def _hash_counter(bits, most: int, step: int):
     return run
 
 
-def _rows(lang: str, k: int, phrases: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int32)),
-         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "k", "phrase", "f"])
+def _rows(counts: dict[tuple[str, int], dict[bytes, int]]):
+    """The held counts as rows; ``counts`` is empty after it."""
+    while counts:
+        (lang, k), found = counts.popitem()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(found), np.int32))), pa.array(np.full(len(found), k, np.int32)),
+             pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "k", "phrase", "f"])
 
 
-def _text_counter(proposed, frequent, most: int, step: int):
+def _text_counter(proposed, frequent, most: int, step: int, most_held: int = HELD):
     """Counts by text of the phrases that the first pass (over ``proposed`` and its border)
-    found ``frequent``, and of those that it did not count."""
+    found ``frequent``, and of those that it did not count.  A task adds up the counts of its
+    steps and sends them on when it holds more than ``most_held`` phrases."""
     def run(batches):
+        counts: dict[tuple[str, int], dict[bytes, int]] = {}
+
+        def add(lang: str, k: int, phrases: list[bytes], n: list[int]) -> None:
+            found = counts.setdefault((lang, k), {})
+            for phrase, f in zip(phrases, n):
+                found[phrase] = found.get(phrase, 0) + f
+
         for held in _steps(batches, step):
+            if sum(map(len, counts.values())) > most_held:
+                yield from _rows(counts)
             for lang, texts in held.items():
                 words, state = _Words(texts), {}
 
@@ -167,10 +180,11 @@ def _text_counter(proposed, frequent, most: int, step: int):
                     counted = np.ones(len(n), bool) if k == 1 else state["proposed"][pre] & state["proposed"][suf]
                     state = {"wanted": ~counted | _in(frequent.value, hashes), "proposed": counted & _in(proposed.value, hashes)}
                     if k == 1:
-                        yield _rows(lang, 0, [b""], n.sum(keepdims=True))
+                        add(lang, 0, [b""], [int(n.sum())])
                     pick = np.flatnonzero(state["wanted"])
                     if len(pick):
-                        yield _rows(lang, k, words.phrases(first[pick], k), n[pick])
+                        add(lang, k, words.phrases(first[pick], k), n[pick].tolist())
+        yield from _rows(counts)
     return run
 
 

@@ -210,6 +210,23 @@ def test_collocations(spark, options):
     assert collocations.collocations(docs.limit(0), least=4).count() == 0
 
 
+def test_steps_of_a_task_are_added_up():
+    """A phrase leaves a task once, whatever its number of steps, unless the task holds too many."""
+    import types
+
+    import pyarrow as pa
+    everything = types.SimpleNamespace(value=np.full(1, ~np.uint64(0)))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 20), pa.array(["one two one, two"] * 40)], names=["lang", "text"])] * 3
+    for most_held, once in ((1 << 18, True), (0, False)):
+        rows = pa.Table.from_batches(collocations._text_counter(everything, everything, 3, 1, most_held)(batches)).to_pylist()
+        total = collections.Counter()
+        for r in rows:
+            total[r["lang"], r["k"], r["phrase"]] += r["f"]
+        want = {(0, ""): 4, (1, "one"): 2, (1, "two"): 2, (2, "one two"): 1, (2, "two one"): 1, (3, "one two one"): 1}
+        assert total == {(lang, *x): 60 * n for lang in ("en", "de") for x, n in want.items()}
+        assert (len(rows) == len(total)) == once
+
+
 def test_score_passes_64_bits(spark):
     """1000 * a * n beyond 64 bits is exact."""
     big = spark.createDataFrame([("en", 0, "", 3 * 10**15), ("en", 1, "a", 10**12 + 7), ("en", 1, "b", 10**11 + 3), ("en", 2, "a b", 10**10 + 1)],
