@@ -152,6 +152,18 @@ def test_jaccard_join(spark, empty, k, num, den):
     assert jaccard_join.linked(empty, k, num, den).collect() == []
 
 
+def test_hosts_meet_texts_without_a_shuffle(spark):
+    """A host table that is short, other than the texts, is broadcast by its written size."""
+    texts = spark.createDataFrame([(i, prose(9000 + i, 200), f"h{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40kb")
+    try:
+        plan = quality_rules.judge(texts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
