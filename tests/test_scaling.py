@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexivec.operators import compose as C
 from lexivec.operators import counting
+from lexivec.operators import embeddings as EM
 from lexivec.operators import tensors as TS
 from lexivec.operators.indexing import materialize
 from lexivec.sources.vectors import parse_vector_lines
@@ -91,3 +93,32 @@ def test_long_tsv_line_is_read_in_one_pass(spark):
     want = [(f"f{i}", float(i)) for i in range(n)]
     assert sorted(got["a/N"]) == sorted(want) and sorted(got["b/N"]) == sorted(want)
     assert got["c/N"] == [(None, None)] and got["d/N"] == [("x", 4.0)]
+
+
+def test_cooc_pairs_are_summed_before_they_are_sent(spark):
+    """A task sends one row for each unordered pair, whose sums are those of a plain loop."""
+    toks = [["a", "b", "a", "c"] * 50, ["b"], [], ["c", "a"], None]
+    sent = spark.createDataFrame([(t,) for t in toks], "toks array<string>").coalesce(1)
+    want: dict = {}
+    for t in toks:
+        for i in range(len(t or [])):
+            for j in range(max(0, i - 3), min(len(t), i + 4)):
+                if i != j:
+                    want[t[i], t[j]] = want.get((t[i], t[j]), 0) + 1 / abs(i - j)
+    got = EM.distance_weighted_cooc(sent, 3)
+    rows = got.collect()
+    assert len(rows) == len(want)
+    assert all(abs(r.x - want[r.entry, r.ctx]) < 1e-9 for r in rows)
+    flat = pa.array([t for t in toks if t], pa.list_(pa.string()))
+    assert EM._window_sums(flat, 3).num_rows == len({tuple(sorted(k)) for k in want})
+
+
+def test_glove_ships_vectors_to_few_blocks(spark, monkeypatch):
+    """Blocks are as many as keep the cores busy, not as many as the cells allow."""
+    made = []
+    packed = EM._packed
+    monkeypatch.setattr(EM, "_packed", lambda cells, key, other, blocks: made.append(blocks) or packed(cells, key, other, blocks))
+    cells = [(f"a{i}", f"a{j}", 1.0 + i + j) for i in range(12) for j in range(12)]
+    vecs, _ = EM.train_glove(spark.createDataFrame(cells, "entry string, ctx string, x double"), dim=2, sweeps=1, block_cells=1)
+    assert vecs.count() == 12
+    assert set(made) == {2 * spark.sparkContext.defaultParallelism}
