@@ -148,9 +148,14 @@ class Index:
         heavy = np.zeros((len(queries), len(lists)), np.float32)
         heavy[of[common], row[ts[common]]] = ws[common]
         rest = ~common
-        pos, run = self._runs(self.first[ts[rest]], self.first[ts[rest] + 1])
-        light = np.bincount(of[rest][run] * n + self.at[pos], self.weight[pos] * ws[rest][run], len(queries) * n) \
-            .reshape(len(queries), n).astype(np.float32)
+        start = self.first[ts[rest]]
+        size = self.first[ts[rest] + 1] - start
+        pos = np.repeat(start - (np.cumsum(size) - size), size)
+        pos += np.arange(len(pos))
+        cell, value = np.repeat(of[rest] * n, size), np.repeat(ws[rest], size)
+        cell += self.at[pos]
+        value *= self.weight[pos]
+        light = np.bincount(cell, value, len(queries) * n).reshape(len(queries), n).astype(np.float32)
         bound = heavy @ most + np.maximum.reduceat(light, np.arange(0, n, BLOCK), axis=1)
         bound = np.maximum.reduceat(bound, np.arange(0, bound.shape[1], RUN), axis=1) * (1 + SLACK)
         score, best = np.zeros((len(queries), n), np.float32), np.zeros((len(queries), k), np.float32)
@@ -168,10 +173,10 @@ class Index:
             score[open_to, cut] = found
             both = np.hstack([best[open_to], found])
             best[open_to] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        out, weigh = [], np.zeros(self.terms)
+        out, weigh, first = [], np.zeros(self.terms), np.searchsorted(of, np.arange(len(queries) + 1))
         for q, limit in enumerate(best.min(1).astype(float)):
             near = np.flatnonzero((score[q] > 0) & (score[q] >= limit * (1 - SLACK)))
-            mine = of == q
+            mine = slice(first[q], first[q + 1])
             weigh[ts[mine]] = ws[mine]
             pos, run = self._runs(self.first_of[near], self.first_of[near + 1])
             exact = np.bincount(run, self.weight_of[pos] * weigh[self.term_of[pos]], len(near))
@@ -194,6 +199,7 @@ class Model:
 
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray):
         self.vocabulary, self.weights = vocabulary, weights  # of terms that weigh something
+        self.stems = {t[:-1]: k for t, k in vocabulary.items() if t.endswith("*")}  # beginnings, as they stand in words
         self.index = Index([], [], np.zeros(0), np.zeros(0))
         self.prior = self.empty = 0.0
         self.steps, self.rates = np.array([0.0, 1.0]), np.array([0.0, 1.0])
@@ -201,19 +207,20 @@ class Model:
 
     def vector(self, text: str | None) -> Vector:
         """Unit vector of a whole text."""
-        find = self.vocabulary.get
+        find, begin = self.vocabulary.get, self.stems.get
         counts: dict[int, int] = {}
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            t = find(w)
-            if t is not None:
+            if (t := find(w)) is not None:
+                counts[t] = n
+            if len(w) > STEM and (t := begin(w[:STEM])) is not None:
                 counts[t] = counts.get(t, 0) + n
-            if len(w) > STEM:
-                t = find(w[:STEM] + "*")
-                if t is not None:
-                    counts[t] = counts.get(t, 0) + n
-        ts = np.array(sorted(counts), np.int64)
-        v = (1 + np.log(np.array([counts[t] for t in ts.tolist()], float))) * self.weights[ts] if len(ts) else np.zeros(0)
-        return (ts, v / np.sqrt(v @ v)) if len(ts) else (ts, v)
+        if not counts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        ts, ns = np.array([*counts], np.int64), np.array([*counts.values()], float)
+        order = np.argsort(ts)
+        ts = ts[order]
+        v = (1 + np.log(ns[order])) * self.weights[ts]
+        return ts, v / np.sqrt(v @ v)
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Isotonic regression of labels on votes (pool adjacent violators), each

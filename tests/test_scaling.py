@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexivec.operators import compose as C
@@ -122,3 +123,20 @@ def test_glove_ships_vectors_to_few_blocks(spark, monkeypatch):
     vecs, _ = EM.train_glove(spark.createDataFrame(cells, "entry string, ctx string, x double"), dim=2, sweeps=1, block_cells=1)
     assert vecs.count() == 12
     assert set(made) == {2 * spark.sparkContext.defaultParallelism}
+
+
+def test_toxicity_vector_finds_word_beginnings_without_new_strings():
+    """Beginnings are kept as they stand in words; the vector is that of the plain counts of terms."""
+    toxicity = pytest.importorskip("lexivec.llm.toxicity")
+    vocabulary = {"badly*": 0, "badlyset": 1, "worse*": 2, "worse": 3, "no": 4}
+    weights = np.array([1.0, 2.0, 3.0, 4.0, 5.0])
+    model = toxicity.Model(vocabulary, weights)
+    assert model.stems == {"badly": 0, "worse": 2}
+    text = "Badlyset badlyput worse worsened no, NO none"
+    plain = {vocabulary[x]: n for x, n in toxicity.terms(text).items() if x in vocabulary}
+    at = sorted(plain)
+    want = (1 + np.log(np.array([plain[t] for t in at], float))) * weights[at]
+    got_at, got = model.vector(text)
+    assert got_at.tolist() == at
+    assert np.allclose(got, want / np.sqrt(want @ want))
+    assert [len(x) for x in model.vector("nothing")] == [0, 0]
