@@ -140,3 +140,15 @@ def test_toxicity_vector_finds_word_beginnings_without_new_strings():
     assert got_at.tolist() == at
     assert np.allclose(got, want / np.sqrt(want @ want))
     assert [len(x) for x in model.vector("nothing")] == [0, 0]
+
+
+def test_pick_long_deals_a_frequent_token_to_many_tasks(spark, monkeypatch):
+    """All phrases start with one token of 60 cells, which was one key of the join and one task's work."""
+    monkeypatch.setattr(C, "PICK_CELLS", 500)
+    phrases = spark.createDataFrame([(f"a/N_w{i}/N",) for i in range(400)] * 2, "phrase string")
+    weights = spark.createDataFrame([("a/N", f"f{i}", float(i)) for i in range(60)] + [("b/N", "f0", 1.0)], "entry string, feature string, weight double")
+    rows = C.pick_long(phrases, weights, C.LEFT)
+    got = rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).collect()
+    assert len(got) == 400 and all((r.n, r.total) == (60, 1770.0) for r in got)
+    tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(tasks) > 1 and max(tasks) <= sum(tasks) / 2
