@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexivec.operators import compose as C
 from lexivec.operators import counting
 from lexivec.operators import embeddings as EM
+from lexivec.operators import neighbours as NB
 from lexivec.operators import tensors as TS
 from lexivec.operators.indexing import materialize
 from lexivec.sources.vectors import parse_vector_lines
@@ -152,3 +153,33 @@ def test_pick_long_deals_a_frequent_token_to_many_tasks(spark, monkeypatch):
     assert len(got) == 400 and all((r.n, r.total) == (60, 1770.0) for r in got)
     tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert len(tasks) > 1 and max(tasks) <= sum(tasks) / 2
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_neighbours_ship_a_query_to_a_tile_once(spark, monkeypatch, overlap):
+    """Vectors without clusters need most cells: a query went to each of these. Copies fill a cell of several tiles."""
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(size=(380, 6)), np.repeat(rng.normal(size=(1, 6)), 70, 0)] + 100.0
+    names = [f"w{i}_{i % 3}" for i in range(len(x))]
+    vectors = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "entry string, vec array<double>")
+    shipped = spark.sparkContext.accumulator(0)
+    sweep = NB._sweep_tile
+
+    def counted(*args):
+        run = sweep(*args)
+
+        def tile(q, c):
+            shipped.add(q.num_rows)
+            return run(q, c)
+        return tile
+
+    monkeypatch.setattr(NB, "_sweep_tile", counted)
+    monkeypatch.setattr(NB, "STEP_ROWS", 32)
+    got = NB.knn_exact(vectors, k=4, tile_rows=40, cell_rows=5, allow_lexical_overlap=overlap).collect()
+    assert 0 < shipped.value <= 14 * len(x)  # tiles of 40 rows; there are 90 cells
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    if not overlap:
+        d[np.equal.outer(np.arange(len(x)) % 3, np.arange(len(x)) % 3)] = np.inf
+    want = {(names[i], r + 1, names[j]) for i in range(len(x)) for r, j in enumerate(np.lexsort((names, d[i]))[:4])}
+    assert {(r.entry, r["rank"], r.neighbour) for r in got} == want
