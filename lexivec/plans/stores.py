@@ -123,7 +123,7 @@ def tensor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 -> A12: the verb matrices of the lineitem triples."""
     lex, svo = Q._tensor_inputs(spark, sf_dir)
     path = Q._scratch(spark, "tensors")
-    W.write_tensors(TS.train_verb_tensors(svo, lex, dim=Q.TENSOR_DIMS), path)
+    W.write_tensors(TS.train_verb_tensors(svo, lex, dim=Q.TENSOR_DIMS, distinct=True), path)
     t = TS.load_tensors(spark, path)
     return t.select("verb", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("weight", Q.ROUND).alias("weight"))
 
